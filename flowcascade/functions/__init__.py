@@ -6,6 +6,7 @@ from flowcascade.functions.arrays import (
     logsumexp,
     pad_scores,
     softmax,
+    with_softmax,
 )
 from flowcascade.functions.numbers import (
     finite_or_zero,
@@ -20,5 +21,5 @@ from flowcascade.functions.numbers import (
 __all__ = [
     "argmax", "finite_or_zero", "is_finite", "is_missing", "linear_scores",
     "logsumexp", "looks_numeric", "nan_to_null", "pad_scores", "quoted", "softmax",
-    "to_double",
+    "to_double", "with_softmax",
 ]

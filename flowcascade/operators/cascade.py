@@ -12,7 +12,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowcascade.functions import argmax, quoted, softmax
+from flowcascade.functions import argmax, quoted, with_softmax
 from flowcascade.operators.labels import lookup
 from flowcascade.schema import (
     LEAVES,
@@ -21,6 +21,7 @@ from flowcascade.schema import (
     UNRESOLVED,
     Node,
     leaf_paths,
+    node_of,
 )
 
 Scores = Mapping[str, str]      # node name -> name of its score-array column
@@ -28,65 +29,79 @@ Scores = Mapping[str, str]      # node name -> name of its score-array column
 ROOT = "Root"
 
 
-def masked_record(node: Node) -> Column:
-    return F.struct(
-        F.array(*[F.lit(MASKED_LOGIT)] * node.width).alias("logits"),
-        F.array(*[F.lit(0.0)] * node.width).alias("probs"),
-        F.lit(UNRESOLVED).alias("pred"),
-    )
+def own_column(node: Node) -> str:
+    """A node's decision from its own scores, whether or not the row gets there."""
+    return f"__own_{node.name}"
 
 
-def routed(node: Node, record=lambda n: F.col(n.record)["pred"]) -> Column:
-    """Was the row sent to ``node``?  True for the root."""
-    if node.parent is None:
-        return F.lit(True)
-    parent = next(n for n in NODES if n.name == node.parent)
-    return record(parent) == F.lit(parent.classes.index(node.parent_class))
+def pred_column(node: Node) -> str:
+    return f"pred_{node.name}"
 
 
 def _probs_column(node: Node) -> str:
     return f"__probs_{node.name}"
 
 
-def with_probabilities(df: DataFrame, scores: Scores) -> DataFrame:
-    return df.withColumns({
-        _probs_column(n): softmax(quoted(scores[n.name]), n.width)
-        for n in NODES if n.name in scores})
+def routed(node: Node) -> Column:
+    """Do all decisions above ``node`` lead to it?  True for the root."""
+    here = F.lit(True)
+    while node.parent is not None:
+        parent = node_of(node.parent)
+        code = parent.classes.index(node.parent_class)
+        here = here & (F.col(own_column(parent)) == F.lit(code))
+        node = parent
+    return here
+
+
+def with_routed_predictions(df: DataFrame, scores: Scores) -> DataFrame:
+    """Add ``pred_<node>`` for every node and ``flat_pred``; -1 where not routed."""
+    own = df.withColumns({
+        own_column(n): argmax(quoted(scores[n.name])) if n.name in scores else F.lit(UNRESOLVED)
+        for n in NODES})
+    preds = own.withColumns({
+        pred_column(n): F.when(routed(n), F.col(own_column(n))).otherwise(F.lit(UNRESOLVED))
+        for n in NODES})
+    flat = preds.withColumn("flat_pred", flat_prediction())
+    return flat.drop(*[own_column(n) for n in NODES])
+
+
+def _record(node: Node, scores: Scores) -> Column:
+    """Logits, probabilities and prediction, with the fixed fill where not routed."""
+    no_logits = F.array(*[F.lit(MASKED_LOGIT)] * node.width)
+    no_probs = F.array(*[F.lit(0.0)] * node.width)
+    pred = F.col(pred_column(node))
+    logits, probs = no_logits, no_probs
+    if node.name in scores:
+        here = pred != UNRESOLVED
+        logits = F.when(here, quoted(scores[node.name])).otherwise(no_logits)
+        probs = F.when(here, F.col(_probs_column(node))).otherwise(no_probs)
+    return F.struct(logits.alias("logits"), probs.alias("probs"), pred.alias("pred"))
 
 
 def cascade(df: DataFrame, scores: Scores, flat_probs: bool = False) -> DataFrame:
     """Add one record per node, the flat leaf index and, if asked, leaf probabilities.
 
-    A node without scores resolves nothing: its rows keep -1 below it.
+    A node without scores resolves nothing: its rows keep -1 below it.  What is
+    not read later (probabilities, say) is not computed.
     """
-    out = with_probabilities(df, scores)
-    for node in NODES:          # parents come before their children
-        if node.name not in scores:
-            out = out.withColumn(node.record, masked_record(node))
-            continue
-        probs = F.col(_probs_column(node))
-        scored = F.struct(
-            quoted(scores[node.name]).alias("logits"), probs.alias("probs"),
-            argmax(probs, node.width).alias("pred"))
-        record = scored if node.parent is None else (
-            F.when(routed(node), scored).otherwise(masked_record(node)))
-        out = out.withColumn(node.record, record)
-    out = out.withColumn("flat_pred", flat_prediction())
-    if flat_probs:
-        out = out.withColumn("flat_probs", leaf_probabilities(scores))
-    return out.drop(*[_probs_column(n) for n in NODES])
-
-
-def flat_prediction(pred=lambda n: F.col(n.record)["pred"]) -> Column:
+    preds = with_routed_predictions(df, scores)
+    probs = with_softmax(preds, {
+        _probs_column(n): (scores[n.name], n.width) for n in NODES if n.name in scores})
+    extra = {"flat_probs": leaf_probabilities(scores)} if flat_probs else {}
+    out = probs.withColumns({**{n.record: _record(n, scores) for n in NODES}, **extra})
+    return out.drop(*[c for n in NODES for c in (pred_column(n), _probs_column(n))])
+
+
+def flat_prediction() -> Column:
     """Leaf index 0..12 of the routed decisions; -1 where they end early.
 
-    Only the last decision of a leaf's path has to be tested: a node's pred is -1
-    unless all decisions above it led there.
+    Only the last decision of a leaf's path has to be tested: a node's prediction
+    is -1 unless all decisions above it led there.
     """
     chain = None
     for leaf, path in leaf_paths().items():
         node, code = path[-1]
-        hit = pred(node) == F.lit(code)
+        hit = F.col(pred_column(node)) == F.lit(code)
         value = F.lit(LEAVES.index(leaf))
         chain = F.when(hit, value) if chain is None else chain.when(hit, value)
     return chain.otherwise(F.lit(UNRESOLVED)).cast("int")
@@ -117,7 +132,7 @@ def prediction_columns(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """Flat table: carried columns, ``pred_<node>`` for each node, ``flat_pred``."""
     return df.select(
         *[quoted(c) for c in keep],
-        *[F.col(n.record)["pred"].alias(f"pred_{n.name}") for n in NODES],
+        *[F.col(n.record)["pred"].alias(pred_column(n)) for n in NODES],
         F.col("flat_pred"))
 
 
@@ -158,7 +173,7 @@ def node_counts(df: DataFrame) -> DataFrame:
     combination of decisions (a few hundred at most), so only those counts are
     spread over the tree.
     """
-    preds = {n.name: f"pred_{n.name}" for n in NODES}
+    preds = {n.name: pred_column(n) for n in NODES}
     combos = (
         df.select(*[F.col(n.record)["pred"].alias(preds[n.name]) for n in NODES])
         .groupBy(*preds.values()).agg(F.count(F.lit(1)).alias("__n"))

@@ -18,10 +18,10 @@ from flowcascade.schema import LEAVES, NODES, UNRESOLVED, Node
 ROW_NORMALISER = 1e-10      # keeps an empty row of the matrix from dividing by zero
 
 
-def cross_entropy(logits: Column, target: Column, width: int | None = None) -> Column:
+def cross_entropy(logits: Column, target: Column, width: int | None = None,
+                  peak: Column | None = None) -> Column:
     """-log softmax(logits)[target], from the logits."""
-    at_target = F.get(logits, target)
-    return logsumexp(logits, width) - at_target
+    return logsumexp(logits, width, peak) - F.get(logits, target)
 
 
 def log_loss(df: DataFrame, logits: str, target: str, width: int | None = None) -> DataFrame:
@@ -164,13 +164,23 @@ def level_pairs(df: DataFrame, scores: dict[str, str], keep: Iterable[str] = ())
             F.col(node.label_column).alias("y_true"), pred.alias("y_pred"),
             loss.alias("loss"))))
     applicable = F.filter(F.array(*entries), lambda e: e.isNotNull())
-    return df.select(*[quoted(c) for c in keep], F.inline(applicable))
+    return _with_peaks(df, scores).select(*[quoted(c) for c in keep], F.inline(applicable))
 
 
 def _node_result(node: Node, scores: dict[str, str]) -> tuple[Column, Column]:
     logits = quoted(scores[node.name])
-    return (argmax(logits, node.width),
-            cross_entropy(logits, F.col(node.label_column), node.width))
+    return (argmax(logits),
+            cross_entropy(logits, F.col(node.label_column), node.width,
+                          F.col(_peak_column(node))))
+
+
+def _peak_column(node: Node) -> str:
+    return f"__peak_{node.name}"
+
+
+def _with_peaks(df: DataFrame, scores: dict[str, str]) -> DataFrame:
+    return df.withColumns({_peak_column(n): F.array_max(quoted(scores[n.name]))
+                           for n in NODES if n.name in scores})
 
 
 def evaluate_levels(df: DataFrame, scores: dict[str, str]) -> DataFrame:
@@ -194,12 +204,12 @@ def evaluate_levels(df: DataFrame, scores: dict[str, str]) -> DataFrame:
             F.col(f"rows{i}").alias("rows"),
             F.coalesce(F.col(f"loss{i}"), F.lit(0.0)).alias("loss"),
             _percent(F.col(f"hits{i}"), F.col(f"rows{i}")).alias("accuracy")))
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    return _with_peaks(df, scores).agg(*aggs).select(F.inline(F.array(*rows)))
 
 
 def level_report(df: DataFrame, scores: dict[str, str], node: Node) -> DataFrame:
     """Classification report of one node on the rows its level applies to."""
-    pred, _ = _node_result(node, scores)
+    pred = argmax(quoted(scores[node.name]))
     pairs = df.filter(F.col(node.label_column) != UNRESOLVED).select(
         F.col(node.label_column).alias("y_true"), pred.alias("y_pred"))
     return classification_report(pairs, "y_true", "y_pred", list(node.classes))

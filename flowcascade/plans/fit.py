@@ -93,7 +93,7 @@ def node_quality(df: DataFrame, model: Model, node: Node) -> tuple[int, float, f
     row = scored.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(cross_entropy(scores, target, node.width)).alias("loss"),
-        F.count_if(argmax(scores, node.width) == target).alias("hits")).first()
+        F.count_if(argmax(scores) == target).alias("hits")).first()
     n = row["n"]
     return n, row["loss"] or 0.0, 100.0 * row["hits"] / n if n else 0.0
 

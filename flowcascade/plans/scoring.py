@@ -14,16 +14,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowcascade.functions import argmax, linear_scores, pad_scores, quoted, softmax
+from flowcascade.functions import argmax, pad_scores, quoted, softmax
 from flowcascade.operators.cascade import cascade, prediction_columns
 from flowcascade.operators.features import (
     COMPONENT_PREFIX,
     feature_vector,
-    single_precision,
 )
 from flowcascade.schema import NODES, Node, node_of
 
-FEATURES = "__features"
+FEATURES, RAW = "__features", "__raw"
 SMALLEST_PROBABILITY = 1e-300
 
 CERTAIN = 1000.0        # logit of the only class a node was fitted on
@@ -44,37 +43,36 @@ def with_feature_vector(df: DataFrame) -> DataFrame:
     return df.withColumn(FEATURES, feature_vector(component_columns(df), FEATURES))
 
 
-def _logistic_logits(df: DataFrame, model: LogisticRegressionModel) -> Column:
-    """Logits written out as weighted sums of the component columns."""
-    weights = model.coefficientMatrix.toArray()
-    intercepts = model.interceptVector.toArray()
-    # a node fitted on a single class comes with an infinite intercept
-    intercepts = np.clip(intercepts, -CERTAIN, CERTAIN)
-    if len(intercepts) == 1 and model.numClasses == 2:
-        # binomial form: the margin of class 1 over class 0
-        weights = np.vstack([np.zeros_like(weights), weights])
-        intercepts = np.concatenate([[0.0], intercepts])
-    return linear_scores(
-        [single_precision(c) for c in component_columns(df)],
-        weights.tolist(), intercepts.tolist())
+def _logits(model: Model) -> tuple[str, Column]:
+    """The model output to ask for, and the logits made from it."""
+    raw = vector_to_array(F.col(RAW))
+    if isinstance(model, MultilayerPerceptronClassificationModel):
+        return "raw", raw
+    if isinstance(model, LogisticRegressionModel):
+        intercepts = model.interceptVector.toArray()
+        if len(intercepts) == 1 and model.numClasses == 2:
+            # binomial form: the margin of class 1 over class 0
+            return "raw", F.array(F.lit(0.0), raw[1])
+        if np.isinf(intercepts).any():
+            # fitted on a single class
+            return "raw", F.transform(raw, lambda x: F.greatest(
+                F.least(x, F.lit(CERTAIN)), F.lit(-CERTAIN)))
+        return "raw", raw
+    # softmax of log-probabilities gives the probabilities back
+    return "probability", F.transform(
+        raw, lambda p: F.ln(F.greatest(p, F.lit(SMALLEST_PROBABILITY))))
 
 
 def _add_scores(df: DataFrame, model: Model, node: Node, out: str) -> DataFrame:
     """Scores of one node for every row, padded to the node's class count."""
-    if isinstance(model, LogisticRegressionModel):
-        return df.withColumn(out, pad_scores(_logistic_logits(df, model), node.width))
+    output, logits = _logits(model)
     model = model.copy()
     model.setFeaturesCol(FEATURES).setPredictionCol("")
-    perceptron = isinstance(model, MultilayerPerceptronClassificationModel)
-    model.setRawPredictionCol("__raw" if perceptron else "")
-    model.setProbabilityCol("" if perceptron else "__raw")
-    raw = vector_to_array(F.col("__raw"))
-    # softmax of log-probabilities gives the probabilities back
-    logits = raw if perceptron else F.transform(
-        raw, lambda p: F.ln(F.greatest(p, F.lit(SMALLEST_PROBABILITY))))
-    vectors = df if FEATURES in df.columns else with_feature_vector(df)
-    scored = model.transform(vectors).withColumn(out, pad_scores(logits, node.width))
-    return scored.drop("__raw") if FEATURES in df.columns else scored.drop("__raw", FEATURES)
+    model.setRawPredictionCol(RAW if output == "raw" else "")
+    model.setProbabilityCol(RAW if output == "probability" else "")
+    if model.numClasses < node.width:
+        logits = pad_scores(logits, node.width)
+    return model.transform(df).withColumn(out, logits).drop(RAW)
 
 
 def score_node(df: DataFrame, models: Mapping[str, Model], key: int | str,
@@ -83,17 +81,18 @@ def score_node(df: DataFrame, models: Mapping[str, Model], key: int | str,
     node = node_of(key)
     if node.name not in models:
         raise ValueError(f"node {node.name!r} has no model")
-    return _add_scores(df, models[node.name], node, out or score_column(node))
+    vectors = with_feature_vector(df)
+    return _add_scores(vectors, models[node.name], node, out or score_column(node)).drop(FEATURES)
 
 
 def score_all(df: DataFrame, models: Mapping[str, Model]) -> tuple[DataFrame, dict[str, str]]:
     """Add the score array of every fitted node; also say which column is whose."""
-    scored, columns = df, {}
+    scored, columns = with_feature_vector(df), {}
     for node in NODES:
         if node.name in models:
             columns[node.name] = score_column(node)
             scored = _add_scores(scored, models[node.name], node, columns[node.name])
-    return scored, columns
+    return scored.drop(FEATURES), columns
 
 
 def predict(df: DataFrame, models: Mapping[str, Model], key: int | str,
@@ -103,7 +102,7 @@ def predict(df: DataFrame, models: Mapping[str, Model], key: int | str,
     rows = df.filter(F.col(node.label_column) >= 0)
     scored = score_node(rows, models, key, "__scores")
     columns = [F.col(node.label_column).alias("y_true"),
-               argmax(F.col("__scores"), node.width).alias("y_pred")]
+               argmax(F.col("__scores")).alias("y_pred")]
     if with_probs:
         columns.append(softmax(F.col("__scores"), node.width).alias("probs"))
     return scored.select(*[quoted(c) for c in keep], *columns)

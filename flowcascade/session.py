@@ -18,6 +18,17 @@ STAGE_PREFIX = "flowcascade-stage-"
 _local_roots: dict[str, str] = {}
 
 
+# Wide projections compile to long methods.  The JVM never compiles a method
+# above 8000 bytes of bytecode, so beyond that Spark had better split the code.
+RUNTIME_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def tune(spark: SparkSession) -> None:
+    """Apply the runtime settings the wide expressions need to an existing session."""
+    for key, value in RUNTIME_SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def build_session(master: str | None = None, app: str = "flowcascade",
                   shuffle_partitions: int | None = None,
                   **conf: str) -> SparkSession:
@@ -34,6 +45,8 @@ def build_session(master: str | None = None, app: str = "flowcascade",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.files.maxPartitionBytes", "128m")
     )
+    for key, value in RUNTIME_SETTINGS.items():
+        builder = builder.config(key, value)
     if master:
         builder = builder.master(master)
     if shuffle_partitions:

@@ -6,12 +6,13 @@ here, not in the operators, so that both engines print the same digits.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowcascade.functions import quoted, softmax
+from flowcascade.functions import quoted, with_softmax
 from flowcascade.operators import cascade as C
 from flowcascade.operators import clean as K
 from flowcascade.operators import evaluate as E
@@ -22,7 +23,7 @@ from flowcascade.plans import fit as T
 from flowcascade.plans import scoring as S
 from flowcascade.plans.prepare import level_datasets, prepare
 from flowcascade.schema import LEAVES, NODES, node_of
-from flowcascade.session import stage, stage_path
+from flowcascade.session import stage, stage_path, tune
 from flowcascade.sources import infer_numeric, read_flows
 from flowcascade.workload.views import (
     IDS,
@@ -43,12 +44,23 @@ CONSTANT = "Constant"
 
 
 def query(run: Query) -> Query:
-    QUERIES[run.__name__] = run
+    @functools.wraps(run)
+    def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tune(spark)
+        return run(spark, sf_dir)
+
+    QUERIES[run.__name__] = tuned
     return run
 
 
-def rounded(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
-    return K.map_columns(df, {c: F.round(quoted(c), digits) for c in cols})
+def digits(c: Column, n: int) -> Column:
+    """Round to ``n`` places in plain double arithmetic (``round`` goes through decimals)."""
+    scale = F.lit(float(10 ** n))
+    return F.floor(c * scale + F.lit(0.5)) / scale
+
+
+def rounded(df: DataFrame, cols: list[str], n: int = 6) -> DataFrame:
+    return K.map_columns(df, {c: digits(quoted(c), n) for c in cols})
 
 
 # --- sources ---------------------------------------------------------------
@@ -62,7 +74,8 @@ def flow_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     source.select(*[quoted(c).alias(padded.get(c, c)) for c in source.columns]).write.csv(
         path, header=True)
     read = read_flows(spark, path, keep=IDS)
-    return K.map_columns(read, {c: quoted(c).cast("long") for c in [*IDS, "Protocol"]})
+    types = {c: "int" if c in ("l_linenumber", "Protocol") else "long" for c in [*IDS, "Protocol"]}
+    return K.map_columns(read, {c: quoted(c).cast(t) for c, t in types.items()})
 
 
 @query
@@ -173,7 +186,7 @@ def flow_pca_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = P.apply_features(data, state, keep=IDS)
     energy = sum((quoted(c) * quoted(c) for c in state.output_columns[1:]),
                  quoted(state.output_columns[0]) * quoted(state.output_columns[0]))
-    return out.select(*IDS, F.round(energy, 5).alias("energy"))
+    return out.select(*IDS, digits(energy, 5).alias("energy"))
 
 
 @query
@@ -190,9 +203,9 @@ def embedding_pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = sum((F.var_samp(c) for c in state.output_columns[1:]),
                 F.var_samp(state.output_columns[0]))
     return out.agg(
-        F.round(total, 5).alias("total_variance"),
+        digits(total, 5).alias("total_variance"),
         F.lit(len(state.explained)).alias("components"),
-        F.round(F.lit(sum(state.explained)), 6).alias("ratio_sum"))
+        digits(F.lit(sum(state.explained)), 6).alias("ratio_sum"))
 
 
 # --- labels ----------------------------------------------------------------
@@ -262,8 +275,8 @@ def cascade_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.col("node_2_dos")
     return _cascaded(spark, sf_dir).select(
         *IDS,
-        *[F.round(record["logits"][i], 6).alias(f"logit_{i}") for i in range(2)],
-        *[F.round(record["probs"][i], 6).alias(f"prob_{i}") for i in range(2)],
+        *[digits(record["logits"][i], 6).alias(f"logit_{i}") for i in range(2)],
+        *[digits(record["probs"][i], 6).alias(f"prob_{i}") for i in range(2)],
         record["pred"].alias("pred"))
 
 
@@ -271,17 +284,18 @@ def cascade_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cascade_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of every leaf."""
     return _cascaded(spark, sf_dir, flat_probs=True).select(
-        *IDS, *[F.round(F.col("flat_probs")[i], 6).alias(f"p{i}") for i in range(len(LEAVES))])
+        *IDS, *[digits(F.col("flat_probs")[i], 6).alias(f"p{i}") for i in range(len(LEAVES))])
 
 
 @query
 def node_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One node on all rows: true class, prediction and probabilities."""
     node = node_of(4)
-    probs = softmax(F.col(SCORES[node.name]), node.width)
-    return L.select_level(scored_flows(spark, sf_dir), node.level).select(
+    probs = F.col("probs")
+    rows = L.select_level(scored_flows(spark, sf_dir), node.level)
+    return with_softmax(rows, {"probs": (SCORES[node.name], node.width)}).select(
         *IDS, F.col(node.label_column).alias("y_true"),
-        *[F.round(probs[i], 6).alias(f"p{i}") for i in range(node.width)])
+        *[digits(probs[i], 6).alias(f"p{i}") for i in range(node.width)])
 
 
 @query
@@ -353,11 +367,12 @@ def end_to_end_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _root_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = NODES[0]
-    probs = softmax(F.col(SCORES["1"]), root.width)
+    probs = F.col("probs")
+    rows = L.select_level(scored_flows(spark, sf_dir), root.level)
     # equal scores must be equal in both engines, so they are rounded before grouping
-    return L.select_level(scored_flows(spark, sf_dir), root.level).select(
+    return with_softmax(rows, {"probs": (SCORES["1"], root.width)}).select(
         F.col(root.label_column).alias("y_true"),
-        F.array(*[F.round(probs[i], 6) for i in range(root.width)]).alias("probs"))
+        F.array(*[digits(probs[i], 6) for i in range(root.width)]).alias("probs"))
 
 
 @query
