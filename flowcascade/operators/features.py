@@ -158,6 +158,8 @@ def fit_projection(df: DataFrame, order: list[str], ranges: dict[str, Range],
     assembled = assembler.transform(_centred(df, order, ranges, [])).select(_INPUT)
     pca = PCA(k=components, inputCol=_INPUT, outputCol=_RAW).fit(assembled)
     signs = _largest_positive(pca.pc.toArray())
+    # a missing input must not fail a whole scoring job: it ends up as 0 components
+    assembler = assembler.copy({assembler.handleInvalid: "keep"})
     flip = ElementwiseProduct(
         scalingVec=Vectors.dense(signs), inputCol=_RAW, outputCol=_OUT)
     return PipelineModel([assembler, pca, flip]), [float(v) for v in pca.explainedVariance]

@@ -150,12 +150,17 @@ def stage_clean_flows(spark: SparkSession, path: str, features: list[str] = BASE
     label = resolve_label(text.columns)
     guess = [c for c in text.columns if c != label and c not in TEXT_FEATURES]
     seen = Observation()
-    watched = text.observe(seen, F.count(F.lit(1)).alias("rows"),
-                           *_non_numeric_counts(text, text.columns))
+    watched = text.observe(seen, *_non_numeric_counts(text, text.columns))
     table = _stage_typed(watched, guess, spark)
-    counts = seen.get
-    found = [c for i, c in enumerate(text.columns) if counts[f"c{i}"] == 0]
-    if counts["rows"] == 0 or found == guess:
+    if table.isEmpty():
+        # without output rows Spark may drop the counted stage, and its counts with it
+        found = infer_numeric(text)
+        if not found:
+            return table
+    else:
+        counts = seen.get
+        found = [c for i, c in enumerate(text.columns) if counts[f"c{i}"] == 0]
+    if found == guess:
         return table
     discard_stage(table)
     return _stage_typed(text, found, spark)
