@@ -3,16 +3,18 @@
 A quantile is an interpolation between two order statistics.  Each one is
 pinned down by narrowing an interval around it:
 
-* a sketch pass proposes an interval from ``percentile_approx``;
+* a sketch of a random sample proposes an interval;
 * a count pass measures exactly how many rows lie below and inside it, and moves
   the interval if the wanted rank turned out to be outside;
 * once few enough rows are strictly inside, their (value, count) pairs are
   gathered and the rank is read off a running count.
 
-All passes are map-side aggregates.  Only rows inside an interval are ever
-shuffled, equal values are merged before that, and a value holding most of the
-table is one entry.  The number of passes grows with the logarithm of the row
-count; the result does not depend on the accuracy of the sketch.
+Sampling only decides where to look: the counts and the gathered values come
+from all rows, so the result is exact however good or bad a proposal was.  All
+passes are map-side aggregates with a few numbers of state per task.  Only rows
+inside an interval are ever shuffled, equal values are merged before that, and a
+value holding most of the table is one entry.  The number of passes grows with
+the logarithm of the row count: three below some 10^8 rows, five at 10^11.
 """
 
 from __future__ import annotations
@@ -27,7 +29,11 @@ from pyspark.sql import functions as F
 from flowcascade.functions import nan_to_null, quoted
 
 DEFAULT_ACCURACY = 10_000
-DEFAULT_GATHER_ROWS = 100_000
+DEFAULT_SAMPLE_ROWS = 4_000_000
+DEFAULT_GATHER_ROWS = 1_000_000
+SMALL_ROWS = 100_000        # tables up to this size are gathered right away
+SAMPLE_PARTITIONS = 64
+SAMPLE_SEED = 20_181
 
 
 @dataclass
@@ -40,9 +46,9 @@ class _Search:
 
     column: str
     share: float
-    rows: int
-    floor: float
-    ceiling: float
+    rows: int = 0           # values in the column
+    floor: float = 0.0
+    ceiling: float = 0.0
     low: float = 0.0
     high: float = 0.0
     below: int = 0          # rows smaller than ``low``
@@ -83,18 +89,21 @@ class _Search:
         self.low, self.high, self.counted = low, high, False
 
     def judge(self, gather_rows: int) -> None:
-        """Use fresh counts: settle, tighten the proof, or move the proposal."""
+        """Use fresh counts: settle, tighten the proof, or move the proposal.
+
+        Every outcome but the first leaves a strictly smaller interval to search.
+        """
         self.counted = True
         end = self.below + self.inside
         if self.below <= self.rank and self.next_rank < end:
-            self.floor, self.ceiling = self.low, self.high
+            self.floor, self.ceiling = max(self.floor, self.low), min(self.ceiling, self.high)
             self.settled = self.interior <= gather_rows
         elif self.next_rank < self.below:
             self.misses += 1
-            self.propose(self.floor, self.low)
+            self.propose(self.floor, math.nextafter(self.low, -math.inf))
         elif self.rank >= end:
             self.misses += 1
-            self.propose(self.high, self.ceiling)
+            self.propose(math.nextafter(self.high, math.inf), self.ceiling)
         else:
             # one rank on either side of an edge: they are its two neighbours
             self.split_at = self.low if self.rank < self.below else self.high
@@ -126,39 +135,72 @@ def _inside(s: _Search) -> Column:
     return (c >= _lit(s.low)) & (c <= _lit(s.high))
 
 
-def _marks(low_share: float, high_share: float, accuracy: int, misses: int = 0) -> list[float]:
-    """Shares a little outside the wanted ones, further out after every miss."""
-    slack = 1.5 / accuracy * 2 ** min(misses, 6)
-    return [max(low_share - slack, 0.0), min(high_share + slack, 1.0)]
-
-
-def _first_pass(df: DataFrame, cols: list[str], shares: list[float],
-                accuracy: int, gather_rows: int) -> list[_Search]:
-    marks = [m for p in shares for m in _marks(p, p, accuracy)]
+def _extent(cols: list[str]) -> list[Column]:
     aggs = []
     for i, c in enumerate(cols):
         v = _double(c)
-        aggs += [
-            F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-            F.percentile_approx(v, marks, accuracy).alias(f"q{i}"),
-        ]
-    row = df.agg(*aggs).first()
-    searches = []
-    for i, c in enumerate(cols):
-        n, low, high = row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]
-        for j, p in enumerate(shares if n else []):
-            s = _Search(c, p, n, low, high)
-            if n <= gather_rows or low == high:
-                s.propose(low, high)
-                s.inside, s.settled = n, True
-            else:
-                s.propose(*row[f"q{i}"][2 * j:2 * j + 2])
-            searches.append(s)
-    return searches
-
-
-def _count_pass(df: DataFrame, searches: list[_Search], gather_rows: int) -> None:
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}")]
+    return aggs
+
+
+def _use_extent(row, cols: list[str], searches: list[_Search]) -> None:
+    position = {c: i for i, c in enumerate(cols)}
+    for s in searches:
+        i = position[s.column]
+        s.rows, s.floor, s.ceiling = row[f"n{i}"], row[f"min{i}"], row[f"max{i}"]
+
+
+def _gather_whole(df: DataFrame, searches: list[_Search]) -> None:
+    """A small table: every search covers its whole column."""
+    cols = list(dict.fromkeys(s.column for s in searches))
+    _use_extent(df.agg(*_extent(cols)).first(), cols, searches)
+    for s in searches:
+        s.propose(s.floor, s.ceiling)
+        s.inside, s.settled = s.rows, True
+
+
+def _propose(df: DataFrame, searches: list[_Search], accuracy: int, sample_rows: int,
+             rows: int | None) -> None:
+    """Propose intervals a little wider than the sampling error around each rank.
+
+    ``rows`` is the size of the table for the first proposal; later ones look
+    inside the intervals proven so far.
+    """
+    smallest = rows if rows is not None else min(s.inside for s in searches)
+    fraction = min(1.0, sample_rows / max(smallest, 1))
+    data = df
+    if fraction < 1.0:
+        # few rows are left, so they are brought to few sketches
+        data = df.sample(fraction, SAMPLE_SEED).repartition(SAMPLE_PARTITIONS)
     aggs = []
+    for i, s in enumerate(searches):
+        v = _double(s.column)
+        if rows is None:
+            v = F.when(_inside(s), v)
+            last = max(s.inside - 1, 1)
+            start, end = (s.rank - s.below) / last, (s.next_rank - s.below) / last
+        else:
+            start = end = s.share
+        sampled = max((rows if rows is not None else s.inside) * fraction, 1.0)
+        spread = 0.0 if fraction == 1.0 else 5 * math.sqrt(
+            max(start * (1 - start), 1 / sampled) / sampled)
+        slack = (1.5 / accuracy + spread) * 2 ** min(s.misses, 6)
+        marks = [min(max(start - slack, 0.0), 1.0), min(max(end + slack, 0.0), 1.0)]
+        aggs.append(F.percentile_approx(v, marks, accuracy).alias(f"q{i}"))
+    row = data.agg(*aggs).first()
+    for i, s in enumerate(searches):
+        found = row[f"q{i}"]
+        if rows is not None:
+            s.propose(*(found or (-math.inf, math.inf)))
+        elif found is None or tuple(found) == (s.floor, s.ceiling):
+            s.halve()
+        else:
+            s.propose(*found)
+
+
+def _count_pass(df: DataFrame, searches: list[_Search], gather_rows: int, first: bool) -> None:
+    cols = list(dict.fromkeys(s.column for s in searches))
+    aggs = _extent(cols) if first else []
     for i, s in enumerate(searches):
         c = _double(s.column)
         aggs += [
@@ -168,28 +210,15 @@ def _count_pass(df: DataFrame, searches: list[_Search], gather_rows: int) -> Non
             F.count_if((c == _lit(s.high)) & (c > _lit(s.low))).alias(f"high{i}"),
         ]
     row = df.agg(*aggs).first()
+    if first:
+        _use_extent(row, cols, searches)
     for i, s in enumerate(searches):
         s.below, s.inside = row[f"below{i}"], row[f"inside{i}"]
         s.at_low, s.at_high = row[f"low{i}"], row[f"high{i}"]
-        s.judge(gather_rows)
-
-
-def _narrow_pass(df: DataFrame, searches: list[_Search], accuracy: int) -> None:
-    """Propose a smaller interval inside each proven one."""
-    aggs = []
-    for i, s in enumerate(searches):
-        last = max(s.inside - 1, 1)
-        marks = _marks((s.rank - s.below) / last, (s.next_rank - s.below) / last,
-                       accuracy, s.misses)
-        aggs.append(F.percentile_approx(
-            F.when(_inside(s), _double(s.column)), marks, accuracy).alias(f"q{i}"))
-    row = df.agg(*aggs).first()
-    for i, s in enumerate(searches):
-        low, high = row[f"q{i}"]
-        if (low, high) == (s.floor, s.ceiling):
-            s.halve()
+        if s.rows:
+            s.judge(gather_rows)
         else:
-            s.propose(low, high)
+            s.settled = True
 
 
 def _gather_pass(df: DataFrame, searches: list[_Search]) -> list[tuple[float, float]]:
@@ -253,8 +282,9 @@ def _split_pass(df: DataFrame, searches: list[_Search]) -> list[tuple[float, flo
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], shares: list[float],
-                    accuracy: int = DEFAULT_ACCURACY,
-                    gather_rows: int = DEFAULT_GATHER_ROWS) -> dict[str, list[float | None]]:
+                    accuracy: int = DEFAULT_ACCURACY, sample_rows: int = DEFAULT_SAMPLE_ROWS,
+                    gather_rows: int = DEFAULT_GATHER_ROWS,
+                    small_rows: int = SMALL_ROWS) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles; nulls and NaN are ignored.
 
     ``gather_rows`` bounds how many rows strictly inside one interval are ever
@@ -262,21 +292,28 @@ def exact_quantiles(df: DataFrame, cols: list[str], shares: list[float],
     """
     if not cols:
         return {}
-    searches = _first_pass(df, cols, shares, accuracy, gather_rows)
+    searches = [_Search(c, p) for c in cols for p in shares]
+    rows = df.count()
+    if rows <= small_rows:
+        _gather_whole(df, searches)
+    else:
+        _propose(df, searches, accuracy, sample_rows, rows)
+        _count_pass(df, searches, gather_rows, first=True)
     while open_searches := [s for s in searches if not s.settled]:
-        _count_pass(df, open_searches, gather_rows)
         # proven but still too wide; a moved proposal is counted again first
-        wide = [s for s in open_searches if s.counted and not s.settled]
+        wide = [s for s in open_searches if s.counted]
         if wide:
-            _narrow_pass(df, wide, accuracy)
-    result: dict[str, list[float | None]] = {c: [] for c in cols}
-    gathered = [s for s in searches if s.split_at is None]
-    split = [s for s in searches if s.split_at is not None]
+            _propose(df, wide, accuracy, sample_rows, None)
+        _count_pass(df, open_searches, gather_rows, first=False)
+    filled = [s for s in searches if s.rows]
+    gathered = [s for s in filled if s.split_at is None]
+    split = [s for s in filled if s.split_at is not None]
     pairs = {id(s): pair for part, read in ((gathered, _gather_pass), (split, _split_pass))
              if part for s, pair in zip(part, read(df, part))}
+    result: dict[str, list[float | None]] = {c: [] for c in cols}
     for s in searches:
-        result[s.column].append(s.interpolate(*pairs[id(s)]))
-    return {c: q or [None] * len(shares) for c, q in result.items()}
+        result[s.column].append(s.interpolate(*pairs[id(s)]) if s.rows else None)
+    return result
 
 
 def approx_quantiles(df: DataFrame, cols: list[str], shares: list[float],
