@@ -32,7 +32,8 @@ DEFAULT_ACCURACY = 10_000
 DEFAULT_SAMPLE_ROWS = 4_000_000
 DEFAULT_GATHER_ROWS = 1_000_000
 SMALL_ROWS = 100_000        # tables up to this size are gathered right away
-SAMPLE_PARTITIONS = 64
+SMALLEST_SAMPLE = 20_000
+SKETCH_ROWS = 65_536        # sampled rows per sketch
 SAMPLE_SEED = 20_181
 
 
@@ -159,19 +160,31 @@ def _gather_whole(df: DataFrame, searches: list[_Search]) -> None:
         s.inside, s.settled = s.rows, True
 
 
+def _sample_size(rows: int, sample_rows: int, gather_rows: int) -> float:
+    """Enough rows for the interval to come out below ``gather_rows``, within bounds.
+
+    An interval is ten standard errors wide, at most 5 * rows / sqrt(sample).
+    """
+    enough = (10 * rows / max(gather_rows, 1)) ** 2
+    return min(max(enough, SMALLEST_SAMPLE), sample_rows)
+
+
 def _propose(df: DataFrame, searches: list[_Search], accuracy: int, sample_rows: int,
-             rows: int | None) -> None:
+             gather_rows: int, rows: int | None) -> None:
     """Propose intervals a little wider than the sampling error around each rank.
 
     ``rows`` is the size of the table for the first proposal; later ones look
     inside the intervals proven so far.
     """
     smallest = rows if rows is not None else min(s.inside for s in searches)
-    fraction = min(1.0, sample_rows / max(smallest, 1))
+    wanted = _sample_size(smallest, sample_rows, gather_rows)
+    fraction = min(1.0, wanted / max(smallest, 1))
     data = df
     if fraction < 1.0:
         # few rows are left, so they are brought to few sketches
-        data = df.sample(fraction, SAMPLE_SEED).repartition(SAMPLE_PARTITIONS)
+        data = df.sample(fraction, SAMPLE_SEED).select(
+            *[quoted(c) for c in dict.fromkeys(s.column for s in searches)]
+        ).repartition(math.ceil(wanted / SKETCH_ROWS))
     aggs = []
     for i, s in enumerate(searches):
         v = _double(s.column)
@@ -297,13 +310,13 @@ def exact_quantiles(df: DataFrame, cols: list[str], shares: list[float],
     if rows <= small_rows:
         _gather_whole(df, searches)
     else:
-        _propose(df, searches, accuracy, sample_rows, rows)
+        _propose(df, searches, accuracy, sample_rows, gather_rows, rows)
         _count_pass(df, searches, gather_rows, first=True)
     while open_searches := [s for s in searches if not s.settled]:
         # proven but still too wide; a moved proposal is counted again first
         wide = [s for s in open_searches if s.counted]
         if wide:
-            _propose(df, wide, accuracy, sample_rows, None)
+            _propose(df, wide, accuracy, sample_rows, gather_rows, None)
         _count_pass(df, open_searches, gather_rows, first=False)
     filled = [s for s in searches if s.rows]
     gathered = [s for s in filled if s.split_at is None]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowcascade.functions import quoted
 from flowcascade.operators.labels import lookup
@@ -20,10 +21,18 @@ MAX_RANGES = 50_000         # bounds the table of range totals, which is broadca
 
 
 def class_scores(df: DataFrame, y_true: str, scores: str, names: list[str]) -> DataFrame:
-    """``(class_code, score, pos, neg)``: rows per distinct score of each class."""
+    """``(class_code, score, pos, neg)``: rows per distinct score of each class.
+
+    ``y_true`` holds class codes, or arrays with a 1 at the class (one-hot).
+    """
+    encoded = isinstance(df.schema[y_true].dataType, T.ArrayType)
+
+    def is_class(i: int) -> Column:
+        return quoted(y_true)[i] == 1 if encoded else quoted(y_true) == F.lit(i)
+
     entries = F.array(*[
         F.struct(F.lit(i).alias("class_code"), quoted(scores)[i].cast("double").alias("score"),
-                 (quoted(y_true) == F.lit(i)).alias("hit"))
+                 is_class(i).alias("hit"))
         for i in range(len(names))])
     hit = F.coalesce(F.col("hit"), F.lit(False))
     return (

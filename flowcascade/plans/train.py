@@ -25,7 +25,7 @@ from flowcascade.plans.fit import (
 from flowcascade.plans.prepare import level_datasets, prepare
 from flowcascade.plans.scoring import score_all
 from flowcascade.schema import DEFAULT_COMPONENTS, NODES
-from flowcascade.session import stage
+from flowcascade.session import discard_stage, restage
 from flowcascade.sources.reports import write_report
 from flowcascade.sources.state import save_models, save_state
 
@@ -51,13 +51,14 @@ def train_and_evaluate(spark: SparkSession, train_path: str, valid_path: str, ou
     train, state = prepare(spark, train_path, components=components, approx=approx)
     save_state(spark, state, f"{out_dir}/state")
     valid, _ = prepare(spark, valid_path, state)
-    train, valid = stage(train, "train"), stage(valid, "valid")
+    train, valid = restage(train, "train"), restage(valid, "valid")
     fitted = fit_cascade(level_datasets(train, valid, staged=False), candidates, patience)
     save_models(spark, fitted.models, f"{out_dir}/models")
 
     scored, columns = score_all(valid, fitted.models)
-    scored = stage(scored.select("leaf", *[n.label_column for n in NODES], *columns.values()),
-                   "scored")
+    scored = restage(scored.select("leaf", *[n.label_column for n in NODES], *columns.values()),
+                     "scored")
+    discard_stage(train)
     reports = {n.name: level_report(scored, columns, n) for n in NODES if n.name in columns}
     reports["end_to_end"] = end_to_end_report(cascade(scored, columns), "leaf")
     for node in NODES:

@@ -100,8 +100,15 @@ def stage(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def restage(df: DataFrame, name: str) -> DataFrame:
+    """Stage ``df`` and delete the staged table it was computed from."""
+    table = stage(df, name)
+    discard_stage(df)
+    return table
+
+
 def discard_stage(df: DataFrame) -> None:
-    """Delete the staged table that ``df`` reads directly; other inputs are left alone."""
+    """Delete the staged tables ``df`` reads; its other inputs are left alone."""
     spark = df.sparkSession
     folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for folder in folders:

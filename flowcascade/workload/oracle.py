@@ -280,6 +280,10 @@ ORACLE: dict[str, str] = {
     "node_counts": with_views("predicted", _node_counts),
     # evaluation
     "evaluate_levels": with_views("own", _levels),
+    "level_pairs": with_views("own", union([
+        f"select {IDS}, {n.level} as level, '{n.name}' as node, {n.label_column} as y_true, "
+        f"own_{n.name} as y_pred, round({node_loss(n)}, 5) as loss "
+        f"from own where {n.label_column} <> -1" for n in NODES])),
     "log_loss": with_views(
         "own", f"select count(*) as rows, round(avg({node_loss(_root)}), 5) as loss "
                "from own where level1 <> -1"),
@@ -336,3 +340,11 @@ def _numeric_label() -> str:
 
 
 ORACLE["label_numeric"] = _numeric_label()
+ORACLE["prepared_labels"] = with_views(
+    "labelled", """
+    select "Label" as leaf, (dense_rank() over (order by "Label") - 1)::int as label_code,
+           level1, level2, level3, level4, level5, count(*) as rows
+    from (select distinct "Protocol", "FlowDuration", "FlowBytes/s", "FwdIATMean", "FwdIATStd",
+                 "Label", level1, level2, level3, level4, level5
+          from labelled where "FwdIATStd" is not null)
+    group by "Label", level1, level2, level3, level4, level5""")

@@ -314,6 +314,12 @@ def evaluate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.evaluate_levels(scored_flows(spark, sf_dir), SCORES), ["loss", "accuracy"], 5)
 
 
+@query
+def level_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True and predicted class and loss of every row at every level that applies."""
+    return rounded(E.level_pairs(scored_flows(spark, sf_dir), SCORES, IDS), ["loss"], 5)
+
+
 @query
 def log_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = NODES[0]
@@ -407,6 +413,14 @@ def flow_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prepared(spark, sf_dir)
 
 
+@query
+def prepared_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared rows per leaf, label code and level codes."""
+    return _prepared(spark, sf_dir).groupBy(
+        "leaf", "label_code", *[n.label_column for n in NODES]).agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
 @query
 def cascade_fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit all nodes on the prepared flows and score them."""

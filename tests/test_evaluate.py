@@ -113,6 +113,14 @@ def test_roc_and_auc_equal_brute_force(probabilities, range_rows):
         assert areas[name]["auc"] == pytest.approx(np.trapezoid(h, x))
 
 
+def test_roc_takes_one_hot_targets(probabilities):
+    _, _, df = probabilities
+    hot = df.withColumn("y", F.array(*[(F.col("y") == c).cast("int") for c in range(3)]))
+    names = ["a", "b", "c"]
+    assert sorted(R.auc(hot, "y", "p", names).collect()) == sorted(
+        R.auc(df, "y", "p", names).collect())
+
+
 def test_roc_of_one_sided_classes(spark):
     df = spark.createDataFrame([(0, [0.9, 0.1]), (0, [0.4, 0.6])], "y int, p array<double>")
     areas = R.auc(df, "y", "p", ["a", "b"]).collect()
