@@ -31,7 +31,7 @@ from flowcascade.functions import nan_to_null, quoted
 DEFAULT_ACCURACY = 10_000
 DEFAULT_SAMPLE_ROWS = 4_000_000
 DEFAULT_GATHER_ROWS = 1_000_000
-SMALL_ROWS = 100_000        # tables up to this size are gathered right away
+SMALL_ROWS = 100_000        # columns of tables up to this size are simply sorted
 SMALLEST_SAMPLE = 20_000
 SKETCH_ROWS = 65_536        # sampled rows per sketch
 SAMPLE_SEED = 20_181
@@ -80,8 +80,6 @@ class _Search:
 
     def at_edge(self, rank: int) -> float | None:
         """The value of ``rank`` if it is one of the two edges."""
-        if not self.counted:
-            return None
         if rank < self.below + self.at_low:
             return self.low
         return self.high if rank >= self.below + self.inside - self.at_high else None
@@ -151,13 +149,25 @@ def _use_extent(row, cols: list[str], searches: list[_Search]) -> None:
         s.rows, s.floor, s.ceiling = row[f"n{i}"], row[f"min{i}"], row[f"max{i}"]
 
 
-def _gather_whole(df: DataFrame, searches: list[_Search]) -> None:
-    """A small table: every search covers its whole column."""
-    cols = list(dict.fromkeys(s.column for s in searches))
-    _use_extent(df.agg(*_extent(cols)).first(), cols, searches)
-    for s in searches:
-        s.propose(s.floor, s.ceiling)
-        s.inside, s.settled = s.rows, True
+def _small_quantiles(df: DataFrame, cols: list[str],
+                     shares: list[float]) -> dict[str, list[float | None]]:
+    """Quantiles of a table already known to be small, in one pass over sorted columns."""
+    sorted_columns = df.agg(*[
+        F.sort_array(F.collect_list(_double(c))).alias(f"v{i}") for i, c in enumerate(cols)])
+    picks = []
+    for i in range(len(cols)):
+        values = F.col(f"v{i}")
+        last = F.size(values) - 1
+        picks.append(F.size(values).alias(f"n{i}"))
+        for j, p in enumerate(shares):
+            rank = F.floor(F.lit(p) * last).cast("int")
+            picks += [F.get(values, rank).alias(f"a{i}_{j}"),
+                      F.get(values, F.least(rank + 1, last)).alias(f"b{i}_{j}")]
+    row = sorted_columns.select(*picks).first()
+    return {
+        c: [_Search(c, p, row[f"n{i}"]).interpolate(row[f"a{i}_{j}"], row[f"b{i}_{j}"])
+            if row[f"n{i}"] else None for j, p in enumerate(shares)]
+        for i, c in enumerate(cols)}
 
 
 def _sample_size(rows: int, sample_rows: int, gather_rows: int) -> float:
@@ -280,7 +290,7 @@ def _gather_pass(df: DataFrame, searches: list[_Search]) -> list[tuple[float, fl
 
 def _gathered(s: _Search) -> Column:
     c = _double(s.column)
-    return (c > _lit(s.low)) & (c < _lit(s.high)) if s.counted else c.isNotNull()
+    return (c > _lit(s.low)) & (c < _lit(s.high))
 
 
 def _split_pass(df: DataFrame, searches: list[_Search]) -> list[tuple[float, float]]:
@@ -305,13 +315,12 @@ def exact_quantiles(df: DataFrame, cols: list[str], shares: list[float],
     """
     if not cols:
         return {}
-    searches = [_Search(c, p) for c in cols for p in shares]
     rows = df.count()
     if rows <= small_rows:
-        _gather_whole(df, searches)
-    else:
-        _propose(df, searches, accuracy, sample_rows, gather_rows, rows)
-        _count_pass(df, searches, gather_rows, first=True)
+        return _small_quantiles(df, cols, shares)
+    searches = [_Search(c, p) for c in cols for p in shares]
+    _propose(df, searches, accuracy, sample_rows, gather_rows, rows)
+    _count_pass(df, searches, gather_rows, first=True)
     while open_searches := [s for s in searches if not s.settled]:
         # proven but still too wide; a moved proposal is counted again first
         wide = [s for s in open_searches if s.counted]
