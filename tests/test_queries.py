@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from flowcascade.workload.oracle import ORACLE
+from flowcascade.workload.queries import QUERIES
 from tools.compare import TABLES, differences
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +23,7 @@ def db():
 
 
 def test_every_query_but_the_fits_has_sql():
-    assert set(spark_entry.queries()) - set(spark_entry.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
     assert set(spark_entry.oracle_sql()) <= set(spark_entry.queries())
 
 
@@ -29,10 +31,10 @@ def test_entry(spark):
     assert spark_entry.entry(spark).count() == 17
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, db, name):
-    got = spark_entry.queries()[name](spark, SF).toPandas()
+    got = QUERIES[name](spark, SF).toPandas()
     assert len(got) > 0
-    sql = spark_entry.oracle_sql().get(name)
+    sql = ORACLE.get(name)
     if sql is not None:
         assert differences(got, db.execute(sql).df()) == ""
