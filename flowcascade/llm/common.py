@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from flowcascade.session import stage
+
 # A batch handed to Python holds at most so many rows and about so many bytes.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
@@ -40,3 +42,30 @@ def only_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi
     """Rows of ``docs`` whose id is (``left_semi``) or is not (``left_anti``) in ``ids.doc_id``."""
     keys = ids.select(F.col("doc_id").alias("__id"))
     return docs.join(keys, named(id_col).cast("long").eqNullSafe(F.col("__id")), how)
+
+
+def number_rows(df: DataFrame, group: list[str], order: list[str], name: str,
+                numbered: str = "nth") -> DataFrame:
+    """``df`` with a number from 0, without gaps, in each group, in the order given.
+
+    No task numbers a whole group: the rows are range-partitioned by group and order and
+    written, each partition numbers its own part of a group, and the counts per partition
+    give the offsets.  ``order`` must not contain ties that matter.
+    """
+    placed = stage(df.withColumn("__tie", F.monotonically_increasing_id())
+                   .repartitionByRange(*group, *order, "__tie")
+                   .withColumn("__part", F.spark_partition_id()), name)
+    counts = placed.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(
+        Window.unboundedPreceding, -1)
+    renamed = {c: f"__{c}" for c in group}
+    offsets = counts.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))
+                                ).drop("__n").withColumnsRenamed(renamed | {"__part": "__at"})
+    inside = Window.partitionBy(*group, "__part").orderBy(*order, "__tie")
+    same = F.col("__part") == F.col("__at")
+    for c, other in renamed.items():
+        same &= named(c).eqNullSafe(named(other))
+    return (placed.withColumn("__nth", F.row_number().over(inside))
+            .join(offsets, same)
+            .withColumn(numbered, (F.col("__first") + F.col("__nth") - 1).cast("long"))
+            .drop("__tie", "__part", "__at", "__first", "__nth", *renamed.values()))

@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowcascade.llm import packing, quality_rules, secrets, sharding
+from flowcascade.llm import (
+    chat,
+    decontaminate,
+    licenses,
+    packing,
+    quality_rules,
+    secrets,
+    sharding,
+    simhash,
+    suffix_dedup,
+    urls,
+)
 from flowcascade.llm.common import load
 from flowcascade.llm.oracle import ORACLE  # noqa: F401 - read by the entry module
 
@@ -23,6 +35,43 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(load(spark, sf_dir, "documents"))
 
 
+@query
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(load(spark, sf_dir, "documents"),
+                                    load(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page takes the labels of the document with its number; toxic or poor ones block."""
+    pages, labels = load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels")
+    block = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    labelled = pages.join(labels, pages["page_id"] == labels["doc_id"]).select(
+        "url", block.alias("block"))
+    return urls.judge_urls(pages, urls.mine_rules(labelled))
+
+
+@query
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.calls_of(load(spark, sf_dir, "conversations"))
+    return chat.link_tool_calls(calls, results, chat.SCHEMAS)
+
+
+@query
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+
+
+@query
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(load(spark, sf_dir, "documents"))
+
+
+@query
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 @query
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(load(spark, sf_dir, "documents"))

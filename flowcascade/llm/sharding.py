@@ -11,11 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowcascade.llm.common import named
-from flowcascade.session import stage
+from flowcascade.llm.common import named, number_rows
 
 _STEP = np.uint64(2862933555777941757)     # fixed value of the published method
 NULL_KEY = -1
@@ -70,19 +69,7 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id",
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = rows.withColumns({"shard": shard_of(F.col("doc_id"), shards),
-                             "grown_shard": shard_of(F.col("doc_id"), shards + 1),
-                             "tie": F.monotonically_increasing_id()})
-    order = ["doc_id", "text_crc32", "size", "tie"]
-    placed = stage(rows.repartitionByRange("shard", *order)
-                   .withColumn("part", F.spark_partition_id()), "shards")
-    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0))
-                            .alias("first"))
-    inside = Window.partitionBy("shard", "part").orderBy(*order)
-    return (placed.withColumn("nth", F.row_number().over(inside))
-            .join(offsets, ["shard", "part"])
-            .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-                    (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"),
-                    "grown_shard"))
+                             "grown_shard": shard_of(F.col("doc_id"), shards + 1)})
+    placed = number_rows(rows, ["shard"], ["doc_id", "text_crc32", "size"], "shards", "slot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
+                         "slot", "grown_shard")
