@@ -5,15 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowcascade.llm import packing, quality_rules, secrets
-from flowcascade.llm.common import load, only_ids
+from flowcascade.llm import decontaminate, packing, quality_rules, secrets, simhash
+from flowcascade.llm.common import load
 from flowcascade.session import stage
 
+ROW = "__row"
+
+
+def _rows(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` written with a number per row, so that rows with one id or none differ."""
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    verdicts = quality_rules.judge(docs)
-    return only_ids(docs, verdicts.filter("kept").select("doc_id"), "doc_id")
+    """Documents that the quality rules keep; every row is judged by its own text."""
+    rows = _rows(docs, "quality-rows")
+    kept = quality_rules.judge(rows, id_col=ROW).filter("kept")
+    return rows.join(kept.select(F.col("doc_id").alias(ROW)), ROW, "left_semi").select(
+        docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates the document with the smallest id.
+
+    Repeated rows are one group.  Null ids come last; of equal ids the first row stays.
+    """
+    rows = _rows(docs, "simhash-rows")
+    groups = simhash.near_duplicates(rows, id_col=ROW).select(
+        F.col("doc_id").alias(ROW), "component_id")
+    ids = rows.select(ROW, "doc_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    kept = groups.join(ids, ROW).groupBy("component_id").agg(F.min_by(ROW, order).alias(ROW))
+    return rows.join(kept.select(ROW), ROW, "left_semi").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of ``benchmark``."""
+    return decontaminate.drop_leaks(docs, load(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +54,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("secret scans", secret_scan), ("packing", pack)]
+STAGES = [
+    ("quality rules", quality),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("packing", pack),
+]
 
 ORACLE_SQL = None
 
