@@ -10,13 +10,14 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowcascade.llm.common import number_rows
-from flowcascade.session import discard_stage, restage, stage
+from flowcascade.session import discard_stage, stage
 
 KEY = ["conv_id", "call_id"]
 
@@ -151,19 +152,36 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """``conv_id``, ``call_id``, ``level``: the longest chain of dependencies below a call.
-
-    ``calls`` has unique keys and ``depends_on``; dependencies on calls that do not exist
-    are left out.  Rounds: a round settles the calls whose dependencies are all settled,
-    joining the open dependencies with the calls of the round before, so a conversation
-    of any size is spread over all tasks.  Calls on a cycle, or behind one, have no row.
+    """``conv_id``, ``call_id``, ``level``: a number that is greater than those of all
+    calls that the call depends on, or 0 in conversations whose turns are in order.
+
+    ``calls`` has unique keys, ``turn`` and ``depends_on``; dependencies on calls that do
+    not exist are left out.  Where every dependency points to an earlier call (by turn,
+    then identifier), that order is topological and all levels are 0; conversations of any
+    length are settled by this one join.  In the others the level is the length of the
+    longest chain of dependencies below the call, found in rounds: a round settles the
+    calls whose dependencies are all settled, joining the open dependencies with the calls
+    of the round before.  Calls on a cycle, or behind one, have no row.
     """
     keys = calls.select(*KEY)
-    wanted = calls.select(*KEY, F.explode(F.array_distinct("depends_on")).alias("needs"))
-    on = keys.select(F.col("conv_id").alias("o_conv"), F.col("call_id").alias("o_call"))
+    wanted = calls.select(*KEY, "turn", F.explode(F.array_distinct("depends_on")).alias("needs"))
+    on = calls.select(F.col("conv_id").alias("o_conv"), F.col("call_id").alias("o_call"),
+                      F.col("turn").alias("o_turn"))
     exists = (F.col("conv_id").eqNullSafe(F.col("o_conv"))
               & F.col("needs").eqNullSafe(F.col("o_call")))
-    open_edges = stage(wanted.join(on, exists, "left_semi"), "needs")
+    turn, other_turn = (F.coalesce(c, F.lit(-(2**63))) for c in ("turn", "o_turn"))
+    here, other = F.coalesce("call_id", F.lit("")), F.coalesce("o_call", F.lit(""))
+    earlier = (other_turn < turn) | ((other_turn == turn) & (other < here))
+    edges = stage(wanted.join(on, exists).select(*KEY, "needs", earlier.alias("earlier")),
+                  "edges")
+    mixed = stage(edges.filter(~F.col("earlier")).select(F.col("conv_id").alias("m_conv"))
+                  .distinct(), "mixed")
+    if mixed.isEmpty():
+        return keys.withColumn("level", F.lit(0))
+    is_mixed = F.col("conv_id").eqNullSafe(F.col("m_conv"))
+    plain = keys.join(mixed, is_mixed, "left_anti").withColumn("level", F.lit(0))
+    keys = keys.join(mixed, is_mixed, "left_semi")
+    open_edges = stage(edges.join(mixed, is_mixed, "left_semi").select(*KEY, "needs"), "needs")
     blocked = open_edges.select(*[F.col(k).alias(f"b_{k}") for k in KEY]).distinct()
     is_blocked = (F.col("conv_id").eqNullSafe(F.col("b_conv_id"))
                   & F.col("call_id").eqNullSafe(F.col("b_call_id")))
@@ -181,12 +199,10 @@ def levels(calls: DataFrame) -> DataFrame:
             discard_stage(settled)
             break
         done.append(settled)
-        open_edges = restage(now_open, "needs")
+        before, open_edges = open_edges, stage(now_open, "needs")
+        discard_stage(before)
     discard_stage(open_edges)
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionAll(more)
-    return found
+    return reduce(DataFrame.unionAll, done, plain)
 
 
 REPORT = ("conv_id long, call_id string, name string, position long, level int, status string, "
@@ -202,14 +218,14 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
 
     ``status``: ``no_call`` (a result without a call), ``cycle`` (on or behind a cycle of
     dependencies), ``invalid`` (see ``errors``), ``no_result``, else ``linked``, the first
-    that holds.  ``position`` counts from 0 in a conversation by level, turn and
-    identifier; what has no level comes last.  Null conversations and identifiers are
+    that holds.  ``position`` counts from 0 in a conversation by level (see
+    :func:`levels`), turn and identifier; what has no level comes last.  Null conversations and identifiers are
     values like any other; null arguments are no JSON; null dependencies are none.  Empty
     tables give an empty result.
     """
     linked = stage(link(calls.select(*KEY, "turn", "name", "arguments", "depends_on"),
                         results.select(*KEY, "turn", "content")), "linked")
-    level = levels(linked.filter("n_calls > 0").select(*KEY, "depends_on"))
+    level = levels(linked.filter("n_calls > 0").select(*KEY, "turn", "depends_on"))
     other = level.select(*[F.col(k).alias(f"l_{k}") for k in KEY], "level")
     same = (F.col("conv_id").eqNullSafe(F.col("l_conv_id"))
             & F.col("call_id").eqNullSafe(F.col("l_call_id")))
