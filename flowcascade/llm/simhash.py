@@ -1,11 +1,17 @@
 """SimHash near-duplicates by vantage-point trees.
 
 Every text gets a 64-bit fingerprint of its word shingles.  The distinct fingerprints are
-partitioned by a vantage-point tree: each node sends a fingerprint left or right by its
+partitioned by vantage-point trees: each node sends a fingerprint left or right by its
 Hamming distance to the node's vantage point.  A fingerprint also visits the leaves that
 its ball overlaps (triangle inequality), so every pair within the distance meets in one
 leaf.  Inside a leaf the same pruning goes on.  Leaves hand on a spanning forest of their
 links, never all pairs, and the components come from that.
+
+Over all 64 bits a ball of 4 bits overlaps most boundaries, for most distances are about
+32.  So there is a tree for each of several blocks of bits, whose distances count that
+block alone: of two fingerprints that differ in d bits, some block of m has at most d // m
+of them, and in that block's tree the ball is that small.  With d + 1 blocks it has radius
+0, and a fingerprint goes to one leaf of each tree.
 """
 
 from __future__ import annotations
@@ -27,7 +33,8 @@ SEED = 42                # of the shingle hash, a fixed value
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 SAMPLE = 1 << 15         # fingerprints from which the tree is built
-LEAF = 1 << 12           # fingerprints wanted in a leaf
+LEAF = 1 << 10           # fingerprints wanted in a leaf
+MAX_TREES = 16
 CHUNK = 1 << 14          # home fingerprints that one task holds at a time
 PAIR_BLOCK = 1 << 20     # distances computed at a time
 
@@ -74,11 +81,18 @@ def distance(a, b) -> np.ndarray:
     return np.bitwise_count(np.bitwise_xor(a, b))
 
 
+def blocks(n: int) -> list[np.uint64]:
+    """Masks that share the 64 bits among ``n`` blocks."""
+    return [np.uint64(sum(1 << int(b) for b in part)) for part in np.array_split(range(64), n)]
+
+
 class VantageTree:
-    """A complete binary tree; node i has the children 2 i + 1 (inside) and 2 i + 2."""
+    """A complete binary tree over the bits of ``mask``; node i has the children 2 i + 1
+    (inside) and 2 i + 2."""
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int = 0):
-        self.depth = depth
+    def __init__(self, sample: np.ndarray, depth: int, mask: int = 2**64 - 1, seed: int = 0):
+        self.depth, self.mask = depth, np.uint64(mask)
+        sample = sample & self.mask
         self.points = np.zeros((1 << depth) - 1, np.uint64)
         self.radii = np.full((1 << depth) - 1, 64, np.int64)
         draw = np.random.default_rng(seed)
@@ -92,18 +106,21 @@ class VantageTree:
 
     @staticmethod
     def _split(here: np.ndarray, draw) -> tuple[np.uint64, int]:
-        """Of a few candidates the point from which distances spread most, and their median."""
+        """Of a few candidates the point and radius that part the sample most evenly; of
+        equal ones that from which distances spread most."""
         best = None
         probe = draw.choice(here, min(len(here), 1000), replace=False)
         for point in draw.choice(here, min(len(here), 16), replace=False):
             away = distance(probe, point).astype(np.int64)
             middle = int(np.median(away))
-            key = (np.abs(away - middle).mean(), int(point))
-            if best is None or key > best[0]:
-                best = (key, point, middle)
+            for radius in (middle - 1, middle):
+                key = (-abs((away <= radius).mean() - 0.5), away.std(), int(point))
+                if best is None or key > best[0]:
+                    best = (key, point, radius)
         return best[1], best[2]
 
     def home(self, fps: np.ndarray) -> np.ndarray:
+        fps = fps & self.mask
         node = np.zeros(len(fps), np.int64)
         for _ in range(self.depth):
             node = 2 * node + 1 + (distance(fps, self.points[node]) > self.radii[node])
@@ -111,6 +128,7 @@ class VantageTree:
 
     def overlaps(self, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and leaves of all leaves that the balls of the fingerprints reach."""
+        fps = fps & self.mask
         row, node = np.arange(len(fps)), np.zeros(len(fps), np.int64)
         for _ in range(self.depth):
             away = distance(fps[row], self.points[node]).astype(np.int64)
@@ -175,14 +193,17 @@ class Links:
                 self._join(int(visitors[v[k]]), np.append(matched, v[k]) if own else matched)
 
 
-def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+def links(fps: DataFrame, bits: int = MAX_BITS, trees: int | None = None) -> DataFrame:
     """Edges ``a``, ``b`` whose components are those of all pairs within ``bits``.
 
-    ``fps`` has one row per distinct fingerprint (``fp``).  The tree is built from a
-    sample; whatever the sample, every pair within the distance meets.  Of two leaves the
-    one with the smaller number does the visiting.  A leaf with more than ``CHUNK``
-    fingerprints is cut into chunks, each a group of its own.
+    ``fps`` has one row per distinct fingerprint (``fp``).  The trees (``bits`` + 1, at
+    most 16, if not given) are built from a sample; whatever the sample, every pair within
+    the distance meets.  Of two leaves the one with the smaller number does the visiting.
+    A leaf with more than ``CHUNK`` fingerprints is cut into chunks, each a group of its
+    own.
     """
+    trees = trees or min(bits + 1, MAX_TREES)
+    budget = bits // trees
     spark = fps.sparkSession
     total = fps.count()
     sample = [r[0] for r in fps.sample(min(1.0, SAMPLE / max(total, 1)), seed=1)
@@ -190,18 +211,19 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     sampled = np.sort(np.array(sample, np.int64).view(np.uint64))
     depth = max(0, math.ceil(math.log2(max(total, 1) / LEAF)))
     depth = min(depth, max(0, int(math.log2(max(len(sampled), 1))) - 3))
-    tree = VantageTree(sampled, depth)
+    forest = [VantageTree(sampled, depth, int(mask)) for mask in blocks(trees)]
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = tree.home(batch.column("fp").to_numpy().view(np.uint64))
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            leaf = np.concatenate([tree.home(fp) + (i << depth) for i, tree in enumerate(forest)])
             at, n = np.unique(leaf, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["leaf", "n"])
 
-    # one row per leaf of the tree, whose size is bounded by the sample
+    # one row per leaf of the trees, whose size is bounded by the sample
     sizes = {r["leaf"]: r["n"] for r in fps.mapInArrow(homes, "leaf long, n long")
              .groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
-    chunks = np.ones(1 << depth, np.int64)
+    chunks = np.ones(trees << depth, np.int64)
     for leaf, n in sizes.items():
         chunks[leaf] = -(-n // CHUNK)
 
@@ -209,24 +231,27 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         for batch in batches:
             fp = batch.column("fp").to_numpy()
             unsigned = fp.view(np.uint64)
-            home = tree.home(unsigned)
-            own = ((unsigned * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(
-                np.int64) % chunks[home]
-            row, leaf = tree.overlaps(unsigned, bits)
-            wanted = leaf >= home[row]
-            row, leaf = row[wanted], leaf[wanted]
-            at_home = leaf == home[row]
-            # a home fingerprint is dealt to its own chunk and visits the chunks before it
-            times = np.where(at_home, own[row] + 1, chunks[leaf])
-            again = np.repeat(np.arange(len(row)), times)
-            chunk = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-            is_home = at_home[again] & (chunk == own[row[again]])
-            for i in range(0, len(again), 1 << 18):
-                part = slice(i, i + (1 << 18))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf[again[part]]), pa.array(chunk[part]),
-                     pa.array(is_home[part]), pa.array(fp[row[again[part]]])],
-                    names=["leaf", "chunk", "home", "fp"])
+            part_of = ((unsigned * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(
+                np.int64)
+            for i, tree in enumerate(forest):
+                home = tree.home(unsigned) + (i << depth)
+                own = part_of % chunks[home]
+                row, leaf = tree.overlaps(unsigned, budget)
+                leaf = leaf + (i << depth)
+                wanted = leaf >= home[row]
+                row, leaf = row[wanted], leaf[wanted]
+                at_home = leaf == home[row]
+                # a home fingerprint is dealt to its own chunk and visits the chunks before it
+                times = np.where(at_home, own[row] + 1, chunks[leaf])
+                again = np.repeat(np.arange(len(row)), times)
+                chunk = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+                is_home = at_home[again] & (chunk == own[row[again]])
+                for j in range(0, len(again), 1 << 18):
+                    part = slice(j, j + (1 << 18))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(leaf[again[part]]), pa.array(chunk[part]),
+                         pa.array(is_home[part]), pa.array(fp[row[again[part]]])],
+                        names=["leaf", "chunk", "home", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups come one after the other, home fingerprints first."""
