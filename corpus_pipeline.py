@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowcascade.llm import decontaminate, packing, quality_rules, secrets, simhash
-from flowcascade.llm.common import load
+from flowcascade.llm.common import load, named
 from flowcascade.session import stage
 
 ROW = "__row"
@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _rows(docs, "quality-rows")
     kept = quality_rules.judge(rows, id_col=ROW).filter("kept")
     return rows.join(kept.select(F.col("doc_id").alias(ROW)), ROW, "left_semi").select(
-        docs.columns)
+        *map(named, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = rows.select(ROW, "doc_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
     kept = groups.join(ids, ROW).groupBy("component_id").agg(F.min_by(ROW, order).alias(ROW))
-    return rows.join(kept.select(ROW), ROW, "left_semi").select(docs.columns)
+    return rows.join(kept.select(ROW), ROW, "left_semi").select(
+        *map(named, docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

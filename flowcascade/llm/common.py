@@ -34,6 +34,12 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def map_whole_rows(df: DataFrame, fn) -> DataFrame:
+    """``df.mapInArrow(fn)`` with the schema of ``df``, whatever its columns are called."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(fn, plain.schema).toDF(*df.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from flowcascade.llm.common import id_and_text, named
+from flowcascade.llm.common import id_and_text, map_whole_rows, named
 
 MAX_EDITS = 0.15         # of an item's words
 RECALL = 0.99            # wanted chance of meeting a passage with that many edits
@@ -311,5 +311,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = MAX_EDITS,
                 leaky = {d for d, *_ in items.search(texts)}
                 yield batch.filter(pa.array([i not in leaky for i in range(len(texts))],
                                             pa.bool_()))
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = map_whole_rows(docs, keep)
     return docs

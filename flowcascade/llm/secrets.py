@@ -17,7 +17,7 @@ from re import _parser as regex_parser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from flowcascade.llm.common import id_and_text
+from flowcascade.llm.common import id_and_text, map_whole_rows
 
 MAX_EXACT = 64          # spellings followed side by side while a query is derived
 
@@ -267,4 +267,4 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str =
                     [len(c) if s else n for c, s, n in zip(clean, found, old)], kind)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(redact, docs.schema)
+    return map_whole_rows(docs, redact)
