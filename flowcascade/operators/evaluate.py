@@ -63,29 +63,29 @@ def confusion_normalised(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, y_true: str, y_pred: str,
                      classes: list | None = None, normalise: bool = False) -> DataFrame:
-    """Wide form: one row per class seen, one column ``p_<class>`` per class seen.
+    """Wide form: one row and one column ``p_<class>`` per class.
 
-    Without ``classes`` they are the sorted union of both columns' values.
+    The classes are those named, then the other values of both columns, sorted, so that
+    every pair without a null is counted.
     """
     pairs = confusion(df, y_true, y_pred)
-    if classes is None:
-        seen = pairs.select(F.explode(F.array("y_true", "y_pred")).alias("c")).distinct()
-        classes = [r["c"] for r in seen.filter(F.col("c").isNotNull()).orderBy("c").collect()]
-    spread = [
-        F.coalesce(F.sum(F.when((F.col("y_true") == c) & (F.col("y_pred") == p), F.col("n"))),
-                   F.lit(0)).alias(f"n{i}_{j}")
-        for i, c in enumerate(classes) for j, p in enumerate(classes)]
+    seen = pairs.select(F.explode(F.array("y_true", "y_pred")).alias("c")).distinct()
+    found = [r["c"] for r in seen.filter(F.col("c").isNotNull()).orderBy("c").collect()]
+    classes = list(classes or [])
+    classes += [c for c in found if c not in classes]
     if not classes:
         return pairs.select("y_true").limit(0)
-    rows = []
-    for i, c in enumerate(classes):
-        cells = [F.col(f"n{i}_{j}") for j in range(len(classes))]
-        if normalise:
-            total = sum(cells[1:], cells[0]) + F.lit(ROW_NORMALISER)
-            cells = [x / total for x in cells]
-        rows.append(F.struct(F.lit(c).alias("y_true"),
-                             *[x.alias(f"p_{p}") for x, p in zip(cells, classes)]))
-    return pairs.agg(*spread).select(F.inline(F.array(*rows)))
+    wide = pairs.groupBy("y_true").pivot("y_pred", classes).agg(F.sum("n")).toDF(
+        "__true", *[f"__n{i}" for i in range(len(classes))])
+    kind = pairs.schema["y_true"].dataType.simpleString()
+    rows = df.sparkSession.createDataFrame(
+        list(enumerate(classes)), f"__at int, y_true {kind}")
+    cells = [F.coalesce(F.col(f"__n{i}"), F.lit(0)) for i in range(len(classes))]
+    if normalise:
+        total = sum(cells[1:], cells[0]) + F.lit(ROW_NORMALISER)
+        cells = [x / total for x in cells]
+    return rows.join(wide, F.col("y_true") == F.col("__true"), "left").orderBy("__at").select(
+        "y_true", *[x.alias(f"p_{p}") for x, p in zip(cells, classes)])
 
 
 # --- classification report -------------------------------------------------

@@ -26,7 +26,6 @@ from flowcascade.schema import (
     resolve_label,
 )
 
-MAX_CATEGORIES = 4_096     # each category becomes a column of the covariance matrix
 COMPONENT_PREFIX = "pca_component_"
 
 _INPUT, _RAW, _OUT = "__scaled", "__projected", "__components"
@@ -71,14 +70,19 @@ def category_name(column: str, value) -> str:
     return f"{column}_{int(value) if whole else value}"
 
 
-def fit_one_hot(df: DataFrame, column: str) -> list:
-    """Sorted distinct categories, in the order of the column's own type."""
-    found = (
+def fit_one_hot(df: DataFrame, column: str, max_categories: int | None = None) -> list:
+    """Sorted distinct categories, in the order of the column's own type.
+
+    With ``max_categories`` a column of more raises ``ValueError``; by default there is no
+    limit.
+    """
+    distinct = (
         df.select(quoted(column).alias("v")).filter(F.col("v").isNotNull())
-        .distinct().orderBy("v").limit(MAX_CATEGORIES + 1).collect()
+        .distinct().orderBy("v")
     )
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"column {column!r} has more than {MAX_CATEGORIES} categories")
+    found = (distinct if max_categories is None else distinct.limit(max_categories + 1)).collect()
+    if max_categories is not None and len(found) > max_categories:
+        raise ValueError(f"column {column!r} has more than {max_categories} categories")
     return [r["v"] for r in found]
 
 
@@ -178,10 +182,14 @@ def explained_variance(state: FeatureState, df: DataFrame) -> DataFrame:
 # --- fit / apply -----------------------------------------------------------
 def fit_features(df: DataFrame, components: int = DEFAULT_COMPONENTS,
                  categorical: Iterable[str] = CATEGORICAL_FEATURES,
-                 ignore: Iterable[str] = ()) -> FeatureState:
-    """Learn categories, feature order, ranges and projection from a clean table."""
+                 ignore: Iterable[str] = (), max_categories: int | None = None) -> FeatureState:
+    """Learn categories, feature order, ranges and projection from a clean table.
+
+    Every category becomes a column of the covariance matrix; ``max_categories`` refuses
+    columns of more (by default none is refused).
+    """
     categories = {
-        c: fit_one_hot(df, c) for c in categorical
+        c: fit_one_hot(df, c, max_categories) for c in categorical
         if c in df.columns and not already_encoded(df.columns, c)}
     encoded = encode_categories(df, categories)
     order = numeric_columns(encoded, [resolve_label(df.columns), *ignore])
@@ -232,11 +240,6 @@ def single_precision(column: str) -> Column:
     return quoted(column).cast("float").cast("double")
 
 
-def feature_array(columns: list[str], out: str = "features") -> Column:
-    """Component columns as the float array a sample consists of."""
-    return F.array(*[quoted(c) for c in columns]).cast("array<float>").alias(out)
-
-
 def feature_vector(columns: list[str], out: str = "features") -> Column:
     """Component columns as the ML vector the classifiers take."""
     return array_to_vector(F.array(*[single_precision(c) for c in columns])).alias(out)

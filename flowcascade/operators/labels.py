@@ -18,20 +18,15 @@ from flowcascade.schema import (
     node_of,
 )
 
-MAX_CLASSES = 10_000       # class lists are model state; beyond this it is no class label
-LITERAL_CLASSES = 64       # larger maps are joined instead of written into the plan
-
 LabelMap = dict[str, int]
 
 
 def fit_label_map(df: DataFrame, label: str) -> LabelMap:
-    """Sorted distinct labels -> 0 .. n-1."""
+    """Sorted distinct labels -> 0 .. n-1.  The class list is model state, kept on the driver."""
     found = (
         df.select(quoted(label).alias("label")).filter(F.col("label").isNotNull())
-        .distinct().orderBy("label").limit(MAX_CLASSES + 1).collect()
+        .distinct().orderBy("label").collect()
     )
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"column {label!r} has more than {MAX_CLASSES} distinct values")
     return {row["label"]: code for code, row in enumerate(found)}
 
 
@@ -47,17 +42,14 @@ def lookup(c: Column, mapping: Mapping, default=None) -> Column:
 
 def _map_column(df: DataFrame, column: str, out: str, mapping: Mapping,
                 key_type: str, value_type: str, default) -> DataFrame:
-    if len(mapping) <= LITERAL_CLASSES:
-        value = lookup(quoted(column), mapping, default).cast(value_type)
-        return df.withColumn(out, value)
-    # at most MAX_CLASSES rows: checked when the map was fitted
-    if len(mapping) > MAX_CLASSES:
-        raise ValueError(f"a label map may hold at most {MAX_CLASSES} classes")
-    table = df.sparkSession.createDataFrame(
-        list(mapping.items()), f"__key {key_type}, __value {value_type}")
-    joined = df.join(F.broadcast(table), quoted(column) == F.col("__key"), "left")
-    value = F.coalesce(F.col("__value"), F.lit(default).cast(value_type))
-    return joined.withColumn(out, value).drop("__key", "__value")
+    """Map a column by a constant map, which Spark folds into one literal of the projection."""
+    fallback = F.lit(default).cast(value_type)
+    if not mapping:
+        return df.withColumn(out, fallback)
+    entries = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    typed = entries.cast(f"map<{key_type},{value_type}>")
+    value = F.try_element_at(typed, quoted(column).cast(key_type))
+    return df.withColumn(out, F.coalesce(value, fallback))
 
 
 def encode_label(df: DataFrame, label: str, mapping: LabelMap, out: str = "label_code") -> DataFrame:

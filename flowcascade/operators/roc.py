@@ -16,9 +16,6 @@ from flowcascade.functions import quoted
 from flowcascade.operators.labels import lookup
 from flowcascade.session import stage
 
-RANGE_ROWS = 2_000_000      # rows aimed at per score range
-MAX_RANGES = 50_000         # bounds the table of range totals, which is broadcast
-
 
 def class_scores(df: DataFrame, y_true: str, scores: str, names: list[str]) -> DataFrame:
     """``(class_code, score, pos, neg)``: rows per distinct score of each class.
@@ -42,25 +39,23 @@ def class_scores(df: DataFrame, y_true: str, scores: str, names: list[str]) -> D
     )
 
 
-def _in_ranges(per_score: DataFrame, rows: int, range_rows: int) -> DataFrame:
+def _in_ranges(per_score: DataFrame, ranges: int | None) -> DataFrame:
     """Add ``part``: score ranges in order of class and falling score.
 
-    ``rows`` is an upper bound on the rows of ``per_score``.  Range partitioning
-    balances the ranges; writing them down keeps a range's number fixed for all
-    later readers, also when a lost task is run again.
+    There are ``ranges`` of them, by default as many as the session has shuffle
+    partitions.  Range partitioning balances them; writing them down keeps a range's
+    number fixed for all later readers, also when a lost task is run again.
     """
-    if rows <= range_rows:
-        return per_score.withColumn("part", F.lit(0))
-    ranges = min(-(-rows // range_rows), MAX_RANGES)
-    ordered = per_score.repartitionByRange(ranges, F.col("class_code"), F.desc("score"))
+    order = [F.col("class_code"), F.desc("score")]
+    ordered = (per_score.repartitionByRange(ranges, *order) if ranges
+               else per_score.repartitionByRange(*order))
     return stage(ordered.withColumn("part", F.spark_partition_id()), "roc")
 
 
 def _curve(df: DataFrame, y_true: str, scores: str, names: list[str],
-           range_rows: int) -> DataFrame:
+           ranges: int | None) -> DataFrame:
     """Per distinct score: counts here and next below, running counts, class totals."""
-    rows = df.count() * len(names)
-    split = _in_ranges(class_scores(df, y_true, scores, names), rows, range_rows)
+    split = _in_ranges(class_scores(df, y_true, scores, names), ranges)
     # one row per class and range
     totals = split.groupBy("class_code", "part").agg(
         F.sum("pos").alias("part_pos"), F.sum("neg").alias("part_neg"),
@@ -81,7 +76,7 @@ def _curve(df: DataFrame, y_true: str, scores: str, names: list[str],
         F.sum("pos").over(falling).alias("run_pos"),
         F.sum("neg").over(falling).alias("run_neg"),
         F.lead(F.struct("pos", "neg")).over(falling).alias("next_here"))
-    return run.join(F.broadcast(starts), ["class_code", "part"]).select(
+    return run.join(starts, ["class_code", "part"]).select(
         "class_code", "score", "pos", "neg", "positives", "negatives",
         (F.col("run_pos") + F.col("pos_above")).alias("tp"),
         (F.col("run_neg") + F.col("neg_above")).alias("fp"),
@@ -93,7 +88,7 @@ def _rate(count: Column, total: Column) -> Column:
 
 
 def roc_points(df: DataFrame, y_true: str, scores: str, names: list[str],
-               drop_intermediate: bool = True, range_rows: int = RANGE_ROWS) -> DataFrame:
+               drop_intermediate: bool = True, ranges: int | None = None) -> DataFrame:
     """``(class_code, class, threshold, fpr, tpr)``.
 
     Every curve starts at (0, 0) with an infinite threshold.  With
@@ -101,7 +96,7 @@ def roc_points(df: DataFrame, y_true: str, scores: str, names: list[str],
     one, so it lies on a straight stretch; the first and the last score always
     stay.  A rate without positives (or negatives) is null.
     """
-    curve = _curve(df, y_true, scores, names, range_rows)
+    curve = _curve(df, y_true, scores, names, ranges)
     is_first = F.col("tp") + F.col("fp") == F.col("pos") + F.col("neg")
     if drop_intermediate:
         same = (F.col("next.pos") == F.col("pos")) & (F.col("next.neg") == F.col("neg"))
@@ -118,7 +113,7 @@ def roc_points(df: DataFrame, y_true: str, scores: str, names: list[str],
 
 
 def auc(df: DataFrame, y_true: str, scores: str, names: list[str],
-        range_rows: int = RANGE_ROWS) -> DataFrame:
+        ranges: int | None = None) -> DataFrame:
     """``(class_code, class, positives, negatives, auc)`` by the trapezoid rule.
 
     A class without positives or without negatives has no area (null).
@@ -126,7 +121,7 @@ def auc(df: DataFrame, y_true: str, scores: str, names: list[str],
     name = lookup(F.col("class_code"), dict(enumerate(names)))
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / F.lit(2.0)))
     return (
-        _curve(df, y_true, scores, names, range_rows)
+        _curve(df, y_true, scores, names, ranges)
         .groupBy("class_code", name.alias("class"))
         .agg(F.max("positives").alias("positives"), F.max("negatives").alias("negatives"),
              area.alias("__area"))

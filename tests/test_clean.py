@@ -25,18 +25,17 @@ def skewed(spark):
     return frame, spark.createDataFrame(frame).repartition(5)
 
 
-@pytest.mark.parametrize("accuracy,sample_rows,gather_rows,small_rows", [
-    (10_000, 10_000, 100_000, 10_000),      # gathered whole
-    (100, 10_000, 200, 0), (10, 10_000, 3, 0),
-    (1000, 300, 50, 0),                     # proposals from a (too) small sample
+@pytest.mark.parametrize("accuracy,sample_rows,gather_rows", [
+    (10_000, 10_000, 100_000),
+    (100, 10_000, 200), (10, 10_000, 3),
+    (1000, 300, 50),                        # proposals from a (too) small sample
 ])
-def test_quantiles_equal_numpy(skewed, accuracy, sample_rows, gather_rows, small_rows):
+def test_quantiles_equal_numpy(skewed, accuracy, sample_rows, gather_rows):
     frame, df = skewed
     shares = [0.25, 0.75]
     with np.errstate(all="ignore"):
         want = {c: np.quantile(frame[c], shares) for c in frame}
-    got = exact_quantiles(
-        df, list(frame), shares, accuracy, sample_rows, gather_rows, small_rows)
+    got = exact_quantiles(df, list(frame), shares, accuracy, sample_rows, gather_rows)
     for c in frame:
         np.testing.assert_array_equal(np.array(got[c]), want[c], err_msg=c)
 

@@ -49,6 +49,14 @@ def test_confusion(pairs):
     assert E.confusion_matrix(df.limit(0), "t", "p").count() == 0
 
 
+def test_confusion_keeps_unnamed_classes(spark):
+    df = spark.createDataFrame([(0, 0), (2, 0), (0, 2), (1, 1)], "t int, p int")
+    wide = [tuple(r) for r in E.confusion_matrix(df, "t", "p", [1, 0]).collect()]
+    assert wide == [(1, 1, 0, 0), (0, 0, 1, 1), (2, 0, 1, 0)]
+    norm = E.confusion_matrix(df, "t", "p", [0, 1], normalise=True).collect()
+    assert norm[0]["p_0"] == pytest.approx(0.5) and norm[0]["p_2"] == pytest.approx(0.5)
+
+
 def test_report(pairs):
     rows, df = pairs
     got = {r["class"]: r for r in E.classification_report(df, "t", "p", NAMES).collect()}
@@ -91,13 +99,13 @@ def curve(y, scores, c):
     return points
 
 
-@pytest.mark.parametrize("range_rows", [10_000, 100])
-def test_roc_and_auc_equal_brute_force(probabilities, range_rows):
+@pytest.mark.parametrize("ranges", [None, 1, 21])
+def test_roc_and_auc_equal_brute_force(probabilities, ranges):
     y, scores, df = probabilities
     names = ["a", "b", "c"]
-    full = R.roc_points(df, "y", "p", names, False, range_rows).collect()
-    short = R.roc_points(df, "y", "p", names, True, range_rows).collect()
-    areas = {r["class"]: r for r in R.auc(df, "y", "p", names, range_rows).collect()}
+    full = R.roc_points(df, "y", "p", names, False, ranges).collect()
+    short = R.roc_points(df, "y", "p", names, True, ranges).collect()
+    areas = {r["class"]: r for r in R.auc(df, "y", "p", names, ranges).collect()}
     for c, name in enumerate(names):
         want = curve(y, scores, c)
         got = sorted(((r["threshold"], r["fpr"], r["tpr"]) for r in full if r["class"] == name),

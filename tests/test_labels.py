@@ -27,8 +27,8 @@ def test_label_map_round_trip(leaves, spark):
     assert L.encode_label(unseen, "leaf", mapping).first()["label_code"] == -1
 
 
-def test_large_label_maps_are_joined(spark):
-    n = L.LITERAL_CLASSES + 10
+@pytest.mark.parametrize("n", [3, 500])
+def test_label_maps_of_any_size(spark, n):
     df = spark.range(n).selectExpr("concat('c', lpad(id, 4, '0')) as name")
     mapping = L.fit_label_map(df, "name")
     rows = L.encode_label(df, "name", mapping).collect()
@@ -37,11 +37,11 @@ def test_large_label_maps_are_joined(spark):
     assert all(r["name"] == r["back"] for r in back.collect())
 
 
-def test_too_many_classes(spark, monkeypatch):
-    monkeypatch.setattr(L, "MAX_CLASSES", 5)
-    df = spark.range(10).selectExpr("cast(id as string) as name")
-    with pytest.raises(ValueError, match="more than 5"):
-        L.fit_label_map(df, "name")
+def test_empty_label_map(spark):
+    df = spark.createDataFrame([("x",), (None,)], "name string")
+    assert [r["label_code"] for r in L.encode_label(df, "name", {}).collect()] == [-1, -1]
+    coded = L.encode_label(df, "name", {"x": 0})
+    assert [r["label_code"] for r in coded.collect()] == [0, -1]
 
 
 def test_numeric_label_needs_a_map(spark):
