@@ -81,9 +81,13 @@ def dedup(df: DataFrame) -> DataFrame:
     return unify_missing(df).dropDuplicates()
 
 
-def drop_missing(df: DataFrame) -> DataFrame:
-    """Keep rows without null or NaN.  Infinities stay."""
-    return df.na.drop("any")
+def drop_missing(df: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
+    """Keep rows without null or NaN in any column but ``ignore``.  Infinities stay."""
+    skip, complete = set(ignore), F.lit(True)
+    for f in df.schema:
+        if f.name not in skip:
+            complete = complete & ~is_missing(quoted(f.name), is_floating(f.dataType))
+    return df.filter(complete)
 
 
 def clean_report(df: DataFrame) -> DataFrame:
@@ -185,13 +189,6 @@ def zero_nonfinite(df: DataFrame, cols: list[str]) -> DataFrame:
     return map_columns(df, {c: finite_or_zero(quoted(c).cast("double")) for c in cols})
 
 
-def missing_counts(df: DataFrame) -> DataFrame:
-    """Missing values per column, in one row."""
-    return df.agg(*[
-        F.count_if(is_missing(quoted(f.name), is_floating(f.dataType))).alias(f.name)
-        for f in df.schema])
-
-
 def clean(df: DataFrame, fences: Fences | None = None, k: float = FENCE_MULTIPLIER,
           approx: bool = False, exclude: Iterable[str] = (),
           staged: bool = True) -> tuple[DataFrame, Fences]:

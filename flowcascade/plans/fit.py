@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -39,14 +40,14 @@ Candidate = Estimator | tuple[float, int]
 
 @dataclass
 class Round:
-    """Losses are means over rows, accuracies are in percent."""
+    """Losses are means over rows, accuracies are in percent; null without rows to measure."""
 
     level: int
     round: int
-    train_loss: float
-    val_loss: float
-    train_acc: float
-    val_acc: float
+    train_loss: float | None
+    val_loss: float | None
+    train_acc: float | None
+    val_acc: float | None
 
 
 @dataclass
@@ -85,8 +86,12 @@ def fit_node(train: DataFrame, level: int | str, candidate: Candidate | None = N
     return estimator.fit(ready)
 
 
-def node_quality(df: DataFrame, model: Model, node: Node) -> tuple[int, float, float]:
-    """``(rows, loss, accuracy)`` of one node on the rows its level applies to."""
+def node_quality(df: DataFrame, model: Model,
+                 node: Node) -> tuple[int, float | None, float | None]:
+    """``(rows, loss, accuracy)`` of one node on the rows its level applies to.
+
+    Without such rows loss and accuracy are null, and so is a loss that is no number.
+    """
     rows = df.filter(F.col(node.label_column) >= 0)
     scored = score_node(rows, {node.name: model}, node.name, "__scores")
     target, scores = F.col(node.label_column), F.col("__scores")
@@ -94,8 +99,10 @@ def node_quality(df: DataFrame, model: Model, node: Node) -> tuple[int, float, f
         F.count(F.lit(1)).alias("n"),
         F.avg(cross_entropy(scores, target, node.width)).alias("loss"),
         F.count_if(argmax(scores) == target).alias("hits")).first()
-    n = row["n"]
-    return n, row["loss"] or 0.0, 100.0 * row["hits"] / n if n else 0.0
+    n, loss = row["n"], row["loss"]
+    if loss is not None and math.isnan(loss):
+        loss = None
+    return n, loss, 100.0 * row["hits"] / n if n else None
 
 
 def select_model(train: DataFrame, valid: DataFrame, level: int | str,
@@ -104,7 +111,8 @@ def select_model(train: DataFrame, valid: DataFrame, level: int | str,
     """Keep the candidate with the strictly lowest validation loss.
 
     Candidates are tried in order, one per round; trying stops after ``patience``
-    rounds in a row without improvement.
+    rounds in a row without improvement.  Without validation rows the training loss
+    decides.  A candidate whose loss is no number is never chosen.
     """
     node = node_of(level)
     chosen = Selection(None, 0, float("inf"), [])
@@ -112,11 +120,12 @@ def select_model(train: DataFrame, valid: DataFrame, level: int | str,
     for number, candidate in enumerate(candidates, 1):
         model = fit_node(train, node.level, candidate)
         _, train_loss, train_acc = node_quality(train, model, node)
-        _, val_loss, val_acc = node_quality(valid, model, node)
+        val_rows, val_loss, val_acc = node_quality(valid, model, node)
         chosen.history.append(
             Round(node.level, number, train_loss, val_loss, train_acc, val_acc))
-        if val_loss < chosen.best_loss:
-            chosen.model, chosen.best_round, chosen.best_loss = model, number, val_loss
+        loss = val_loss if val_rows else train_loss
+        if loss is not None and loss < chosen.best_loss:
+            chosen.model, chosen.best_round, chosen.best_loss = model, number, loss
             stale = 0
         else:
             stale += 1

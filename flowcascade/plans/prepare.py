@@ -41,17 +41,18 @@ def prepare(spark: SparkSession, source: str | DataFrame, state: FeatureState |
     Without ``state`` one is fitted on this input; with it the stored one is
     applied.  ``fences="stored"`` limits outliers with the training fences,
     ``"refit"`` measures them on this input.  Columns in ``keep`` are carried
-    along untouched (they take no part in features, but in de-duplication).
+    along untouched: they take no part in features or the test for missing values, but in
+    de-duplication.  Of a CSV they stay text.
 
     Output: ``keep``, ``pca_component_*``, ``leaf``, ``label_code`` and, if
     ``hierarchical``, ``level1`` .. ``level5``.
     """
     keep = list(keep)
     if isinstance(source, str):
-        table = stage_clean_flows(spark, source)
+        table = stage_clean_flows(spark, source, keep=keep)
         fresh = True
     else:
-        table, fresh = drop_missing(dedup(source)), False
+        table, fresh = drop_missing(dedup(source), ignore=keep), False
     label = require_label(table.columns)
     fitting = state is None
     measure = fitting or fences == "refit"

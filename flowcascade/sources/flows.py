@@ -56,6 +56,20 @@ def read_header(spark: SparkSession, path: str, **options: str) -> list[str | No
     return [] if first is None else list(first)
 
 
+def _require_equal_headers(spark: SparkSession, path: str) -> None:
+    """Compare the first lines of all files as text; one aggregate pass over the lines."""
+    first = (
+        spark.read.text(path)
+        .select("value", F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("at"))
+        .filter((F.col("at") == 0) & (F.trim("value") != ""))
+        .withColumn("line", F.monotonically_increasing_id())
+        .groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    )
+    if first.select("header").distinct().limit(2).count() > 1:
+        raise ValueError(f"the header is not the same in all files of {path}")
+
+
 def _wanted(names: list[str], features: list[str], keep: Iterable[str]) -> list[str]:
     """Actual names to read, label included, in file order."""
     by_name = column_map(names)
@@ -90,7 +104,9 @@ def read_flow_text(spark: SparkSession, path: str, features: list[str] = BASE_FE
             return spark.createDataFrame([], T.StructType())
         raise ValueError(f"no wanted column in {path}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    # every file's own header is checked, unless names had to be made up
+    # every file's own header is checked: by Spark, unless names had to be made up
+    if names != header:
+        _require_equal_headers(spark, path)
     text = (
         spark.read.schema(schema).options(**{**CSV_OPTIONS, **options})
         .csv(path, header=True, enforceSchema=names != header)
@@ -122,45 +138,63 @@ def read_flows(spark: SparkSession, path: str, features: list[str] = BASE_FEATUR
     """Typed flow table.
 
     Columns whose values are all numbers become double.  Finding them costs one
-    scan; name them in ``numeric`` to skip it.
+    scan; name them in ``numeric`` to skip it.  Columns in ``keep`` that are neither
+    features nor the label stay text, so ids keep all their digits.
     """
+    keep = list(keep)
     text = read_flow_text(spark, path, features, keep, on_error, **options)
-    numeric = infer_numeric(text) if numeric is None else numeric
+    if numeric is None:
+        carried = _carried(text, features, keep)
+        numeric = infer_numeric(text, [c for c in text.columns if c not in carried])
     return coerce_numeric(text, [c for c in text.columns if c in set(numeric)])
 
 
-def _stage_typed(text: DataFrame, numeric: list[str], spark: SparkSession) -> DataFrame:
-    return stage(drop_missing(dedup(coerce_numeric(text, numeric))), "flows", spark)
+def _carried(text: DataFrame, features: list[str], keep: Iterable[str]) -> set[str]:
+    """Kept columns that are neither features nor the label."""
+    return set(keep) - {*features, resolve_label(text.columns)}
+
+
+def _stage_typed(text: DataFrame, numeric: list[str], carried: set[str],
+                 spark: SparkSession) -> DataFrame:
+    typed = dedup(coerce_numeric(text, numeric))
+    return stage(drop_missing(typed, ignore=carried), "flows", spark)
 
 
 def stage_clean_flows(spark: SparkSession, path: str, features: list[str] = BASE_FEATURES,
-                      numeric: list[str] | None = None, **options: str) -> DataFrame:
+                      numeric: list[str] | None = None, keep: Iterable[str] = (),
+                      **options: str) -> DataFrame:
     """Scan, type, de-duplicate and null-drop a flow CSV into a staged table.
 
     The text is read once: every feature is taken to be numeric and the job that
     writes the table counts the values that are not.  Only if that guess was
-    wrong for some column is the job repeated with the types it found.
+    wrong for some column is the job repeated with the types it found.  Columns in
+    ``keep`` that are neither features nor the label stay text and may be missing.
     """
+    keep = list(keep)
     if numeric is not None:
-        text = read_flow_text(spark, path, features, **options)
-        return _stage_typed(text, [c for c in text.columns if c in set(numeric)], spark)
+        text = read_flow_text(spark, path, features, keep, **options)
+        return _stage_typed(text, [c for c in text.columns if c in set(numeric)],
+                            _carried(text, features, keep), spark)
     # a session that has observed metrics can no longer be shipped inside fitted
     # models, so the observing is done in a session of its own
-    text = read_flow_text(side_session(spark), path, features, **options)
+    text = read_flow_text(side_session(spark), path, features, keep, **options)
+    carried = _carried(text, features, keep)
     label = resolve_label(text.columns)
-    guess = [c for c in text.columns if c != label and c not in TEXT_FEATURES]
+    typed = [c for c in text.columns if c not in carried]
+    guess = [c for c in typed if c != label and c not in TEXT_FEATURES]
     seen = Observation()
-    watched = text.observe(seen, *_non_numeric_counts(text, text.columns))
-    table = _stage_typed(watched, guess, spark)
+    watched = text.observe(seen, F.count(F.lit(1)).alias("rows"),
+                           *_non_numeric_counts(text, typed))
+    table = _stage_typed(watched, guess, carried, spark)
     if table.isEmpty():
         # without output rows Spark may drop the counted stage, and its counts with it
-        found = infer_numeric(text)
+        found = infer_numeric(text, typed)
         if not found:
             return table
     else:
         counts = seen.get
-        found = [c for i, c in enumerate(text.columns) if counts[f"c{i}"] == 0]
+        found = [c for i, c in enumerate(typed) if counts[f"c{i}"] == 0]
     if found == guess:
         return table
     discard_stage(table)
-    return _stage_typed(text, found, spark)
+    return _stage_typed(text, found, carried, spark)

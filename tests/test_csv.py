@@ -82,6 +82,28 @@ def test_repeated_and_blank_header_names(spark, tmp_path):
     assert df.first()["FwdHeaderLength"] == 1.0
 
 
+def test_made_up_names_still_check_every_header(spark, tmp_path):
+    folder = tmp_path / "twins"
+    folder.mkdir()
+    write(folder, "x,x,Flow Duration,Fwd IAT Mean,Label\n0,0,1,2,Syn\n", "a.csv")
+    write(folder, "x,x,Flow Duration,Fwd IAT Mean,Label\n0,0,3,4,Syn\n", "b.csv")
+    assert read_flows(spark, str(folder)).count() == 2
+    write(folder, "x,x,Fwd IAT Mean,Flow Duration,Label\n0,0,5,6,Syn\n", "c.csv")
+    with pytest.raises(ValueError, match="header"):
+        read_flows(spark, str(folder))
+
+
+def test_kept_ids_stay_text(spark, tmp_path):
+    path = write(tmp_path, "Flow ID,FlowDuration,Label\n9007199254740993,1,Syn\n"
+                           "9007199254740992,1,Syn\n,2,UDP\n")
+    rows = read_flows(spark, path, keep=["FlowID"]).collect()
+    assert {r["FlowID"] for r in rows} == {"9007199254740993", "9007199254740992", None}
+    staged = stage_clean_flows(spark, path, keep=["FlowID"])
+    assert dict(staged.dtypes) == {"FlowID": "string", "FlowDuration": "double",
+                                   "Label": "string"}
+    assert staged.count() == 3
+
+
 def test_label_fallback(spark, tmp_path):
     path = write(tmp_path, "FlowDuration,Attack Label\n1,Syn\n")
     assert read_flows(spark, path).columns == ["FlowDuration", "AttackLabel"]

@@ -84,6 +84,15 @@ def test_selection_keeps_the_lowest_loss_and_stops(train):
     assert same.best_round == 1     # equal is not better
 
 
+def test_selection_without_validation_rows_uses_the_training_loss(train):
+    tries = [(1.0, 1), (0.001, 20)]
+    chosen = T.select_model(train, train.limit(0), 1, tries)
+    assert chosen.best_round == 2
+    assert [(r.val_loss, r.val_acc) for r in chosen.history] == [(None, None)] * 2
+    history = T.history_table(train.sparkSession, chosen.history)
+    assert history.filter("val_loss is null and train_loss > 0").count() == 2
+
+
 def test_cascade_skips_missing_nodes(spark, tmp_path):
     rows = make(spark, ["BENIGN", "Syn", "UDP-lag", "DNS"], 200)
     sets = level_datasets(rows, rows)
@@ -150,3 +159,6 @@ def test_prepare_with_table_ids_and_unseen_label(spark, tmp_path):
     assert "level1" not in flat.columns
     with pytest.raises(ValueError, match="no label column"):
         prepare(spark, df.drop("Label"), components=5)
+    from_path, _ = prepare(spark, path, state, keep=["FlowID"])
+    assert from_path.columns[0] == "FlowID" and from_path.count() == 200
+    assert {r["FlowID"] for r in from_path.collect()} == {"x"}
