@@ -46,7 +46,9 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # the key itself: all up to the matching END line, or up to the end of the text without one
+    Rule("private_key", r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----"
+                        r"(?:[\s\S]*?-----END \1-----|[\s\S]*)"),
 )
 
 # A query is True (no demand), a trigram, or ("and" | "or", frozenset of queries).

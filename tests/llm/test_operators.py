@@ -185,6 +185,22 @@ def test_redaction_leaves_no_secret(docs):
     assert secrets.find_secrets(clean).filter("spans != ''").count() == 0
 
 
+def test_redaction_leaves_no_key_bytes(spark):
+    body = "\n".join(f"MIIBkey{i}+/" + "Qx9Zt7" * 8 for i in range(12)) + "=="
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    other = pem.replace("RSA ", "")
+    texts = [(1, f"before\n{pem}\nbetween\n{other}\nafter"), (2, f"before\n{pem[:-20]}"),
+             (3, f"before {pem!r} after"), (4, f"before\n{pem.replace('END RSA', 'END EC')}"),
+             (5, "BEGIN PRIVATE KEY is prose")]
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(docs).collect()}
+    assert clean == {1: "before\n[SECRET]\nbetween\n[SECRET]\nafter", 2: "before\n[SECRET]",
+                     3: "before '[SECRET]' after", 4: "before\n[SECRET]", 5: texts[4][1]}
+    spans = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs).collect()}
+    assert spans[1] == (f"private_key:7:{7 + len(pem)},"
+                        f"private_key:{16 + len(pem)}:{16 + len(pem) + len(other)}")
+
+
 def test_shards_move_only_into_the_new_one(docs, sample):
     for df in (docs, sample):
         rows = sharding.shard_rows(df, 40).collect()
