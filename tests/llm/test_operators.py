@@ -266,6 +266,27 @@ def test_leaks_are_found_and_verified(spark, docs, empty):
     assert decontaminate.drop_leaks(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_long_items_of_a_mixed_block_are_found():
+    draw = np.random.default_rng(8)
+    sizes = [20] * 60 + [55] * 6 + [200] * 12
+    words = [[f"w{x}" for x in draw.integers(0, 3000, n)] for n in sizes]
+    index = decontaminate.Items(list(enumerate(words)))
+    asked = found = 0
+    for item, n in enumerate(sizes):
+        for _ in range(4 if n == 20 else 10):
+            copy = list(words[item])
+            for _ in range(int(n * 0.15)):
+                place = int(draw.integers(len(copy)))
+                copy[place:place + int(draw.integers(2))] = ["new"] * int(draw.integers(2))
+            copy = PROSE.split() + copy + PROSE.split()
+            least, _ = decontaminate.edit_positions(words[item], copy)
+            hits = {i: d for _, i, d, *_ in index.search([" ".join(copy)])}
+            assert least <= int(n * 0.15)
+            asked, found = asked + 1, found + (hits.get(item) == least)
+            assert n <= 64 or hits.get(item) == least       # not walked, so none is lost
+    assert found >= 0.99 * asked
+
+
 def test_mined_url_rules_block(spark):
     rows = [(f"http://h{i}.org/casino/bonus{i}?x=1", True) for i in range(60)]
     rows += [(f"http://h{i}.org/news/{i}", False) for i in range(60)] + [(None, True)]
