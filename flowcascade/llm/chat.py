@@ -1,7 +1,7 @@
 """Tool-call linking for chat records.
 
-Calls and results are joined by conversation and identifier, ordered so that a call comes
-after the calls it depends on, their arguments are checked against the tool's schema, and
+Calls and results are joined by conversation, identifier and the number of times that the
+identifier came before, ordered so that a call comes after the calls it depends on, their arguments are checked against the tool's schema, and
 each linked call is written as canonical JSON.
 """
 
@@ -13,13 +13,14 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowcascade.llm.common import number_rows
 from flowcascade.session import discard_stage, stage
 
 KEY = ["conv_id", "call_id"]
+CALL = [*KEY, "occurrence"]
 
 
 # --- arguments --------------------------------------------------------------
@@ -125,74 +126,97 @@ def check_arguments(name: str | None, arguments: str | None,
 
 
 # --- linking ----------------------------------------------------------------
+def renamed(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
+    """``df`` with a prefix before the names of these columns."""
+    return df.withColumnsRenamed({c: prefix + c for c in columns})
+
+
+def equal(prefix: str, columns: list[str]) -> Column:
+    """Whether these columns equal those with the prefix; null equals null."""
+    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in columns])
+
+
 def link(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """One row per conversation and identifier, full outer.
+    """One row per call and per result that no call is left for.
 
-    Of several calls (results) with one identifier the least by turn, then by content, is
-    taken, and ``n_calls`` (``n_results``) counts them.
+    Calls (results) with one conversation and identifier are numbered from 0 by turn, then by
+    content, as ``occurrence``; a call is linked with the result of its number.  ``n_calls``
+    (``n_results``) counts all calls (results) with the identifier.
+    """
+    calls = number_rows(calls, KEY, ["turn", "name", "arguments", "depends_on"], "calls",
+                        "occurrence").withColumn("is_call", F.lit(True))
+    results = renamed(
+        number_rows(results, KEY, ["turn", "content"], "results", "occurrence")
+        .withColumn("has_result", F.lit(True)), "r_", [*CALL, "turn"])
+    joined = calls.join(results, equal("r_", CALL), "full_outer")
+    here = F.coalesce("is_call", F.lit(False))
+    linked = stage(joined.select(
+        *[F.when(here, F.col(c)).otherwise(F.col(f"r_{c}")).alias(c) for c in CALL],
+        F.coalesce("turn", "r_turn").alias("turn"), "name", "arguments", "depends_on", "content",
+        here.alias("is_call"), F.coalesce("has_result", F.lit(False)).alias("has_result")),
+        "linked")
+    counts = renamed(linked.groupBy(*KEY).agg(
+        F.count_if("is_call").alias("n_calls"), F.count_if("has_result").alias("n_results")),
+        "c_", KEY)
+    return linked.join(counts, equal("c_", KEY)).drop(*[f"c_{k}" for k in KEY])
+
+
+def dependencies(calls: DataFrame) -> DataFrame:
+    """``CALL``, the ``n_`` columns of a call that this one needs, and if that is ``earlier``.
+
+    Of several calls with the identifier that is needed it is the last one before the call
+    that needs it (by turn, identifier and occurrence), and the first of all if none is before.
+    Identifiers that no call has are left out.
     """
-    first_call = calls.groupBy(*KEY).agg(
-        F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("call"),
-        F.count("*").alias("n_calls"))
-    first_result = results.groupBy(*KEY).agg(
-        F.min(F.struct("turn", "content")).alias("result"), F.count("*").alias("n_results"))
-    other = first_result.select(*[F.col(k).alias(f"r_{k}") for k in KEY], "result", "n_results")
-    same = (F.col("conv_id").eqNullSafe(F.col("r_conv_id"))
-            & F.col("call_id").eqNullSafe(F.col("r_call_id")))
-    joined = first_call.join(other, same, "full_outer")
-    n_calls = F.coalesce("n_calls", F.lit(0))
-    here = n_calls > 0
-    return joined.select(
-        F.when(here, F.col("conv_id")).otherwise(F.col("r_conv_id")).alias("conv_id"),
-        F.when(here, F.col("call_id")).otherwise(F.col("r_call_id")).alias("call_id"),
-        F.coalesce("call.turn", "result.turn").alias("turn"), F.col("call.name").alias("name"),
-        F.col("call.arguments").alias("arguments"), F.col("call.depends_on").alias("depends_on"),
-        F.col("result.content").alias("content"), n_calls.alias("n_calls"),
-        F.coalesce("n_results", F.lit(0)).alias("n_results"))
+    wanted = calls.select(*CALL, "turn", F.explode(F.array_distinct("depends_on")).alias("needs"))
+    # callers sort among the calls with the identifier they need, before themselves
+    both = wanted.withColumn("given", F.lit(0)).unionByName(calls.select(
+        *CALL, "turn", F.col("call_id").alias("needs"), F.lit(1).alias("given")))
+    before = number_rows(both, ["conv_id", "needs"], ["turn", "call_id", "occurrence", "given"],
+                         "wanted", "before", "given").filter("given = 0")
+    needed = before.select(
+        *CALL, F.col("conv_id").alias("n_conv_id"), F.col("needs").alias("n_call_id"),
+        F.greatest(F.col("before") - 1, F.lit(0)).alias("n_occurrence"),
+        (F.col("before") > 0).alias("earlier"))
+    there = renamed(calls.select(*CALL), "o_", CALL)
+    same = reduce(Column.__and__, [F.col(f"n_{c}").eqNullSafe(F.col(f"o_{c}")) for c in CALL])
+    return needed.join(there, same, "left_semi")
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """``conv_id``, ``call_id``, ``level``: a number that is greater than those of all
-    calls that the call depends on, or 0 in conversations whose turns are in order.
+    """``CALL``, ``level``: a number that is greater than those of all calls that the call
+    depends on, or 0 in conversations whose turns are in order.
 
-    ``calls`` has unique keys, ``turn`` and ``depends_on``; dependencies on calls that do
-    not exist are left out.  Where every dependency points to an earlier call (by turn,
-    then identifier), that order is topological and all levels are 0; conversations of any
+    ``calls`` has ``CALL``, unique, ``turn`` and ``depends_on``; see :func:`dependencies`.
+    Where every dependency points to an earlier call (by turn, then identifier, then
+    occurrence), that order is topological and all levels are 0; conversations of any
     length are settled by this one join.  In the others the level is the length of the
     longest chain of dependencies below the call, found in rounds: a round settles the
     calls whose dependencies are all settled, joining the open dependencies with the calls
     of the round before.  Calls on a cycle, or behind one, have no row.
     """
-    keys = calls.select(*KEY)
-    wanted = calls.select(*KEY, "turn", F.explode(F.array_distinct("depends_on")).alias("needs"))
-    on = calls.select(F.col("conv_id").alias("o_conv"), F.col("call_id").alias("o_call"),
-                      F.col("turn").alias("o_turn"))
-    exists = (F.col("conv_id").eqNullSafe(F.col("o_conv"))
-              & F.col("needs").eqNullSafe(F.col("o_call")))
-    turn, other_turn = (F.coalesce(c, F.lit(-(2**63))) for c in ("turn", "o_turn"))
-    here, other = F.coalesce("call_id", F.lit("")), F.coalesce("o_call", F.lit(""))
-    earlier = (other_turn < turn) | ((other_turn == turn) & (other < here))
-    edges = stage(wanted.join(on, exists).select(*KEY, "needs", earlier.alias("earlier")),
-                  "edges")
-    mixed = stage(edges.filter(~F.col("earlier")).select(F.col("conv_id").alias("m_conv"))
+    keys = calls.select(*CALL)
+    needed = [f"n_{c}" for c in CALL]
+    edges = stage(dependencies(calls), "edges")
+    mixed = stage(edges.filter(~F.col("earlier")).select(F.col("conv_id").alias("m_conv_id"))
                   .distinct(), "mixed")
     if mixed.isEmpty():
         return keys.withColumn("level", F.lit(0))
-    is_mixed = F.col("conv_id").eqNullSafe(F.col("m_conv"))
+    is_mixed = equal("m_", ["conv_id"])
     plain = keys.join(mixed, is_mixed, "left_anti").withColumn("level", F.lit(0))
     keys = keys.join(mixed, is_mixed, "left_semi")
-    open_edges = stage(edges.join(mixed, is_mixed, "left_semi").select(*KEY, "needs"), "needs")
-    blocked = open_edges.select(*[F.col(k).alias(f"b_{k}") for k in KEY]).distinct()
-    is_blocked = (F.col("conv_id").eqNullSafe(F.col("b_conv_id"))
-                  & F.col("call_id").eqNullSafe(F.col("b_call_id")))
+    open_edges = stage(edges.join(mixed, is_mixed, "left_semi").select(*CALL, *needed), "needs")
+    exists = reduce(Column.__and__, [F.col(f"n_{c}").eqNullSafe(F.col(f"o_{c}")) for c in CALL])
+    blocked = renamed(open_edges.select(*CALL).distinct(), "b_", CALL)
+    is_blocked = equal("b_", CALL)
     done = [stage(keys.join(blocked, is_blocked, "left_anti").withColumn("level", F.lit(0)),
                   "level")]
     while not open_edges.isEmpty():
-        last = done[-1].select(F.col("conv_id").alias("o_conv"), F.col("call_id").alias("o_call"))
+        last = renamed(done[-1].select(*CALL), "o_", CALL)
         # callers that waited for a call of the last round, and do not wait for another
         now_open = open_edges.join(last, exists, "left_anti")
-        still = now_open.select(*[F.col(k).alias(f"b_{k}") for k in KEY]).distinct()
-        free = (open_edges.join(last, exists, "left_semi").select(*KEY).distinct()
+        still = renamed(now_open.select(*CALL).distinct(), "b_", CALL)
+        free = (open_edges.join(last, exists, "left_semi").select(*CALL).distinct()
                 .join(still, is_blocked, "left_anti"))
         settled = stage(free.withColumn("level", F.lit(len(done))), "level")
         if settled.isEmpty():
@@ -205,55 +229,55 @@ def levels(calls: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, done, plain)
 
 
-REPORT = ("conv_id long, call_id string, name string, position long, level int, status string, "
-          "errors string, record string")
+REPORT = ("conv_id long, call_id string, occurrence long, n_calls long, n_results long, "
+          "name string, position long, level int, status string, errors string, record string")
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per conversation and identifier, with its place, verdict and canonical JSON.
+    """One row per call and stray result, with its place, verdict and canonical JSON.
 
     ``calls``: ``conv_id``, ``call_id``, ``turn``, ``name``, ``arguments`` (JSON text),
     ``depends_on`` (array of identifiers); ``results``: ``conv_id``, ``call_id``, ``turn``,
     ``content``.  Other columns are not read.
 
+    An identifier may come several times in a conversation (see :func:`link`): ``occurrence``
+    numbers its rows from 0, ``n_calls`` and ``n_results`` count its calls and results.
     ``status``: ``no_call`` (a result without a call), ``cycle`` (on or behind a cycle of
     dependencies), ``invalid`` (see ``errors``), ``no_result``, else ``linked``, the first
     that holds.  ``position`` counts from 0 in a conversation by level (see
-    :func:`levels`), turn and identifier; what has no level comes last.  Null conversations and identifiers are
-    values like any other; null arguments are no JSON; null dependencies are none.  Empty
+    :func:`levels`), turn, identifier and occurrence; what has no level comes last.  Null
+    conversations and identifiers are values like any other; null arguments are no JSON; null dependencies are none.  Empty
     tables give an empty result.
     """
     linked = stage(link(calls.select(*KEY, "turn", "name", "arguments", "depends_on"),
                         results.select(*KEY, "turn", "content")), "linked")
-    level = levels(linked.filter("n_calls > 0").select(*KEY, "turn", "depends_on"))
-    other = level.select(*[F.col(k).alias(f"l_{k}") for k in KEY], "level")
-    same = (F.col("conv_id").eqNullSafe(F.col("l_conv_id"))
-            & F.col("call_id").eqNullSafe(F.col("l_call_id")))
-    rows = linked.join(other, same, "left").drop("l_conv_id", "l_call_id")
-    order = rows.select(*KEY, F.coalesce("level", F.lit(2**31 - 1)).alias("rank"), "turn")
-    placed = number_rows(order, ["conv_id"], ["rank", "turn", "call_id"], "places", "position")
-    places = placed.select(*[F.col(k).alias(f"p_{k}") for k in KEY], "position")
-    same = (F.col("conv_id").eqNullSafe(F.col("p_conv_id"))
-            & F.col("call_id").eqNullSafe(F.col("p_call_id")))
-    full = rows.join(places, same).select(
-        *KEY, "name", "position", "level", "arguments", "content", "n_calls", "n_results")
+    level = renamed(levels(linked.filter("is_call").select(*CALL, "turn", "depends_on")),
+                    "l_", CALL)
+    rows = linked.join(level, equal("l_", CALL), "left")
+    order = rows.select(*CALL, F.coalesce("level", F.lit(2**31 - 1)).alias("rank"), "turn")
+    placed = number_rows(order, ["conv_id"], ["rank", "turn", "call_id", "occurrence"], "places",
+                         "position")
+    places = renamed(placed.select(*CALL, "position"), "p_", CALL)
+    full = rows.join(places, equal("p_", CALL)).select(
+        *CALL, "n_calls", "n_results", "name", "position", "level", "arguments", "content",
+        "is_call", "has_result")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             statuses, problems, records = [], [], []
             for row in batch.to_pylist():
                 value, errors = (None, [])
-                if row["n_calls"]:
+                if row["is_call"]:
                     value, errors = check_arguments(row["name"], row["arguments"], schemas)
                 statuses.append(
-                    "no_call" if not row["n_calls"] else "cycle" if row["level"] is None
-                    else "invalid" if errors else "no_result" if not row["n_results"]
+                    "no_call" if not row["is_call"] else "cycle" if row["level"] is None
+                    else "invalid" if errors else "no_result" if not row["has_result"]
                     else "linked")
                 problems.append(", ".join(errors))
                 records.append(canonical({
                     "arguments": value, "id": row["call_id"], "name": row["name"],
                     "result": row["content"]}))
-            keep = ["conv_id", "call_id", "name", "position", "level"]
+            keep = [*CALL, "n_calls", "n_results", "name", "position", "level"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(statuses, pa.string()),
                  pa.array(problems, pa.string()), pa.array(records, pa.string())],

@@ -51,9 +51,11 @@ def only_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi
 
 
 def number_rows(df: DataFrame, group: list[str], order: list[str], name: str,
-                numbered: str = "nth") -> DataFrame:
+                numbered: str = "nth", counted: str | None = None) -> DataFrame:
     """``df`` with a number from 0, without gaps, in each group, in the order given.
 
+    With ``counted``, a column of 0 and 1, the number of earlier rows of the group that have 1.
+
     No task numbers a whole group: the rows are range-partitioned by group and order and
     written, each partition numbers its own part of a group, and the counts per partition
     give the offsets.  ``order`` must not contain ties that matter.
@@ -61,17 +63,20 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], name: str,
     placed = stage(df.withColumn("__tie", F.monotonically_increasing_id())
                    .repartitionByRange(*group, *order, "__tie")
                    .withColumn("__part", F.spark_partition_id()), name)
-    counts = placed.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
+    size = F.count("*") if counted is None else F.sum(named(counted))
+    counts = placed.groupBy(*group, "__part").agg(size.alias("__n"))
     before = Window.partitionBy(*group).orderBy("__part").rowsBetween(
         Window.unboundedPreceding, -1)
     renamed = {c: f"__{c}" for c in group}
     offsets = counts.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))
                                 ).drop("__n").withColumnsRenamed(renamed | {"__part": "__at"})
     inside = Window.partitionBy(*group, "__part").orderBy(*order, "__tie")
+    earlier = F.row_number().over(inside) - 1 if counted is None else F.coalesce(
+        F.sum(named(counted)).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     same = F.col("__part") == F.col("__at")
     for c, other in renamed.items():
         same &= named(c).eqNullSafe(named(other))
-    return (placed.withColumn("__nth", F.row_number().over(inside))
+    return (placed.withColumn("__nth", earlier)
             .join(offsets, same)
-            .withColumn(numbered, (F.col("__first") + F.col("__nth") - 1).cast("long"))
+            .withColumn(numbered, (F.col("__first") + F.col("__nth")).cast("long"))
             .drop("__tie", "__part", "__at", "__first", "__nth", *renamed.values()))

@@ -328,6 +328,44 @@ def test_calls_are_ordered_and_checked(spark):
     assert chat.link_tool_calls(calls.limit(0), results.limit(0), chat.SCHEMAS).collect() == []
 
 
+def test_repeated_identifiers_are_all_linked(spark):
+    ask = '{"text":"%s"}'
+    calls = spark.createDataFrame([
+        (1, "a", 0, "answer", ask % "one", None), (1, "b", 1, "answer", ask % "b", ["a"]),
+        (1, "a", 2, "answer", ask % "two", ["b", "a"]), (1, "a", 2, "answer", ask % "two", ["b"]),
+        (2, "c", 0, "answer", ask % "x", ["c"]), (2, "c", 1, "answer", ask % "y", ["c"]),
+        (None, None, None, "answer", ask % "p", [None]),
+        (None, None, None, "answer", ask % "q", None)],
+        "conv_id long, call_id string, turn long, name string, arguments string, "
+        "depends_on array<string>")
+    results = spark.createDataFrame(
+        [(1, "a", 1, "r0"), (1, "a", 3, "r1"), (1, "b", 2, "rb"), (1, "b", 3, "rb2")],
+        "conv_id long, call_id string, turn long, content string")
+    rows = chat.link_tool_calls(calls, results, chat.SCHEMAS).collect()
+    assert len(rows) == 9
+    got = {(r["conv_id"], r["call_id"], r["occurrence"]):
+           (r["status"], r["n_calls"], r["n_results"], r["position"]) for r in rows}
+    assert got == {
+        (1, "a", 0): ("linked", 3, 2, 0), (1, "b", 0): ("linked", 1, 2, 1),
+        (1, "a", 1): ("linked", 3, 2, 2), (1, "a", 2): ("no_result", 3, 2, 3),
+        (1, "b", 1): ("no_call", 1, 2, 4),
+        (2, "c", 0): ("cycle", 2, 0, 0), (2, "c", 1): ("cycle", 2, 0, 1),
+        (None, None, 0): ("cycle", 2, 0, 1), (None, None, 1): ("no_result", 2, 0, 0)}
+    records = {(r["conv_id"], r["call_id"], r["occurrence"]): r["record"] for r in rows}
+    assert '"two"' in records[1, "a", 1] and '"r1"' in records[1, "a", 1]
+
+
+def test_turns_with_one_number_are_all_kept(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "one"), (1, 0, "user", "two"), (1, 1, "assistant", "yes"),
+         (2, None, "user", "three"), (2, None, "user", "four"), (2, None, "user", "four")],
+        "conv_id long, turn long, role string, text string")
+    rows = chat.link_tool_calls(*chat.calls_of(turns), chat.SCHEMAS).collect()
+    assert Counter((r["conv_id"], r["n_calls"]) for r in rows) == {(1, 2): 2, (2, 3): 3}
+    for text, times in (("one", 1), ("two", 1), ("three", 1), ("four", 2)):
+        assert sum(f'"{text}"' in r["record"] for r in rows) == times
+
+
 def test_license_lines_are_found(spark):
     notice = licenses.TEMPLATES["apache-2.0"]
     docs = spark.createDataFrame([(1, f"code\n{notice.upper()}.\n"), (2, PROSE), (3, None)],
