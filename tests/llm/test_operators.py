@@ -374,6 +374,33 @@ def test_license_lines_are_found(spark):
     assert got == {1: ("apache-2.0", 2), 2: (None, None), 3: (None, None)}
 
 
+def wrapped(text, width=6):
+    words = text.split()
+    return "\n".join(" * " + " ".join(words[i:i + width]) for i in range(0, len(words), width))
+
+
+def test_notices_within_longer_texts_are_found(spark):
+    names = sorted(licenses.TEMPLATES)
+    texts = [(i, f"{PROSE}\n{wrapped(licenses.TEMPLATES[n])}\n{PROSE}")
+             for i, n in enumerate(names)]
+    header = licenses.TEMPLATES["apache-2.0-header"]
+    texts += [(100, f"{PROSE} {header} {PROSE}"),
+              (101, f"a\nLicensed under the Apache License,\nVersion 2.0\n{PROSE}\n"
+                    f"Released under the MIT License.\nb\nReleased under the MIT License.\n"),
+              (102, PROSE)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    for i, name in enumerate(names):
+        found = {m["license"]: (m["first_line"], m["last_line"]) for m in got[i]["matches"]}
+        assert name in found, name
+        last = 1 + -(-len(licenses.TEMPLATES[name].split()) // 6)
+        assert name.endswith("-text") or found[name] == (2, last)
+    assert "apache-2.0-header" in {m["license"] for m in got[100]["matches"]}
+    assert [tuple(m) for m in got[101]["matches"]] == [
+        ("apache-2.0", 1.0, 2, 3), ("mit", 1.0, 5, 5), ("mit", 1.0, 7, 7)]
+    assert got[101]["n_matches"] == 3 and got[102]["matches"] == []
+
+
 def test_pipeline_stages(spark, docs, empty):
     kept = corpus_pipeline.quality(spark, docs, DATA)
     assert kept.columns == docs.columns
