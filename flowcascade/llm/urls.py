@@ -18,8 +18,7 @@ from flowcascade.llm.common import named
 from flowcascade.session import stage
 
 BLOCK_ITEM = "label:block"
-MIN_SUPPORT = 0.01
-MIN_ROWS = 30
+MIN_ROWS = 30            # labelled rows that have a rule and block, whatever the table's size
 MIN_CONFIDENCE = 0.8
 
 
@@ -79,7 +78,7 @@ def tokens(url: Column) -> Column:
             F.array().cast("array<string>"))))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS,
+def mine_rules(labelled: DataFrame, min_rows: int = MIN_ROWS,
                min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules ``tokens -> block`` from rows of ``url`` and ``block`` (boolean).
 
@@ -98,7 +97,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows:
         return empty
     items = baskets.select(F.when(F.col("block"), F.array_append("tokens", F.lit(BLOCK_ITEM)))
                            .otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / n),
+    model = FPGrowth(itemsCol="items", minSupport=(min_rows - 0.5) / n,
                      minConfidence=min_confidence).fit(items)
     rules = stage(model.associationRules
                   .filter(F.array_contains("consequent", BLOCK_ITEM))

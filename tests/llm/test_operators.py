@@ -305,6 +305,14 @@ def test_mined_url_rules_block(spark):
     assert urls.judge_urls(pages.limit(0), rules).collect() == []
 
 
+def test_rare_url_rules_are_mined_in_a_large_table(spark):
+    rows = spark.range(20_000).selectExpr(
+        "concat('http://h', id, '.org/', if(id < 40, 'casino', 'news')) as url",
+        "id < 40 as block")
+    found = {tuple(r["tokens"]) for r in urls.mine_rules(rows).collect()}
+    assert found == {("path:casino",)}
+
+
 def test_calls_are_ordered_and_checked(spark):
     calls = spark.createDataFrame([
         (1, "a", 0, "search", '{"query":"q","limit":1.0}', ["b"]),
