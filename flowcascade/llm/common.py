@@ -51,10 +51,13 @@ def only_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi
 
 
 def number_rows(df: DataFrame, group: list[str], order: list[str], name: str,
-                numbered: str = "nth", counted: str | None = None) -> DataFrame:
+                numbered: str = "nth", counted: str | None = None,
+                sized: str | None = None) -> DataFrame:
     """``df`` with a number from 0, without gaps, in each group, in the order given.
 
-    With ``counted``, a column of 0 and 1, the number of earlier rows of the group that have 1.
+    With ``counted``, a column of 0 and 1, the number of earlier rows of the group that have 1;
+    with any column of whole numbers, its sum over them.  ``sized`` names a column for the
+    size of the group.
 
     No task numbers a whole group: the rows are range-partitioned by group and order and
     written, each partition numbers its own part of a group, and the counts per partition
@@ -68,8 +71,11 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], name: str,
     before = Window.partitionBy(*group).orderBy("__part").rowsBetween(
         Window.unboundedPreceding, -1)
     renamed = {c: f"__{c}" for c in group}
-    offsets = counts.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))
-                                ).drop("__n").withColumnsRenamed(renamed | {"__part": "__at"})
+    known = {"__first": F.coalesce(F.sum("__n").over(before), F.lit(0))}
+    if sized:
+        known[sized] = F.sum("__n").over(Window.partitionBy(*group))
+    offsets = counts.withColumns(known).drop("__n").withColumnsRenamed(
+        renamed | {"__part": "__at"})
     inside = Window.partitionBy(*group, "__part").orderBy(*order, "__tie")
     earlier = F.row_number().over(inside) - 1 if counted is None else F.coalesce(
         F.sum(named(counted)).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -11,6 +11,7 @@ from flowcascade.llm import (
     chat,
     decontaminate,
     licenses,
+    merkle,
     packing,
     quality_rules,
     secrets,
@@ -85,3 +86,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit_documents(load(spark, sf_dir, "documents"))
