@@ -18,6 +18,7 @@ from flowcascade.llm import (
     sharding,
     simhash,
     suffix_dedup,
+    token_files,
     urls,
 )
 from flowcascade.llm.common import load
@@ -88,6 +89,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"))
 
 
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encode_documents(load(spark, sf_dir, "documents"))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit_documents(load(spark, sf_dir, "documents"))
