@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowcascade.llm.common import named, number_rows
-from flowcascade.session import discard_stage, stage_path
+from flowcascade.session import discard_stage, stage, stage_path
 
 FAN = 16            # children of a node
 STRIDE = 2          # levels from one stored level to the next
@@ -140,25 +140,30 @@ class _Trees:
                 F.array_join(F.slice(run, place + 2, self.fan), "").alias("after")))
         return F.slice(F.array(*steps), F.lit(1), F.col("height"))
 
-    def paths(self, levels: list[DataFrame], group: list[str], heads: DataFrame,
+    def paths(self, levels: list[DataFrame], group: list[str], heads: DataFrame | None,
               passed: list[str], wanted: Callable[[Column], Column] | None = None) -> DataFrame:
         """The path of every leaf: its item, what ``heads`` passes down, and its siblings.
 
         ``heads`` has one row ``(group, passed, path)`` per group: the path above its last
-        node.  Subtrees without a leaf that is ``wanted`` are not recomputed at the lowest
-        stored level.
+        node; a single tree needs none.  Subtrees without a leaf that is ``wanted`` are not
+        recomputed at the lowest stored level.
         """
-        above = heads.withColumn("pos", F.lit(0).cast("long"))
+        above = None if heads is None else heads.withColumn("pos", F.lit(0).cast("long"))
         for depth, blocks in reversed(list(enumerate(levels))):
             if depth == 0 and wanted is not None:
                 blocks = blocks.filter(F.exists("items", wanted))
-            upper = above.select(
-                *[named(c).alias(f"__{c}") for c in group],
-                F.col("pos").alias("__block"), *passed, F.col("path").alias("__path"))
-            same = F.col("block") == F.col("__block")
-            for c in group:
-                same &= named(c).eqNullSafe(named(f"__{c}"))
-            found = self.recomputed(blocks).join(upper, same).select(
+            subtrees = self.recomputed(blocks)
+            if above is None:
+                subtrees = subtrees.withColumn("__path", F.array().cast(PATH))
+            else:
+                upper = above.select(
+                    *[named(c).alias(f"__{c}") for c in group],
+                    F.col("pos").alias("__block"), *passed, F.col("path").alias("__path"))
+                same = F.col("block") == F.col("__block")
+                for c in group:
+                    same &= named(c).eqNullSafe(named(f"__{c}"))
+                subtrees = subtrees.join(upper, same)
+            found = subtrees.select(
                 *group, *passed, "__path", F.inline(F.transform("items", lambda x, i: F.struct(
                     x.alias("item"), self._siblings(i).alias("__own")))))
             above = found.select(
@@ -179,10 +184,12 @@ def build_manifest(leaves: DataFrame, group: str = "source", order: str = "doc_i
     folder = folder or stage_path(spark, "merkle")
     trees = _Trees(fan, stride)
     carried = list(dict.fromkeys([order, *carried]))
-    numbered = number_rows(leaves, [group], [order, "leaf"], "merkle-leaves", "pos",
+    hashed = stage(leaves, "merkle-hashes")     # texts are hashed once, then only hashes move
+    numbered = number_rows(hashed, [group], [order, "leaf"], "merkle-leaves", "pos",
                            sized="total")
     groups, subroots = trees.build(
         numbered.withColumnRenamed("leaf", "node"), [group], carried, f"{folder}/groups")
+    discard_stage(hashed)
     discard_stage(numbered)
     ranked = number_rows(subroots, [], [group], "merkle-subroots", "pos", sized="total")
     tops, root = trees.build(ranked, [], [group], f"{folder}/tops")
@@ -215,10 +222,10 @@ def proofs(manifest: Manifest, wanted: Callable[[Column], Column] | None = None)
     """
     trees = _Trees(manifest.fan, manifest.stride)
     group = next(c for c in manifest.groups[0].columns if c not in ("total", "block", "items"))
-    head = manifest.root.select(F.col("node").alias("root"),
-                                F.array().cast(PATH).alias("path"))
-    subroots = trees.paths(manifest.tops, [], head, ["root"]).select(
-        F.col(f"item.{group}").alias(group), F.col("item.node").alias("subroot"), "root", "path")
+    root = manifest.root.first()                # one row, none without leaves
+    subroots = trees.paths(manifest.tops, [], None, []).select(
+        F.col(f"item.{group}").alias(group), F.col("item.node").alias("subroot"),
+        F.lit(root and root["node"]).cast("string").alias("root"), "path")
     found = trees.paths(manifest.groups, [group], subroots, ["subroot", "root"], wanted)
     if wanted is not None:
         found = found.filter(wanted(F.col("item")))
