@@ -20,6 +20,7 @@ from flowcascade.llm import (
     suffix_dedup,
     token_files,
     urls,
+    whitening,
 )
 from flowcascade.llm.common import load
 from flowcascade.llm.oracle import ORACLE  # noqa: F401 - read by the entry module
@@ -89,6 +90,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"))
 
 
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(load(spark, sf_dir, "embeddings"))
+
+
 @query
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_documents(load(spark, sf_dir, "documents"))
