@@ -62,4 +62,88 @@ from measured m join verdicts v on m.source is not distinct from v.source
 """
 
 
-ORACLE = {"op1_quality_rules": _quality()}
+_POLYNOMIAL = 0xEDB88320        # fixed value: CRC-32, lowest bit first
+
+
+def _merkle(group_levels: int = 6, top_levels: int = 3, fan: int = 16) -> str:
+    """Trees of up to ``fan ** group_levels`` rows a source and ``fan ** top_levels`` sources.
+
+    A level of a tree that already has a single node repeats it and adds no siblings.
+    """
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}) || ':' || {c}, '-')"
+
+    def leaf(text: str) -> str:
+        names = ["doc_id::varchar", "source", "lang", "n_chars::varchar", text]
+        return "sha256(" + " || ".join(field(n) for n in names) + ")"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    marked = f"""
+  select doc_id, source, lang, n_chars, text, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(
+      range(1, length(doc_id::varchar) + 1),
+      lambda i: unicode(substr(doc_id::varchar, i, 1))::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+      lambda v, i: xor(v >> 1, (v & 1) * {_POLYNOMIAL}))) as crc
+  from documents"""
+    parts = [f"marked as ({marked})", f"""hashed as (
+  select doc_id, source, {leaf('text')} as leaf,
+         case when xor(crc, 4294967295) % 5 = 0 then {leaf(lowered)} end as altered
+  from marked)""", """leaves as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos,
+         count(*) over (partition by source) as n
+  from hashed)""", "g0 as (select source, pos, n, leaf as node from leaves)"]
+
+    def climb(kind: str, levels: int, group: str) -> None:
+        """Runs ``kind r k`` of the nodes ``kind k`` and the nodes ``kind k+1`` over them."""
+        for k in range(levels):
+            parts.append(f"""{kind}r{k} as (
+  select {group}pos // {fan} as run, n, list(node order by pos) as nodes
+  from {kind}{k} group by {group}pos // {fan}, n)""")
+            parts.append(f"""{kind}{k + 1} as (
+  select {group}run as pos, (n + {fan - 1}) // {fan} as n,
+         case when n = 1 then nodes[1] else sha256(array_to_string(nodes, '')) end as node
+  from {kind}r{k})""")
+
+    climb("g", group_levels, "source, ")
+    parts.append(f"""t0 as (
+  select source, node, row_number() over (order by source nulls first) - 1 as pos,
+         count(*) over () as n
+  from g{group_levels})""")
+    climb("t", top_levels, "")
+
+    def walk(kind: str, levels: int, rows: str, same: str) -> str:
+        """The leaves with their siblings of every level, before and after them."""
+        columns, joins = [], []
+        for k in range(levels):
+            r, place = f"{kind}r{k}", f"(x.pos // {fan ** k}) % {fan}"
+            columns += [
+                f"case when {r}.n > 1 then array_to_string({r}.nodes[1:{place}], '') end "
+                f"as {kind}b{k}",
+                f"case when {r}.n > 1 then array_to_string({r}.nodes[{place} + 2:], '') end "
+                f"as {kind}a{k}"]
+            joins.append(f"join {r} on {r}.run = x.pos // {fan ** (k + 1)}{same.format(r=r)}")
+        return f"select x.*, {', '.join(columns)} from {rows} x {' '.join(joins)}"
+
+    parts.append("low as (" + walk("g", group_levels, "leaves",
+                                   " and {r}.source is not distinct from x.source") + ")")
+    parts.append("high as (" + walk("t", top_levels, "t0", "") + ")")
+    steps = [f"g{{}}{k}" for k in range(group_levels)] + [f"t{{}}{k}" for k in range(top_levels)]
+    siblings = " || ".join(f"coalesce({s.format('b')} || {s.format('a')}, '')" for s in steps)
+    high = ", ".join(f"h.t{side}{k}" for k in range(top_levels) for side in "ba")
+    parts.append(f"""f0 as (
+  select l.*, {high}, h.node as subroot, coalesce(l.altered, l.leaf) as folded
+  from low l join high h on l.source is not distinct from h.source)""")
+    for i, s in enumerate(steps):
+        b, a = s.format("b"), s.format("a")
+        parts.append(f"""f{i + 1} as (
+  select * replace (case when {b} is null then folded
+                    else sha256({b} || folded || {a}) end as folded) from f{i})""")
+    return "with " + ",\n".join(parts) + f"""
+select doc_id, leaf, subroot, r.node as root, sha256({siblings}) as proof_sha256,
+       folded as folded_root, folded = r.node as verified
+from f{len(steps)}, t{top_levels} r
+"""
+
+
+ORACLE = {"op1_quality_rules": _quality(), "op13_merkle_manifest": _merkle()}
