@@ -15,11 +15,13 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 
-CACHED_PIECES = 500_000     # pieces kept per worker; beyond it they are encoded each time
+CACHED_PIECES = 1_000_000   # pieces kept per worker; others are encoded each time they come
 CACHED_LENGTH = 40          # longer pieces are not kept
 GROUP_CHARS = 1 << 19       # characters of the texts that are cut at one time
 JOINED_PIECES = 4096        # new pieces that are encoded as one text
@@ -53,6 +55,21 @@ def _cuts_byte_level(plain: dict) -> bool:
                         for t in plain.get("added_tokens", [])))
 
 
+_KEPT = "flowcascade_kept_encoders"
+
+
+def shared_encoder(vocabulary: str) -> "PieceEncoder":
+    """An encoder whose pieces stay known to the worker process from task to task.
+
+    The functions of a task are made anew for each, so what is kept hangs on a module that
+    only this process has.
+    """
+    kept = sys.modules.setdefault(_KEPT, ModuleType(_KEPT)).__dict__
+    encoder = PieceEncoder(vocabulary)
+    encoder.known = kept.setdefault(vocabulary, encoder.known)
+    return encoder
+
+
 def _blank(c: str) -> bool:
     return c.isspace() or c == _OLD_SPACE
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowcascade.llm.common import id_and_text
-from flowcascade.llm.encoding import PieceEncoder, public_vocabulary
+from flowcascade.llm.encoding import public_vocabulary, shared_encoder
 from flowcascade.session import stage, stage_path
 
 WIDTH = 1024            # ids of a sequence
@@ -158,7 +158,7 @@ def write_token_files(docs: DataFrame, vocabulary: Callable[[], str] = public_vo
             if not data.num_rows:
                 continue
             if encoder is None:
-                encoder = PieceEncoder(vocabulary())
+                encoder = shared_encoder(vocabulary())
                 last = np.array([end], encoder.kind)
                 shard = TaskContext.get().partitionId()
                 name = f"{shard:06d}-{uuid.uuid4().hex}"
