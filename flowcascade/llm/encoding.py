@@ -140,18 +140,15 @@ class PieceEncoder:
 
     def _by_piece(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
-        ids = [list(map(self.known.get, pieces)) for pieces in cut]
-        holes = [[i for i, x in enumerate(found) if x is None] for found in ids]
-        wanted = dict.fromkeys(pieces[i] for pieces, at in zip(cut, holes) for i in at)
-        if wanted:
-            fresh = self._encode_pieces(list(wanted))
-            for pieces, found, at in zip(cut, ids, holes):
-                for i in at:
-                    found[i] = fresh[pieces[i]]
-            room = self.cached_pieces - len(self.known)
-            short = [p for p in fresh if len(p) <= CACHED_LENGTH]
-            self.known.update((p, fresh[p]) for p in short[:max(room, 0)])
-        return [b"".join(found) for found in ids]
+        fresh = set().union(*cut).difference(self.known)
+        if fresh:
+            self.known.update(self._encode_pieces(list(fresh)))
+        ids = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        full = len(self.known) > self.cached_pieces
+        for piece in fresh:
+            if full or len(piece) > CACHED_LENGTH:
+                del self.known[piece]
+        return ids
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of every text, in order; the texts are cut in groups of bounded size."""
