@@ -10,16 +10,22 @@ from pyspark.sql import types as T
 
 from flowcascade.functions import quoted
 from flowcascade.schema import (
+    LEAVES,
     LEVEL_COLUMNS,
     NODES,
     UNRESOLVED,
     Node,
     leaves_of_class,
+    leaves_of_node,
     node_of,
 )
+from flowcascade.session import stage
 
 LabelMap = dict[str, int]
 
+LEAF_FOLDER = "leaf_folder"     # partition column of tables laid out by leaf
+OTHER_FOLDER = "other"          # rows of no known leaf
+
 
 def fit_label_map(df: DataFrame, label: str) -> LabelMap:
     """Sorted distinct labels -> 0 .. n-1.  The class list is model state, kept on the driver."""
@@ -107,12 +113,28 @@ def present_levels(df: DataFrame) -> DataFrame:
 
 
 def present_level_ids(df: DataFrame) -> list[int]:
+    """Levels that apply to any row; of a table laid out by leaf only folder names are read."""
+    if LEAF_FOLDER in df.columns:
+        found = {r[LEAF_FOLDER] for r in df.select(LEAF_FOLDER).distinct().collect()}
+        return [n.level for n in NODES if found.intersection(leaves_of_node(n))]
     return [r["level"] for r in present_levels(df).collect() if r["present"]]
 
 
+def stage_by_leaf(df: DataFrame, name: str, leaf: str = "leaf") -> DataFrame:
+    """Stage a labelled table with a folder per known leaf and one for all other rows.
+
+    A level is a list of leaves, so reading one level opens only the folders of its leaves.
+    """
+    known = F.when(quoted(leaf).isin(*LEAVES), quoted(leaf)).otherwise(F.lit(OTHER_FOLDER))
+    return stage(df.withColumn(LEAF_FOLDER, known), name, by=LEAF_FOLDER)
+
+
 def select_level(df: DataFrame, level: int | str) -> DataFrame:
-    """Rows to which a level applies."""
-    return df.filter(F.col(node_of(level).label_column) != UNRESOLVED)
+    """Rows to which a level applies; of a table laid out by leaf only those folders are read."""
+    node = node_of(level)
+    if LEAF_FOLDER in df.columns:
+        return df.filter(F.col(LEAF_FOLDER).isin(*leaves_of_node(node)))
+    return df.filter(F.col(node.label_column) != UNRESOLVED)
 
 
 def level_distribution(df: DataFrame) -> DataFrame:

@@ -13,9 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowcascade.functions import argmax
+from flowcascade.operators.bayes import (
+    GaussianBayes,
+    GaussianBayesModel,
+    class_moments,
+    level_moments,
+)
 from flowcascade.operators.evaluate import cross_entropy
 from flowcascade.plans.prepare import level_datasets
-from flowcascade.plans.scoring import FEATURES, score_node, with_feature_vector
+from flowcascade.plans.scoring import (
+    FEATURES,
+    component_values,
+    score_side_by_side,
+    with_feature_vector,
+)
 from flowcascade.schema import NODE_BY_LEVEL, Node, node_of
 
 log = logging.getLogger(__name__)
@@ -35,7 +46,8 @@ def logistic(penalty: float = DEFAULT_PENALTY, iterations: int = 50) -> Logistic
 # A round refits with a larger iteration budget.
 DEFAULT_CANDIDATES = tuple((DEFAULT_PENALTY, n) for n in (5, 10, 20, 40))
 
-Candidate = Estimator | tuple[float, int]
+Candidate = Estimator | GaussianBayes | tuple[float, int]
+Fitted = Model | GaussianBayesModel
 
 
 @dataclass
@@ -52,7 +64,7 @@ class Round:
 
 @dataclass
 class Selection:
-    model: Model | None
+    model: Fitted | None
     best_round: int
     best_loss: float
     history: list[Round]
@@ -62,7 +74,7 @@ class Selection:
 class Cascade:
     """Fitted nodes by name, what happened in every round, and the nodes left out."""
 
-    models: dict[str, Model] = field(default_factory=dict)
+    models: dict[str, Fitted] = field(default_factory=dict)
     history: list[Round] = field(default_factory=list)
     skipped: list[str] = field(default_factory=list)
 
@@ -75,34 +87,64 @@ def _estimator(candidate: Candidate | None) -> Estimator:
     return candidate
 
 
-def fit_node(train: DataFrame, level: int | str, candidate: Candidate | None = None) -> Model:
-    """Fit one node on the rows whose *true* label belongs to it."""
+def fit_candidates(train: DataFrame, level: int | str,
+                   candidates: Sequence[Candidate | None]) -> list[Fitted]:
+    """Fit candidates of one node on the rows whose *true* label belongs to it.
+
+    All naive Bayes candidates come from one scan of their moments; the others are fitted
+    one by one.
+    """
     node = node_of(level)
     rows = train.filter(F.col(node.label_column) >= 0)
-    ready = with_feature_vector(rows).select(
-        FEATURES, F.col(node.label_column).cast("double").alias("__target"))
-    estimator = _estimator(candidate).copy()
-    estimator.setFeaturesCol(FEATURES).setLabelCol("__target")
-    return estimator.fit(ready)
+    ready, classes, models = None, None, []
+    for candidate in candidates:
+        if isinstance(candidate, GaussianBayes):
+            if classes is None:
+                classes = class_moments(level_moments(rows, component_values(rows)), node)
+            models.append(candidate.fit(classes, node.width))
+            continue
+        if ready is None:
+            ready = with_feature_vector(rows).select(
+                FEATURES, F.col(node.label_column).cast("double").alias("__target"))
+        estimator = _estimator(candidate).copy()
+        estimator.setFeaturesCol(FEATURES).setLabelCol("__target")
+        models.append(estimator.fit(ready))
+    return models
+
+
+def fit_node(train: DataFrame, level: int | str, candidate: Candidate | None = None) -> Fitted:
+    """Fit one node on the rows whose *true* label belongs to it."""
+    return fit_candidates(train, level, [candidate])[0]
+
+
+Quality = tuple[int, float | None, float | None]
 
 
-def node_quality(df: DataFrame, model: Model,
-                 node: Node) -> tuple[int, float | None, float | None]:
-    """``(rows, loss, accuracy)`` of one node on the rows its level applies to.
+def node_qualities(df: DataFrame, models: Sequence[Fitted], node: Node) -> list[Quality]:
+    """``(rows, loss, accuracy)`` of models of one node on the rows its level applies to.
 
-    Without such rows loss and accuracy are null, and so is a loss that is no number.
+    All models are measured by one aggregate in one scan.  Without such rows loss and
+    accuracy are null, and so is a loss that is no number.
     """
     rows = df.filter(F.col(node.label_column) >= 0)
-    scored = score_node(rows, {node.name: model}, node.name, "__scores")
-    target, scores = F.col(node.label_column), F.col("__scores")
-    row = scored.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(cross_entropy(scores, target, node.width)).alias("loss"),
-        F.count_if(argmax(scores) == target).alias("hits")).first()
-    n, loss = row["n"], row["loss"]
-    if loss is not None and math.isnan(loss):
-        loss = None
-    return n, loss, 100.0 * row["hits"] / n if n else None
+    scored, columns = score_side_by_side(rows, models, node.name, "__scores")
+    target, aggs = F.col(node.label_column), [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(columns):
+        aggs += [F.avg(cross_entropy(F.col(c), target, node.width)).alias(f"loss{i}"),
+                 F.count_if(argmax(F.col(c)) == target).alias(f"hits{i}")]
+    row = scored.agg(*aggs).first()
+    n, found = row["n"], []
+    for i in range(len(columns)):
+        loss = row[f"loss{i}"]
+        if loss is not None and math.isnan(loss):
+            loss = None
+        found.append((n, loss, 100.0 * row[f"hits{i}"] / n if n else None))
+    return found
+
+
+def node_quality(df: DataFrame, model: Fitted, node: Node) -> Quality:
+    """``(rows, loss, accuracy)`` of one model of a node."""
+    return node_qualities(df, [model], node)[0]
 
 
 def select_model(train: DataFrame, valid: DataFrame, level: int | str,
@@ -110,27 +152,30 @@ def select_model(train: DataFrame, valid: DataFrame, level: int | str,
                  patience: int = DEFAULT_PATIENCE) -> Selection:
     """Keep the candidate with the strictly lowest validation loss.
 
-    Candidates are tried in order, one per round; trying stops after ``patience``
-    rounds in a row without improvement.  Without validation rows the training loss
-    decides.  A candidate whose loss is no number is never chosen.
+    Candidates count in order, one per round; trying stops after ``patience`` rounds in a
+    row without improvement.  As many as will be tried in any case, whatever their losses,
+    are fitted together and measured side by side, in one scan of each table.  Without
+    validation rows the training loss decides.  A candidate whose loss is no number is
+    never chosen.
     """
     node = node_of(level)
     chosen = Selection(None, 0, float("inf"), [])
-    stale = 0
-    for number, candidate in enumerate(candidates, 1):
-        model = fit_node(train, node.level, candidate)
-        _, train_loss, train_acc = node_quality(train, model, node)
-        val_rows, val_loss, val_acc = node_quality(valid, model, node)
-        chosen.history.append(
-            Round(node.level, number, train_loss, val_loss, train_acc, val_acc))
-        loss = val_loss if val_rows else train_loss
-        if loss is not None and loss < chosen.best_loss:
-            chosen.model, chosen.best_round, chosen.best_loss = model, number, loss
-            stale = 0
-        else:
-            stale += 1
-        if stale >= patience:
-            break
+    stale, number = 0, 0
+    while number < len(candidates) and (stale < patience or not number):
+        certain = candidates[number:number + max(patience - stale, 1)]
+        models = fit_candidates(train, node.level, certain)
+        measured = zip(models, node_qualities(train, models, node),
+                       node_qualities(valid, models, node))
+        for model, (_, train_loss, train_acc), (val_rows, val_loss, val_acc) in measured:
+            number += 1
+            chosen.history.append(
+                Round(node.level, number, train_loss, val_loss, train_acc, val_acc))
+            loss = val_loss if val_rows else train_loss
+            if loss is not None and loss < chosen.best_loss:
+                chosen.model, chosen.best_round, chosen.best_loss = model, number, loss
+                stale = 0
+            else:
+                stale += 1
     return chosen
 
 
@@ -154,6 +199,20 @@ def fit_cascade(datasets: Mapping[int, tuple[DataFrame, DataFrame]],
     return fitted
 
 
+def fit_bayes(train: DataFrame, candidate: GaussianBayes = GaussianBayes()) -> Cascade:
+    """Fit naive Bayes at every node from one scan of a labelled table."""
+    found = level_moments(train, component_values(train))
+    fitted = Cascade()
+    for _, node in sorted(NODE_BY_LEVEL.items()):
+        classes = class_moments(found, node)
+        if classes:
+            fitted.models[node.name] = candidate.fit(classes, node.width)
+        else:
+            log.warning("node %s has no data and is skipped", node.name)
+            fitted.skipped.append(node.name)
+    return fitted
+
+
 def fit_tables(train: DataFrame, valid: DataFrame, **options) -> Cascade:
     """Fit the cascade on two prepared tables."""
     return fit_cascade(level_datasets(train, valid), **options)

@@ -23,6 +23,7 @@ from flowcascade.operators.labels import (
     present_level_ids,
     resolve_leaf,
     select_level,
+    stage_by_leaf,
 )
 from flowcascade.schema import DEFAULT_COMPONENTS, LEVEL_COLUMNS, require_label
 from flowcascade.session import stage
@@ -84,9 +85,9 @@ def level_datasets(train: DataFrame, valid: DataFrame,
                    staged: bool = True) -> dict[int, tuple[DataFrame, DataFrame]]:
     """``{level: (train rows, valid rows)}`` for the levels present in training.
 
-    Both tables are written down once and every level is a filter on them.
+    Both tables are written down once, by leaf, and every level reads its leaves' folders.
     """
     if staged:
-        train, valid = stage(train, "train"), stage(valid, "valid")
+        train, valid = stage_by_leaf(train, "train"), stage_by_leaf(valid, "valid")
     return {level: (select_level(train, level), select_level(valid, level))
             for level in present_level_ids(train)}

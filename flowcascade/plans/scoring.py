@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
 from pyspark.ml import Model
@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowcascade.functions import argmax, pad_scores, quoted, softmax
+from flowcascade.operators.bayes import GaussianBayesModel
 from flowcascade.operators.cascade import cascade, prediction_columns
 from flowcascade.operators.features import (
     COMPONENT_PREFIX,
     feature_vector,
+    single_precision,
 )
 from flowcascade.schema import NODES, Node, node_of
 
@@ -43,6 +45,11 @@ def with_feature_vector(df: DataFrame) -> DataFrame:
     return df.withColumn(FEATURES, feature_vector(component_columns(df), FEATURES))
 
 
+def component_values(df: DataFrame) -> list[Column]:
+    """The components at the precision the classifiers see."""
+    return [single_precision(c) for c in component_columns(df)]
+
+
 def _logits(model: Model) -> tuple[str, Column]:
     """The model output to ask for, and the logits made from it."""
     raw = vector_to_array(F.col(RAW))
@@ -65,6 +72,8 @@ def _logits(model: Model) -> tuple[str, Column]:
 
 def _add_scores(df: DataFrame, model: Model, node: Node, out: str) -> DataFrame:
     """Scores of one node for every row, padded to the node's class count."""
+    if isinstance(model, GaussianBayesModel):
+        return df.withColumn(out, model.scores(component_values(df)))
     output, logits = _logits(model)
     model = model.copy()
     model.setFeaturesCol(FEATURES).setPredictionCol("")
@@ -85,6 +94,16 @@ def score_node(df: DataFrame, models: Mapping[str, Model], key: int | str,
     return _add_scores(vectors, models[node.name], node, out or score_column(node)).drop(FEATURES)
 
 
+def score_side_by_side(df: DataFrame, models: Sequence[Model], key: int | str,
+                       prefix: str) -> tuple[DataFrame, list[str]]:
+    """The score arrays of several models of one node, as one column each."""
+    node, scored, columns = node_of(key), with_feature_vector(df), []
+    for i, model in enumerate(models):
+        columns.append(f"{prefix}{i}")
+        scored = _add_scores(scored, model, node, columns[-1])
+    return scored.drop(FEATURES), columns
+
+
 def score_all(df: DataFrame, models: Mapping[str, Model]) -> tuple[DataFrame, dict[str, str]]:
     """Add the score array of every fitted node; also say which column is whose."""
     scored, columns = with_feature_vector(df), {}

@@ -14,6 +14,7 @@ from flowcascade.operators.evaluate import (
     level_report,
 )
 from flowcascade.operators.features import FeatureState
+from flowcascade.operators.labels import stage_by_leaf
 from flowcascade.plans.fit import (
     DEFAULT_CANDIDATES,
     DEFAULT_PATIENCE,
@@ -51,7 +52,10 @@ def train_and_evaluate(spark: SparkSession, train_path: str, valid_path: str, ou
     train, state = prepare(spark, train_path, components=components, approx=approx)
     save_state(spark, state, f"{out_dir}/state")
     valid, _ = prepare(spark, valid_path, state)
-    train, valid = restage(train, "train"), restage(valid, "valid")
+    laid_out = stage_by_leaf(train, "train"), stage_by_leaf(valid, "valid")
+    discard_stage(train)
+    discard_stage(valid)
+    train, valid = laid_out
     fitted = fit_cascade(level_datasets(train, valid, staged=False), candidates, patience)
     save_models(spark, fitted.models, f"{out_dir}/models")
 

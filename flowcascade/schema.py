@@ -128,6 +128,11 @@ def leaves_of_class(node: Node, code: int) -> list[str]:
     return [leaf for leaf, path in leaf_paths().items() if (node, code) in path]
 
 
+def leaves_of_node(node: Node) -> list[str]:
+    """Leaves that have any class at ``node``, in leaf order."""
+    return [leaf for leaf, path in leaf_paths().items() if any(n == node for n, _ in path)]
+
+
 def node_classes(key: int | str) -> list[str]:
     return list(node_of(key).classes)
 

@@ -92,12 +92,22 @@ def side_session(spark: SparkSession) -> SparkSession:
     return side
 
 
-def stage(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
-    """Write ``df`` as a staged table and return a reader of it (in ``spark``)."""
+def stage(df: DataFrame, name: str, spark: SparkSession | None = None,
+          by: str | None = None) -> DataFrame:
+    """Write ``df`` as a staged table and return a reader of it (in ``spark``).
+
+    With ``by`` the table has a folder per value of that column, and readers that filter on
+    it list and open only those folders.  Rows are brought together by the column first;
+    Spark splits a large value over several tasks and merges small ones.
+    """
     spark = spark or df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:
+        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[
+        "`" + c.replace("`", "``") + "`" for c in df.columns])
 
 
 def restage(df: DataFrame, name: str) -> DataFrame:
@@ -107,12 +117,17 @@ def restage(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard_stage(df: DataFrame) -> None:
     """Delete the staged tables ``df`` reads; its other inputs are left alone."""
-    spark = df.sparkSession
     folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for folder in folders:
-        if folder.rsplit("/", 1)[-1].startswith(STAGE_PREFIX):
-            target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-            fs.delete(target, True)
+        at = folder.find(f"/{STAGE_PREFIX}")        # partitioned tables have folders below
+        if at >= 0:
+            end = folder.find("/", at + 1)
+            delete_folder(df.sparkSession, folder if end < 0 else folder[:end])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from flowcascade.schema import LEAVES, NODES, Node, leaf_paths, node_of
-from flowcascade.workload.views import with_views
+from flowcascade.workload.views import LEARNABLE_PARTS, with_views
 
 IDS = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
 STATISTICS = ["FlowDuration", "FlowBytes/s", "FwdIATMean", "FwdIATStd"]
@@ -348,3 +348,112 @@ ORACLE["prepared_labels"] = with_views(
                  "Label", level1, level2, level3, level4, level5
           from labelled where "FwdIATStd" is not null)
     group by "Label", level1, level2, level3, level4, level5""")
+
+
+# --- fitting ---------------------------------------------------------------
+INPUTS = ("x1", "x2", "x3")
+SMOOTHINGS = (0.5, 0.001, 0.01, 1e-9, 1e-6, 0.1)     # in the order in which they are tried
+
+
+def learnable(extra: list[tuple[str, str]], body: str) -> str:
+    return "with " + ",\n".join(
+        f"{name} as ({sql})" for name, sql in [*LEARNABLE_PARTS, *extra]) + "\n" + body
+
+
+def bayes_parts(node: Node, smoothing: str = "1e-9") -> list[tuple[str, str]]:
+    """Moments per class of the training rows, and scores of all classes on every row."""
+    k, c = node.level, node.label_column
+    moments = ", ".join(f"avg({x}) as m_{x}, var_pop({x}) as v_{x}" for x in INPUTS)
+    widest = ", ".join(f"var_pop({x})" for x in INPUTS)
+    terms = " + ".join(
+        f"-0.5 * (ln(2 * pi() * (v_{x} + s)) + (r.{x} - m_{x}) * (r.{x} - m_{x}) / (v_{x} + s))"
+        for x in INPUTS)
+    fitted = f"from labelled where not held_out and {c} >= 0"
+    return [
+        (f"class{k}", f"select {c} as code, count(*) as n, {moments} {fitted} group by 1"),
+        (f"all{k}", f"select count(*) as total, {smoothing} * greatest({widest}) as s {fitted}"),
+        (f"parts{k}", f"""
+  select r.l_orderkey, r.l_partkey, r.l_suppkey, r.l_linenumber, code,
+         ln(n / total) + {terms} as score
+  from labelled r, class{k}, all{k}"""),
+        (f"scores{k}", f"""
+  select l_orderkey, l_partkey, l_suppkey, l_linenumber,
+         list(score order by code) as score, list(code order by code) as codes
+  from parts{k} group by all"""),
+    ]
+
+
+def own_class(k: int) -> str:
+    return f"s{k}.codes[list_position(s{k}.score, list_max(s{k}.score))]"
+
+
+_drdos = node_of("3_drdos")
+_shares = ", ".join(
+    f"round(e[{i + 1}] / list_sum(e), 6) as p{i}" for i in range(_drdos.width))
+_classified = [part for n in NODES for part in bayes_parts(n)] + [("own", "select l.*, " + ", ".join(
+    f"{own_class(n.level)} as own_{n.name}" for n in NODES) + " from labelled l " + " ".join(
+    f"join scores{n.level} s{n.level} using ({IDS})" for n in NODES) + " where held_out")]
+
+
+def _routed() -> list[tuple[str, str]]:
+    from flowcascade.workload.views import FLAT_SQL, ROUTED_SQL
+    return [("routed", ROUTED_SQL), ("predicted", FLAT_SQL)]
+
+
+def _measured(node: Node, smoothing: str = "1e-9") -> str:
+    """Loss and hits per row of one node, on all rows of its level."""
+    k, c = node.level, node.label_column
+    peak = f"list_max(s{k}.score)"
+    return f"""
+select held_out, {peak} + ln(list_sum(list_transform(s{k}.score, lambda x: exp(x - {peak}))))
+       - s{k}.score[list_position(s{k}.codes, {c})] as loss, {own_class(k)} = {c} as hit
+from labelled join scores{k} s{k} using ({IDS}) where {c} >= 0"""
+
+
+def _selection(patience: int = 2) -> str:
+    """All rounds of all nodes, cut where ``patience`` rounds in a row were no better."""
+    found = []
+    for node in NODES:
+        for number, smoothing in enumerate(SMOOTHINGS, 1):
+            inner = ",\n".join(f"{name} as ({sql})"
+                               for name, sql in bayes_parts(node, repr(smoothing)))
+            found.append(f"""
+select * from (with {inner}
+select {node.level} as level, {number} as round,
+       avg(loss) filter (not held_out) as train_loss, avg(loss) filter (held_out) as val_loss,
+       100.0 * avg(hit::int) filter (not held_out) as train_acc,
+       100.0 * avg(hit::int) filter (held_out) as val_acc
+from ({_measured(node)}))""")
+    before = "over (partition by level order by round rows between unbounded preceding and 1 preceding)"
+    return learnable([
+        ("tried", union(found)),
+        ("ranked", f"select *, coalesce(val_loss < min(val_loss) {before}, true) as better from tried"),
+        ("runs", "select *, round - coalesce(max(case when better then round end) over "
+                 "(partition by level order by round), 0) as stale from ranked"),
+        ("ended", f"select level, min(round) as last from runs where stale >= {patience} "
+                  "group by level")],
+        "select r.level, round, " + ", ".join(
+            f"round({c}, 5) as {c}" for c in ("train_loss", "val_loss", "train_acc", "val_acc"))
+        + " from runs r left join ended e on r.level = e.level "
+          "where round <= coalesce(last, 1000000)")
+
+
+ORACLE |= {
+    "level_tables": learnable([], union([
+        f"select {n.level} as level, case when held_out then 'valid' else 'train' end as part, "
+        f"{n.label_column} as class_code, count(*) as rows, round(sum(x), 3) as total "
+        f"from (select *, l_quantity / 10 as x from labelled join lineitem using ({IDS})) "
+        f"where {n.label_column} >= 0 group by all" for n in NODES])),
+    "bayes_predict": learnable(bayes_parts(_drdos), f"""
+select {IDS}, level4 as y_true, {own_class(4)} as y_pred, {_shares}
+from (select l.*, score, codes, list_transform(score, lambda x: exp(x - list_max(score))) as e
+      from labelled l join scores4 using ({IDS}) where held_out and level4 >= 0) s4"""),
+    "bayes_cascade": learnable(_classified + _routed(), f"""
+select {IDS}, "Label" as leaf, {', '.join(f'pred_{n.name}' for n in NODES)}, flat_pred
+from predicted"""),
+    "bayes_evaluation": learnable([part for n in NODES for part in bayes_parts(n)], union([
+        f"select {n.level} as level, '{n.name}' as node, count(*) as rows, "
+        f"round(avg(loss), 5) as loss, round(100.0 * avg(hit::int), 5) as accuracy "
+        f"from ({_measured(n)}) where held_out" for n in NODES])),
+    "bayes_selection": _selection(),
+}

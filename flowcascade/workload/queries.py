@@ -19,12 +19,13 @@ from flowcascade.operators import evaluate as E
 from flowcascade.operators import features as P
 from flowcascade.operators import labels as L
 from flowcascade.operators import roc as R
+from flowcascade.operators.bayes import GaussianBayes
 from flowcascade.plans import fit as T
 from flowcascade.plans import scoring as S
 from flowcascade.plans.prepare import level_datasets, prepare
 from flowcascade.schema import LEAVES, NODES, node_of
 from flowcascade.session import stage, stage_path, tune
-from flowcascade.sources import infer_numeric, read_flows
+from flowcascade.sources import infer_numeric, load_models, read_flows, save_models
 from flowcascade.workload.views import (
     IDS,
     SCORES,
@@ -32,6 +33,7 @@ from flowcascade.workload.views import (
     flows,
     labelled_flows,
     scored_flows,
+    split_learnable,
     table,
 )
 
@@ -401,6 +403,62 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(areas, ["auc"])
 
 
+# --- fitting ---------------------------------------------------------------
+@query
+def level_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every node's training and validation table, read from the leaf folders."""
+    found = []
+    for level, tables in level_datasets(*split_learnable(spark, sf_dir)).items():
+        for part, rows in zip(("train", "valid"), tables):
+            found.append(rows.groupBy(
+                F.lit(level).alias("level"), F.lit(part).alias("part"),
+                F.col(f"level{level}").alias("class_code")).agg(
+                F.count(F.lit(1)).alias("rows"), digits(F.sum("pca_component_1"), 3).alias("total")))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+@query
+def bayes_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One node fitted on its true rows; class and probabilities of the held-out ones."""
+    train, valid = split_learnable(spark, sf_dir)
+    model = T.fit_node(train, "3_drdos", GaussianBayes())
+    found = S.predict(valid, {"3_drdos": model}, "3_drdos", with_probs=True, keep=IDS)
+    probs = F.col("probs")
+    return found.select(*IDS, "y_true", "y_pred",
+                        *[digits(probs[i], 6).alias(f"p{i}") for i in range(8)])
+
+
+@query
+def bayes_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes fitted, saved, loaded again and run as a cascade over the held-out rows."""
+    train, valid = split_learnable(spark, sf_dir)
+    fitted = T.fit_bayes(train)
+    path = stage_path(spark, "models")
+    save_models(spark, fitted.models, path)
+    out = S.predict_hierarchical(valid, load_models(spark, path), keep=IDS)
+    return out.drop(*S.component_columns(out))
+
+
+@query
+def bayes_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and accuracy of every fitted node on the held-out rows of its level."""
+    train, valid = split_learnable(spark, sf_dir)
+    scored, columns = S.score_all(valid, T.fit_bayes(train).models)
+    return rounded(E.evaluate_levels(scored, columns), ["loss", "accuracy"], 5)
+
+
+SMOOTHINGS = [0.5, 0.001, 0.01, 1e-9, 1e-6, 0.1]
+
+
+@query
+def bayes_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of choosing the smoothing of every node, measured side by side."""
+    chosen = T.fit_cascade(level_datasets(*split_learnable(spark, sf_dir)),
+                           [GaussianBayes(s) for s in SMOOTHINGS], patience=2)
+    return rounded(T.history_table(spark, chosen.history),
+                   ["train_loss", "val_loss", "train_acc", "val_acc"], 5)
+
+
 # --- whole jobs (no SQL form) ----------------------------------------------
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = flows(spark, sf_dir).select("Protocol", *[quoted(c) for c in STATISTICS], "Label")

@@ -75,6 +75,46 @@ LABELLED_SQL = (
     'select *, ' + ", ".join(_level_sql(n) for n in NODES) + " from flows")
 
 
+# --- learnable rows --------------------------------------------------------
+# Three inputs as components, and a leaf that follows from quantity and discount but for
+# every seventh order.  Every fourth order is for validation.
+COMPONENTS = ["pca_component_1", "pca_component_2", "pca_component_3"]
+
+
+def learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("l_orderkey") % 7 == 0, F.col("l_partkey")).otherwise(F.lit(0))
+    index = (F.floor(F.col("l_quantity") / 8) * 2
+             + F.when(F.col("l_discount") > 0.05, 1).otherwise(0) + moved) % 13
+    leaf = F.element_at(F.array(*[F.lit(x) for x in LEAVES]), (index + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        *IDS,
+        (F.col("l_quantity") / 10).alias(COMPONENTS[0]),
+        (F.col("l_discount") * 20).alias(COMPONENTS[1]),
+        (F.col("l_extendedprice") / 20000).alias(COMPONENTS[2]),
+        leaf.alias("leaf"), (F.col("l_orderkey") % 4 == 0).alias("held_out"))
+    return hierarchical_labels(rows, "leaf")
+
+
+def split_learnable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = learnable(spark, sf_dir)
+    return (rows.filter(~F.col("held_out")).drop("held_out"),
+            rows.filter("held_out").drop("held_out"))
+
+
+LEARNABLE_SQL = f"""
+select l_orderkey, l_partkey, l_suppkey, l_linenumber,
+       (l_quantity / 10)::float::double as x1, (l_discount * 20)::float::double as x2,
+       (l_extendedprice / 20000)::float::double as x3,
+       [{_strings(LEAVES)}][((floor(l_quantity / 8) * 2
+         + case when l_discount > 0.05 then 1 else 0 end
+         + case when l_orderkey % 7 = 0 then l_partkey else 0 end) % 13 + 1)::int] as "Label",
+       l_orderkey % 4 = 0 as held_out
+from lineitem
+"""
+LEARNABLE_PARTS = [("rows", LEARNABLE_SQL), (
+    "labelled", "select *, " + ", ".join(_level_sql(n) for n in NODES) + " from rows")]
+
+
 # --- fixed linear scores ---------------------------------------------------
 # Inputs of the scores, scaled to about one.
 SCORE_INPUTS = [("FlowDuration", 50.0), ("FlowBytes/s", 100000.0), ("FwdIATMean", 0.1)]
