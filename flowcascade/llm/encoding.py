@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import sys
 from collections.abc import Iterator
 from types import ModuleType
@@ -24,16 +25,20 @@ import numpy as np
 CACHED_PIECES = 1_000_000   # pieces kept per worker; others are encoded each time they come
 CACHED_LENGTH = 40          # longer pieces are not kept
 GROUP_CHARS = 1 << 19       # characters of the texts that are cut at one time
-JOINED_PIECES = 4096        # new pieces that are encoded as one text
 
 # Characters that are letters, digits, marks or white space in every version of Unicode.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _MARKS = r"!-/:-@\[-`{-~"
 _PLAIN = re.compile(rf"[\t\n\r {_LETTERS}0-9{_MARKS}]*")
-_VISIBLE = re.compile(rf" ?[{_LETTERS}0-9{_MARKS}]+")
 # Fixed value: how byte-level vocabularies cut, over these characters.
 _PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+"
                     r"|\s+(?!\S)|\s+")
+# Byte-level vocabularies show visible Latin-1 bytes as they are and the
+# others, in their order, from this character on.
+_FIRST_HIDDEN = 256
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_VISIBLE = {b: _FIRST_HIDDEN + i for i, b in enumerate(_HIDDEN)}
+_SPACE = chr(_VISIBLE[ord(" ")])
 _OLD_SPACE = "᠎"       # white space in older versions of Unicode
 
 
@@ -59,14 +64,16 @@ _KEPT = "flowcascade_kept_encoders"
 
 
 def shared_encoder(vocabulary: str) -> "PieceEncoder":
-    """An encoder whose pieces stay known to the worker process from task to task.
+    """An encoder that stays, with its pieces, in the worker process from task to task.
 
     The functions of a task are made anew for each, so what is kept hangs on a module that
     only this process has.
     """
     kept = sys.modules.setdefault(_KEPT, ModuleType(_KEPT)).__dict__
-    encoder = PieceEncoder(vocabulary)
-    encoder.known = kept.setdefault(vocabulary, encoder.known)
+    if vocabulary not in kept:
+        kept[vocabulary] = vars(PieceEncoder(vocabulary))
+    encoder = PieceEncoder.__new__(PieceEncoder)
+    encoder.__dict__ = kept[vocabulary]
     return encoder
 
 
@@ -98,8 +105,6 @@ class PieceEncoder:
         ids = self.tokenizer.get_vocab(with_added_tokens=True).values()
         self.kind = np.dtype("<u2" if max(ids, default=0) < 1 << 16 else "<u4")
         self.by_piece = _cuts_byte_level(plain)
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
         self.cached_pieces = cached_pieces
         self.known: dict[str, bytes] = {}
 
@@ -122,33 +127,36 @@ class PieceEncoder:
         return found
 
     def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """New pieces: visible ones as lines of one text, cut at the id of the line end."""
-        lines = [p for p in pieces if _VISIBLE.fullmatch(p) and p not in self.special
-                 ] if self.line is not None else []
-        found = {}
-        for at in range(0, len(lines), JOINED_PIECES):
-            part = lines[at:at + JOINED_PIECES]
-            ids = np.frombuffer(self._whole(["\n".join(part)])[0], self.kind)
-            ends = np.flatnonzero(ids == self.line) * self.kind.itemsize
-            raw = ids.tobytes()
-            starts = [0, *(ends + self.kind.itemsize).tolist()]
-            found.update((p, raw[a:b]) for p, a, b in
-                         zip(part, starts, [*ends.tolist(), len(raw)], strict=True))
-        rest = [p for p in pieces if p not in found]
+        """New pieces: what the cutting rule made goes straight to the vocabulary's merges."""
+        found, rest = {}, []
+        tokenize, pack, size = self.tokenizer.model.tokenize, struct.pack, self.kind.itemsize
+        letter = "H" if size == 2 else "I"
+        for piece in pieces:
+            if not _PIECE.fullmatch(piece) or piece in self.special:
+                rest.append(piece)
+                continue
+            # byte-level vocabularies write every byte as one visible character
+            visible = (piece.replace(" ", _SPACE) if piece.isascii() and piece.lstrip(" ").isprintable()
+                       else piece.encode().decode("latin-1").translate(_VISIBLE))
+            ids = [t.id for t in tokenize(visible)]
+            found[piece] = pack(f"<{len(ids)}{letter}", *ids)
         found.update(zip(rest, self._whole(rest)))
         return found
 
     def _by_piece(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
-        fresh = set().union(*cut).difference(self.known)
-        if fresh:
-            self.known.update(self._encode_pieces(list(fresh)))
-        ids = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-        full = len(self.known) > self.cached_pieces
-        for piece in fresh:
-            if full or len(piece) > CACHED_LENGTH:
-                del self.known[piece]
-        return ids
+        ids = [list(map(self.known.get, pieces)) for pieces in cut]
+        holes = [[i for i, x in enumerate(found) if x is None] for found in ids]
+        wanted = dict.fromkeys(pieces[i] for pieces, at in zip(cut, holes) for i in at)
+        if wanted:
+            fresh = self._encode_pieces(list(wanted))
+            for pieces, found, at in zip(cut, ids, holes):
+                for i in at:
+                    found[i] = fresh[pieces[i]]
+            room = self.cached_pieces - len(self.known)
+            short = [p for p in fresh if len(p) <= CACHED_LENGTH]
+            self.known.update((p, fresh[p]) for p in short[:max(room, 0)])
+        return [b"".join(found) for found in ids]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of every text, in order; the texts are cut in groups of bounded size."""
