@@ -1,8 +1,9 @@
 """Feature engineering: one-hot, min-max scaling, PCA.
 
-Fitting reads the table a few times with plain aggregates and keeps only small
-state on the driver: category lists, one minimum, maximum and mean per feature,
-and the loadings.  Applying the state is a single row-wise projection.
+Fitting reads the table once for the categories and once for the moments, from which
+ranges, means and the components follow, and keeps only small state on the driver:
+category lists, one minimum, maximum and mean per feature, and the loadings.  Applying
+the state is a single row-wise projection.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, ElementwiseProduct, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowcascade.functions import finite_or_zero, quoted
-from flowcascade.operators.clean import Fences, numeric_columns
+from flowcascade.operators.clean import Accounting, Fences, numeric_columns
+from flowcascade.operators.moments import TableMoments, moment_rows, table_moments
 from flowcascade.schema import (
     CATEGORICAL_FEATURES,
     DEFAULT_COMPONENTS,
@@ -57,6 +59,7 @@ class FeatureState:
     projection: PipelineModel | None = None
     label_map: dict[str, int] = field(default_factory=dict)
     fences: Fences = field(default_factory=dict)
+    accounting: Accounting = field(default_factory=list)
 
     @property
     def output_columns(self) -> list[str]:
@@ -152,23 +155,57 @@ def _largest_positive(loadings: np.ndarray) -> list[float]:
     return [1.0 if loadings[r, j] >= 0 else -1.0 for j, r in enumerate(rows)]
 
 
-def fit_projection(df: DataFrame, order: list[str], ranges: dict[str, Range],
-                   components: int) -> tuple[PipelineModel, list[float]]:
-    """PCA on centred min-max features; component signs are made definite."""
+def ranges_of(moments: TableMoments, order: list[str]) -> dict[str, Range]:
+    """Minimum, maximum and mean per feature, all of them finite."""
+    if not moments.n:
+        raise ValueError("cannot fit on a table without rows" + (
+            " that have all features" if moments.missing else ""))
+    if moments.missing:
+        raise ValueError(f"{moments.missing} rows miss features")
+    ranges = {c: Range(float(a), float(b), float(m)) for c, a, b, m in
+              zip(order, moments.low, moments.high, moments.mean)}
+    infinite = [c for c, r in ranges.items()
+                if not np.isfinite([r.low, r.high, r.mean]).all()]
+    if infinite:
+        raise ValueError(f"features hold infinite values: {infinite}")
+    return ranges
+
+
+def fit_projection(df: DataFrame, order: list[str], ranges: dict[str, Range], components: int,
+                   moments: TableMoments | None = None) -> tuple[PipelineModel, list[float]]:
+    """PCA on centred min-max features; component signs are made definite.
+
+    It needs the features' covariance only.  Spark's PCA gets a few rows that have exactly
+    this covariance; the table is read for ``moments``, once, or not at all if they are known.
+    """
     if components > len(order):
         raise ValueError(f"{components} components asked of {len(order)} features")
-    assembler = VectorAssembler(
-        inputCols=[f"__f{i}" for i in range(len(order))], outputCol=_INPUT)
-    assembled = assembler.transform(_centred(df, order, ranges, [])).select(_INPUT)
-    pca = PCA(k=components, inputCol=_INPUT, outputCol=_RAW).fit(assembled)
+    if moments is None:
+        moments = table_moments(df, order)
+        ranges_of(moments, order)           # refuses what has no covariance
+    divisors = np.array([ranges[c].divisor for c in order])
+    rows = moment_rows(moments.covariance / np.outer(divisors, divisors))
+    few = df.sparkSession.createDataFrame(
+        [(Vectors.dense(r.tolist()),) for r in rows], [_INPUT])
+    pca = PCA(k=components, inputCol=_INPUT, outputCol=_RAW).fit(few)
     signs = _largest_positive(pca.pc.toArray())
     # a missing input must not fail a whole scoring job: it ends up as 0 components
-    assembler = assembler.copy({assembler.handleInvalid: "keep"})
+    assembler = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(order))],
+                                outputCol=_INPUT, handleInvalid="keep")
     flip = ElementwiseProduct(
         scalingVec=Vectors.dense(signs), inputCol=_RAW, outputCol=_OUT)
     return PipelineModel([assembler, pca, flip]), [float(v) for v in pca.explainedVariance]
 
 
+def loadings(state: FeatureState, spark: SparkSession) -> DataFrame:
+    """``(component, feature, loading)`` of every kept component and feature."""
+    _, pca, flip = state.projection.stages
+    matrix = pca.pc.toArray() * np.array(flip.getScalingVec().toArray())
+    rows = [(j + 1, c, float(matrix[i, j])) for i, c in enumerate(state.order)
+            for j in range(state.components)]
+    return spark.createDataFrame(rows, "component int, feature string, loading double")
+
+
 def explained_variance(state: FeatureState, df: DataFrame) -> DataFrame:
     """``(component, ratio, cumulative)``; one row per kept component."""
     total = 0.0
@@ -193,12 +230,11 @@ def fit_features(df: DataFrame, components: int = DEFAULT_COMPONENTS,
         if c in df.columns and not already_encoded(df.columns, c)}
     encoded = encode_categories(df, categories)
     order = numeric_columns(encoded, [resolve_label(df.columns), *ignore])
-    ranges = fit_ranges(encoded, order)
-    infinite = [c for c, r in ranges.items()
-                if not np.isfinite([r.low, r.high, r.mean]).all()]
-    if infinite:
-        raise ValueError(f"features hold infinite values: {infinite}")
-    projection, explained = fit_projection(encoded, order, ranges, components)
+    if components > len(order):
+        raise ValueError(f"{components} components asked of {len(order)} features")
+    moments = table_moments(encoded, order)
+    ranges = ranges_of(moments, order)
+    projection, explained = fit_projection(encoded, order, ranges, components, moments)
     return FeatureState(categories, order, ranges, components, explained, projection)
 
 
