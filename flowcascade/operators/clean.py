@@ -17,8 +17,10 @@ from flowcascade.functions import (
     quoted,
     to_double,
 )
-from flowcascade.operators.quantiles import approx_quantiles, exact_quantiles
+from flowcascade.operators.quantiles import approx_quantiles
+from flowcascade.operators.radix import radix_quantiles
 from flowcascade.schema import resolve_label
+from flowcascade.session import stage
 
 FENCE_MULTIPLIER = 3.0
 
@@ -81,13 +83,45 @@ def dedup(df: DataFrame) -> DataFrame:
     return unify_missing(df).dropDuplicates()
 
 
-def drop_missing(df: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
-    """Keep rows without null or NaN in any column but ``ignore``.  Infinities stay."""
+def _complete(df: DataFrame, ignore: Iterable[str] = ()) -> Column:
     skip, complete = set(ignore), F.lit(True)
     for f in df.schema:
         if f.name not in skip:
             complete = complete & ~is_missing(quoted(f.name), is_floating(f.dataType))
-    return df.filter(complete)
+    return complete
+
+
+def drop_missing(df: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
+    """Keep rows without null or NaN in any column but ``ignore``.  Infinities stay."""
+    return df.filter(_complete(df, ignore))
+
+
+COPIES, COMPLETE = "__copies", "__complete"
+Accounting = list[tuple[str, int, int]]
+
+
+def stage_counted(df: DataFrame, name: str, ignore: Iterable[str] = (),
+                  spark: SparkSession | None = None) -> tuple[DataFrame, Accounting]:
+    """De-duplicate, null-drop and stage a table, with the row counts of both steps.
+
+    The de-duplicating aggregate also counts copies, and the table it writes keeps that
+    count and the incomplete rows, so the counts are read off two of its columns; the input
+    is not read again and a task that runs twice counts once.
+    """
+    data = unify_missing(df)
+    counted = data.groupBy(*[quoted(c) for c in data.columns]).agg(
+        F.count(F.lit(1)).alias(COPIES))
+    table = stage(counted.withColumn(COMPLETE, _complete(data, ignore)), name, spark)
+    row = table.agg(F.coalesce(F.sum(COPIES), F.lit(0)).alias("read"),
+                    F.count(F.lit(1)).alias("kept"),
+                    F.count_if(COMPLETE).alias("complete")).first()
+    steps = [("input", row["read"], 0), ("dedup", row["kept"], row["read"] - row["kept"]),
+             ("drop_missing", row["complete"], row["kept"] - row["complete"])]
+    return table.filter(COMPLETE).drop(COPIES, COMPLETE), steps
+
+
+def accounting_table(spark: SparkSession, steps: Accounting) -> DataFrame:
+    return spark.createDataFrame(list(map(tuple, steps)), "step string, rows long, removed long")
 
 
 def clean_report(df: DataFrame) -> DataFrame:
@@ -145,13 +179,14 @@ def iqr_fences(df: DataFrame, cols: list[str] | None = None, k: float = FENCE_MU
                approx: bool = False, exclude: Iterable[str] = ()) -> Fences:
     """``[q1 - k*iqr, q3 + k*iqr]`` per numeric column.
 
-    Exact by default; ``approx=True`` reads the data once with quantile
-    sketches.  A column without values has no fence.
+    Exact by default, in four passes that each count a digit of all columns;
+    ``approx=True`` reads the data once with quantile sketches.  A column without
+    values has no fence.
     """
     if cols is None:
         cols = numeric_columns(df, [resolve_label(df.columns)])
     cols = [c for c in cols if c not in set(exclude)]
-    quantiles = (approx_quantiles if approx else exact_quantiles)(df, cols, [0.25, 0.75])
+    quantiles = (approx_quantiles if approx else radix_quantiles)(df, cols, [0.25, 0.75])
     return {c: Fence.around(q1, q3, k) for c, (q1, q3) in quantiles.items() if q1 is not None}
 
 
@@ -199,8 +234,6 @@ def clean(df: DataFrame, fences: Fences | None = None, k: float = FENCE_MULTIPLI
     they are measured on this table, which reads it several times; ``staged``
     keeps the de-duplication shuffle from being repeated by those passes.
     """
-    from flowcascade.session import stage
-
     kept = drop_missing(dedup(df))
     if fences is None:
         if staged:

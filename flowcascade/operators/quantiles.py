@@ -1,4 +1,7 @@
-"""Exact quantiles of many columns with bounded state.
+"""Exact quantiles of a few columns by narrowing intervals, and sketches.
+
+``radix`` is what the cleaning steps use; this way has fewer passes over huge tables when
+intervals from a sample already hold few enough rows.
 
 A quantile is an interpolation between two order statistics.  Each one is
 pinned down by narrowing an interval around it:

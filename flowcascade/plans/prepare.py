@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from flowcascade.functions import quoted
 from flowcascade.operators.clean import (
     FENCE_MULTIPLIER,
+    Accounting,
     clip_to,
     dedup,
     drop_missing,
     iqr_fences,
+    stage_counted,
 )
 from flowcascade.operators.features import FeatureState, apply_features, fit_features
 from flowcascade.operators.labels import (
@@ -35,7 +37,7 @@ def prepare(spark: SparkSession, source: str | DataFrame, state: FeatureState |
             fences: str = "stored", k: float = FENCE_MULTIPLIER, approx: bool = False,
             exclude: Iterable[str] = (), label_map: dict[str, int] | None = None,
             keep: Iterable[str] = (),
-            transform: Callable[[Column], Column] | None = None,
+            transform: Callable[[Column], Column] | None = None, accounting: bool = False,
             ) -> tuple[DataFrame, FeatureState]:
     """Load, clean, build features, attach labels.
 
@@ -43,14 +45,19 @@ def prepare(spark: SparkSession, source: str | DataFrame, state: FeatureState |
     applied.  ``fences="stored"`` limits outliers with the training fences,
     ``"refit"`` measures them on this input.  Columns in ``keep`` are carried
     along untouched: they take no part in features or the test for missing values, but in
-    de-duplication.  Of a CSV they stay text.
+    de-duplication.  Of a CSV they stay text.  With ``accounting`` a state that is fitted
+    here also says how many rows each cleaning step read and removed.
 
     Output: ``keep``, ``pca_component_*``, ``leaf``, ``label_code`` and, if
     ``hierarchical``, ``level1`` .. ``level5``.
     """
     keep = list(keep)
+    counts: Accounting | None = [] if accounting and state is None else None
     if isinstance(source, str):
-        table = stage_clean_flows(spark, source, keep=keep)
+        table = stage_clean_flows(spark, source, keep=keep, accounting=counts)
+        fresh = True
+    elif counts is not None:
+        table, counts[:] = stage_counted(source, "clean", keep)
         fresh = True
     else:
         table, fresh = drop_missing(dedup(source), ignore=keep), False
@@ -67,6 +74,7 @@ def prepare(spark: SparkSession, source: str | DataFrame, state: FeatureState |
     if fitting:
         state = fit_features(table, components, ignore=keep)
         state.fences = limits
+        state.accounting = counts or []
         numeric_label = label_is_numeric(table, label)
         state.label_map = label_map or (
             {} if numeric_label else fit_label_map(table, label))

@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowcascade.functions import looks_numeric, quoted
-from flowcascade.operators.clean import coerce_numeric, dedup, drop_missing
+from flowcascade.operators.clean import (
+    Accounting,
+    coerce_numeric,
+    dedup,
+    drop_missing,
+    stage_counted,
+)
 from flowcascade.schema import (
     BASE_FEATURES,
     TEXT_FEATURES,
@@ -82,7 +88,7 @@ def _wanted(names: list[str], features: list[str], keep: Iterable[str]) -> list[
 
 def read_flow_text(spark: SparkSession, path: str, features: list[str] = BASE_FEATURES,
                    keep: Iterable[str] = (), on_error: str = "raise",
-                   **options: str) -> DataFrame:
+                   multi_line: bool = False, **options: str) -> DataFrame:
     """Scan only the wanted columns of a flow CSV, all as text.
 
     ``path`` is a file or a folder of files with the same header.  Lines that
@@ -90,7 +96,12 @@ def read_flow_text(spark: SparkSession, path: str, features: list[str] = BASE_FE
     spaces, columns keep file order, missing-value texts become null.  With
     ``on_error="empty"`` an unreadable input gives an empty table without
     columns instead of an error.
+    
+    With ``multi_line`` quoted fields may hold line breaks; a file is then read by one task,
+    so give it many files.
     """
+    if multi_line:
+        options["multiLine"] = "true"
     try:
         header = read_header(spark, path, **options)
     except PySparkException:
@@ -134,7 +145,8 @@ def infer_numeric(df: DataFrame, cols: list[str] | None = None) -> list[str]:
 
 def read_flows(spark: SparkSession, path: str, features: list[str] = BASE_FEATURES,
                keep: Iterable[str] = (), numeric: list[str] | None = None,
-               on_error: str = "raise", **options: str) -> DataFrame:
+               on_error: str = "raise", multi_line: bool = False,
+               **options: str) -> DataFrame:
     """Typed flow table.
 
     Columns whose values are all numbers become double.  Finding them costs one
@@ -142,7 +154,7 @@ def read_flows(spark: SparkSession, path: str, features: list[str] = BASE_FEATUR
     features nor the label stay text, so ids keep all their digits.
     """
     keep = list(keep)
-    text = read_flow_text(spark, path, features, keep, on_error, **options)
+    text = read_flow_text(spark, path, features, keep, on_error, multi_line, **options)
     if numeric is None:
         carried = _carried(text, features, keep)
         numeric = infer_numeric(text, [c for c in text.columns if c not in carried])
@@ -155,29 +167,35 @@ def _carried(text: DataFrame, features: list[str], keep: Iterable[str]) -> set[s
 
 
 def _stage_typed(text: DataFrame, numeric: list[str], carried: set[str],
-                 spark: SparkSession) -> DataFrame:
-    typed = dedup(coerce_numeric(text, numeric))
-    return stage(drop_missing(typed, ignore=carried), "flows", spark)
+                 spark: SparkSession, accounting: Accounting | None) -> DataFrame:
+    typed = coerce_numeric(text, numeric)
+    if accounting is None:
+        return stage(drop_missing(dedup(typed), ignore=carried), "flows", spark)
+    table, accounting[:] = stage_counted(typed, "flows", carried, spark)
+    return table
 
 
 def stage_clean_flows(spark: SparkSession, path: str, features: list[str] = BASE_FEATURES,
                       numeric: list[str] | None = None, keep: Iterable[str] = (),
+                      accounting: Accounting | None = None, multi_line: bool = False,
                       **options: str) -> DataFrame:
     """Scan, type, de-duplicate and null-drop a flow CSV into a staged table.
 
     The text is read once: every feature is taken to be numeric and the job that
     writes the table counts the values that are not.  Only if that guess was
     wrong for some column is the job repeated with the types it found.  Columns in
-    ``keep`` that are neither features nor the label stay text and may be missing.
+    ``keep`` that are neither features nor the label stay text and may be missing.  A list
+    given as ``accounting`` is filled with the row counts of both cleaning steps.
     """
     keep = list(keep)
     if numeric is not None:
-        text = read_flow_text(spark, path, features, keep, **options)
+        text = read_flow_text(spark, path, features, keep, multi_line=multi_line, **options)
         return _stage_typed(text, [c for c in text.columns if c in set(numeric)],
-                            _carried(text, features, keep), spark)
+                            _carried(text, features, keep), spark, accounting)
     # a session that has observed metrics can no longer be shipped inside fitted
     # models, so the observing is done in a session of its own
-    text = read_flow_text(side_session(spark), path, features, keep, **options)
+    text = read_flow_text(side_session(spark), path, features, keep, multi_line=multi_line,
+                          **options)
     carried = _carried(text, features, keep)
     label = resolve_label(text.columns)
     typed = [c for c in text.columns if c not in carried]
@@ -185,7 +203,7 @@ def stage_clean_flows(spark: SparkSession, path: str, features: list[str] = BASE
     seen = Observation()
     watched = text.observe(seen, F.count(F.lit(1)).alias("rows"),
                            *_non_numeric_counts(text, typed))
-    table = _stage_typed(watched, guess, carried, spark)
+    table = _stage_typed(watched, guess, carried, spark, accounting)
     if table.isEmpty():
         # without output rows Spark may drop the counted stage, and its counts with it
         found = infer_numeric(text, typed)
@@ -197,4 +215,4 @@ def stage_clean_flows(spark: SparkSession, path: str, features: list[str] = BASE
     if found == guess:
         return table
     discard_stage(table)
-    return _stage_typed(text, found, carried, spark)
+    return _stage_typed(text, found, carried, spark, accounting)

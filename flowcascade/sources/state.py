@@ -14,7 +14,7 @@ from flowcascade.operators.features import FeatureState, Range
 from flowcascade.schema import NODES
 from flowcascade.sources.store import open_version, read_json, save_version, write_json
 
-_PLAIN = ("categories", "order", "components", "explained", "label_map")
+_PLAIN = ("categories", "order", "components", "explained", "label_map", "accounting")
 
 
 def save_state(spark: SparkSession, state: FeatureState, path: str) -> None:
