@@ -6,6 +6,7 @@ works on those few counts.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from flowcascade.functions import argmax, logsumexp, quoted
 from flowcascade.operators.labels import lookup
 from flowcascade.schema import LEAVES, NODES, UNRESOLVED, Node
+from flowcascade.session import stage
 
 ROW_NORMALISER = 1e-10      # keeps an empty row of the matrix from dividing by zero
 
@@ -105,7 +107,11 @@ def classification_report(df: DataFrame, y_true: str, y_pred: str,
     wrong.  The accuracy row repeats its value in all four columns.  An empty
     input gives an empty report.
     """
-    pairs = confusion(df, y_true, y_pred)
+    return report_of_counts(confusion(df, y_true, y_pred), names)
+
+
+def report_of_counts(pairs: DataFrame, names: list[str]) -> DataFrame:
+    """The same report from the counts ``(y_true, y_pred, n)``."""
     n, same = F.col("n"), F.col("y_true") == F.col("y_pred")
     zero = F.lit(0).cast("long")
     aggs = [F.coalesce(F.sum(n), zero).alias("rows"),
@@ -215,6 +221,21 @@ def level_report(df: DataFrame, scores: dict[str, str], node: Node) -> DataFrame
     return classification_report(pairs, "y_true", "y_pred", list(node.classes))
 
 
+def level_reports(df: DataFrame, scores: dict[str, str]) -> DataFrame:
+    """Reports of all scored nodes, with ``level`` and ``node``, from one pass over the rows."""
+    counts = stage(
+        level_pairs(df, scores).groupBy("level", "y_true", "y_pred").agg(
+            F.count(F.lit(1)).alias("n")), "report-counts")
+    found = []
+    for node in NODES:
+        if node.name in scores:
+            report = report_of_counts(
+                counts.filter(F.col("level") == node.level), list(node.classes))
+            found.append(report.select(F.lit(node.level).alias("level"),
+                                       F.lit(node.name).alias("node"), *report.columns))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def leaf_index(leaf: Column) -> Column:
     """Leaf name to its index; -1 for a name that is no leaf."""
     index = {name: i for i, name in enumerate(LEAVES)}

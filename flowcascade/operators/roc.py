@@ -8,12 +8,15 @@ starts from the total of the ranges above it.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowcascade.functions import quoted
 from flowcascade.operators.labels import lookup
+from flowcascade.schema import NODES
 from flowcascade.session import stage
 
 
@@ -39,6 +42,76 @@ def class_scores(df: DataFrame, y_true: str, scores: str, names: list[str]) -> D
     )
 
 
+NODE_CLASSES = [(n, code) for n in NODES for code in range(n.width)]
+
+
+def all_class_scores(df: DataFrame, probs: Mapping[str, str]) -> DataFrame:
+    """The same for every class of every node of ``probs``, from one pass over the rows.
+
+    ``probs`` names a score array per node.  A class code is the place in ``NODE_CLASSES``; a
+    row counts at the nodes its true label belongs to.
+    """
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("class_code"),
+                 F.when(F.col(n.label_column) >= 0, quoted(probs[n.name])[code].cast("double"))
+                 .alias("score"), (F.col(n.label_column) == code).alias("hit"))
+        for i, (n, code) in enumerate(NODE_CLASSES) if n.name in probs])
+    return (df.select(F.inline(entries)).filter(F.col("score").isNotNull())
+            .groupBy("class_code", "score")
+            .agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg")))
+
+
+def _with_node(df: DataFrame) -> DataFrame:
+    """``level``, ``node`` and the node's own class code and name for a place in the list."""
+    def of(values) -> Column:
+        return lookup(F.col("class_code"), dict(enumerate(values)))
+    named = df.withColumns({
+        "level": of(n.level for n, _ in NODE_CLASSES),
+        "node": of(n.name for n, _ in NODE_CLASSES),
+        "class": of(n.classes[code] for n, code in NODE_CLASSES),
+        "__code": of(code for _, code in NODE_CLASSES)})
+    rest = [c for c in df.columns if c not in ("class_code", "class")]
+    return named.select("level", "node", F.col("__code").alias("class_code"), "class", *rest)
+
+
+def auc_all(df: DataFrame, probs: Mapping[str, str], ranges: int | None = None) -> DataFrame:
+    """Exact areas of all classes of all nodes, by one curve table."""
+    return _with_node(_areas(_curve(all_class_scores(df, probs), ranges)))
+
+
+HISTOGRAM_BINS = 1024
+
+
+def auc_bounds(df: DataFrame, probs: Mapping[str, str], bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """Areas of all classes of all nodes between bounds, from histograms of the scores.
+
+    One pass with at most ``bins`` counts per class, which are joined map-side whatever the
+    number of rows.  Scores are between 0 and 1.  Pairs of a positive and a negative row in
+    one bin may be ordered either way, so they make the difference between the bounds.
+    """
+    def bin_of(score: Column) -> Column:
+        return F.least(F.floor(score * bins), F.lit(bins - 1)).cast("int")
+
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("class_code"),
+                 F.when(F.col(n.label_column) >= 0, bin_of(quoted(probs[n.name])[code]))
+                 .alias("bin"), (F.col(n.label_column) == code).alias("hit"))
+        for i, (n, code) in enumerate(NODE_CLASSES) if n.name in probs])
+    counts = (df.select(F.inline(entries)).filter(F.col("bin").isNotNull())
+              .groupBy("class_code", "bin")
+              .agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg")))
+    lower_bins = Window.partitionBy("class_code").orderBy("bin").rowsBetween(
+        Window.unboundedPreceding, -1)
+    pairs = counts.withColumn("under", F.coalesce(F.sum("neg").over(lower_bins), F.lit(0)))
+    total = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    certain = F.sum(F.col("pos").cast("double") * F.col("under"))
+    unsure = F.sum(F.col("pos").cast("double") * F.col("neg"))
+    return _with_node(pairs.groupBy("class_code").agg(
+        F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
+        F.try_divide(certain, total).alias("auc_low"),
+        F.try_divide(certain + unsure, total).alias("auc_high")))
+
+
 def _in_ranges(per_score: DataFrame, ranges: int | None) -> DataFrame:
     """Add ``part``: score ranges in order of class and falling score.
 
@@ -52,10 +125,9 @@ def _in_ranges(per_score: DataFrame, ranges: int | None) -> DataFrame:
     return stage(ordered.withColumn("part", F.spark_partition_id()), "roc")
 
 
-def _curve(df: DataFrame, y_true: str, scores: str, names: list[str],
-           ranges: int | None) -> DataFrame:
+def _curve(per_score: DataFrame, ranges: int | None) -> DataFrame:
     """Per distinct score: counts here and next below, running counts, class totals."""
-    split = _in_ranges(class_scores(df, y_true, scores, names), ranges)
+    split = _in_ranges(per_score, ranges)
     # one row per class and range
     totals = split.groupBy("class_code", "part").agg(
         F.sum("pos").alias("part_pos"), F.sum("neg").alias("part_neg"),
@@ -96,7 +168,7 @@ def roc_points(df: DataFrame, y_true: str, scores: str, names: list[str],
     one, so it lies on a straight stretch; the first and the last score always
     stay.  A rate without positives (or negatives) is null.
     """
-    curve = _curve(df, y_true, scores, names, ranges)
+    curve = _curve(class_scores(df, y_true, scores, names), ranges)
     is_first = F.col("tp") + F.col("fp") == F.col("pos") + F.col("neg")
     if drop_intermediate:
         same = (F.col("next.pos") == F.col("pos")) & (F.col("next.neg") == F.col("neg"))
@@ -119,13 +191,17 @@ def auc(df: DataFrame, y_true: str, scores: str, names: list[str],
     A class without positives or without negatives has no area (null).
     """
     name = lookup(F.col("class_code"), dict(enumerate(names)))
+    found = _areas(_curve(class_scores(df, y_true, scores, names), ranges))
+    return found.select("class_code", name.alias("class"), "positives", "negatives", "auc")
+
+
+def _areas(curve: DataFrame) -> DataFrame:
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / F.lit(2.0)))
     return (
-        _curve(df, y_true, scores, names, ranges)
-        .groupBy("class_code", name.alias("class"))
+        curve.groupBy("class_code")
         .agg(F.max("positives").alias("positives"), F.max("negatives").alias("negatives"),
              area.alias("__area"))
-        .select("class_code", "class", "positives", "negatives",
+        .select("class_code", "positives", "negatives",
                 F.try_divide(F.col("__area"),
                              F.col("positives").cast("double") * F.col("negatives").cast("double"))
                 .alias("auc"))

@@ -20,17 +20,21 @@ from flowcascade.operators.bayes import (
     level_moments,
 )
 from flowcascade.operators.evaluate import cross_entropy
+from flowcascade.operators.sample import WEIGHT, priority_sample
 from flowcascade.plans.prepare import level_datasets
 from flowcascade.plans.scoring import (
     FEATURES,
+    component_columns,
     component_values,
     score_side_by_side,
     with_feature_vector,
 )
 from flowcascade.schema import NODE_BY_LEVEL, Node, node_of
+from flowcascade.session import discard_stage, stage
 
 log = logging.getLogger(__name__)
 
+TARGET = "__target"
 DEFAULT_PENALTY = 0.001
 DEFAULT_PATIENCE = 5
 
@@ -87,12 +91,36 @@ def _estimator(candidate: Candidate | None) -> Estimator:
     return candidate
 
 
-def fit_candidates(train: DataFrame, level: int | str,
-                   candidates: Sequence[Candidate | None]) -> list[Fitted]:
+def _fit_rows(rows: DataFrame, node: Node, max_fit_rows: int | None) -> DataFrame:
+    """Feature vector and target of the rows to fit on: all, or a weighted sample."""
+    weight = []
+    if max_fit_rows is not None:
+        columns = [*component_columns(rows), node.label_column]
+        rows = stage(priority_sample(rows.select(*columns), node.label_column, max_fit_rows),
+                     "fit-sample")
+        weight = [WEIGHT]
+    return with_feature_vector(rows).select(
+        FEATURES, F.col(node.label_column).cast("double").alias(TARGET), *weight)
+
+
+def _set_up(candidate: Candidate | None, weighted: bool) -> Estimator:
+    estimator = _estimator(candidate).copy()
+    estimator.setFeaturesCol(FEATURES).setLabelCol(TARGET)
+    if weighted:
+        if not estimator.hasParam("weightCol"):
+            raise ValueError(f"{type(estimator).__name__} takes no weights, "
+                             "so it cannot be fitted on a sample")
+        estimator.set(estimator.weightCol, WEIGHT)
+    return estimator
+
+
+def fit_candidates(train: DataFrame, level: int | str, candidates: Sequence[Candidate | None],
+                   max_fit_rows: int | None = None) -> list[Fitted]:
     """Fit candidates of one node on the rows whose *true* label belongs to it.
 
     All naive Bayes candidates come from one scan of their moments; the others are fitted
-    one by one.
+    one by one.  With ``max_fit_rows`` those others see a weighted sample of at most so many
+    rows of each class, the same for any partitioning; by default they see all rows.
     """
     node = node_of(level)
     rows = train.filter(F.col(node.label_column) >= 0)
@@ -103,18 +131,19 @@ def fit_candidates(train: DataFrame, level: int | str,
                 classes = class_moments(level_moments(rows, component_values(rows)), node)
             models.append(candidate.fit(classes, node.width))
             continue
+        estimator = _set_up(candidate, max_fit_rows is not None)
         if ready is None:
-            ready = with_feature_vector(rows).select(
-                FEATURES, F.col(node.label_column).cast("double").alias("__target"))
-        estimator = _estimator(candidate).copy()
-        estimator.setFeaturesCol(FEATURES).setLabelCol("__target")
+            ready = _fit_rows(rows, node, max_fit_rows)
         models.append(estimator.fit(ready))
+    if ready is not None and max_fit_rows is not None:
+        discard_stage(ready)
     return models
 
 
-def fit_node(train: DataFrame, level: int | str, candidate: Candidate | None = None) -> Fitted:
+def fit_node(train: DataFrame, level: int | str, candidate: Candidate | None = None,
+             max_fit_rows: int | None = None) -> Fitted:
     """Fit one node on the rows whose *true* label belongs to it."""
-    return fit_candidates(train, level, [candidate])[0]
+    return fit_candidates(train, level, [candidate], max_fit_rows)[0]
 
 
 Quality = tuple[int, float | None, float | None]
@@ -149,7 +178,8 @@ def node_quality(df: DataFrame, model: Fitted, node: Node) -> Quality:
 
 def select_model(train: DataFrame, valid: DataFrame, level: int | str,
                  candidates: Sequence[Candidate] = DEFAULT_CANDIDATES,
-                 patience: int = DEFAULT_PATIENCE) -> Selection:
+                 patience: int = DEFAULT_PATIENCE,
+                 max_fit_rows: int | None = None) -> Selection:
     """Keep the candidate with the strictly lowest validation loss.
 
     Candidates count in order, one per round; trying stops after ``patience`` rounds in a
@@ -163,7 +193,7 @@ def select_model(train: DataFrame, valid: DataFrame, level: int | str,
     stale, number = 0, 0
     while number < len(candidates) and (stale < patience or not number):
         certain = candidates[number:number + max(patience - stale, 1)]
-        models = fit_candidates(train, node.level, certain)
+        models = fit_candidates(train, node.level, certain, max_fit_rows)
         measured = zip(models, node_qualities(train, models, node),
                        node_qualities(valid, models, node))
         for model, (_, train_loss, train_acc), (val_rows, val_loss, val_acc) in measured:
@@ -181,7 +211,8 @@ def select_model(train: DataFrame, valid: DataFrame, level: int | str,
 
 def fit_cascade(datasets: Mapping[int, tuple[DataFrame, DataFrame]],
                 candidates: Sequence[Candidate] = DEFAULT_CANDIDATES,
-                patience: int = DEFAULT_PATIENCE) -> Cascade:
+                patience: int = DEFAULT_PATIENCE,
+                max_fit_rows: int | None = None) -> Cascade:
     """Fit every node that has data, in level order; the others are skipped."""
     fitted = Cascade()
     for level, node in sorted(NODE_BY_LEVEL.items()):
@@ -189,7 +220,7 @@ def fit_cascade(datasets: Mapping[int, tuple[DataFrame, DataFrame]],
             log.warning("node %s has no data and is skipped", node.name)
             fitted.skipped.append(node.name)
             continue
-        chosen = select_model(*datasets[level], level, candidates, patience)
+        chosen = select_model(*datasets[level], level, candidates, patience, max_fit_rows)
         fitted.history += chosen.history
         if chosen.model is None:
             log.warning("node %s got no model", node.name)

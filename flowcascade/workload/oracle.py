@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from flowcascade.schema import LEAVES, NODES, Node, leaf_paths, node_of
-from flowcascade.workload.views import LEARNABLE_PARTS, with_views
+from flowcascade.workload.views import LEARNABLE_PARTS, WIDE, WIDE_SQL, with_views
 
 IDS = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
 STATISTICS = ["FlowDuration", "FlowBytes/s", "FwdIATMean", "FwdIATStd"]
@@ -457,3 +457,206 @@ from predicted"""),
         f"from ({_measured(n)}) where held_out" for n in NODES])),
     "bayes_selection": _selection(),
 }
+
+
+# --- principal components --------------------------------------------------
+def pair_parts(source: str, fit: str = "true") -> list[tuple[str, str]]:
+    """Two scaled features ``x`` and ``y``, and the closed form of their components.
+
+    ``source`` gives columns ``a`` and ``b``; components are fitted on its rows ``fit``.
+    """
+    return [
+        ("source", source),
+        ("extent", "select " + ", ".join(
+            f"min({c}) as lo_{c}, coalesce(nullif(max({c}) - min({c}), 0), 1) as d_{c}, "
+            f"avg({c}) as m_{c}" for c in "ab") + f" from source where {fit}"),
+        ("scaled", "select s.*, (a - m_a) / d_a as x, (b - m_b) / d_b as y from source s, extent"),
+        ("cov", "select var_samp(x) as p, covar_samp(x, y) as q, var_samp(y) as r "
+                f"from scaled where {fit}"),
+        ("roots", "select *, (p + r + sqrt((p - r) * (p - r) + 4 * q * q)) / 2 as e1, "
+                  "(p + r - sqrt((p - r) * (p - r) + 4 * q * q)) / 2 as e2 from cov"),
+        ("raw", "select *, q / sqrt(q * q + (e1 - p) * (e1 - p)) as u, "
+                "(e1 - p) / sqrt(q * q + (e1 - p) * (e1 - p)) as v from roots"),
+        # the largest absolute loading of a component is positive
+        ("turned", "select *, case when (abs(u) >= abs(v) and u < 0) or (abs(u) < abs(v) and v < 0) "
+                   "then -1 else 1 end as s1, case when (abs(v) >= abs(u) and -v < 0) or "
+                   "(abs(v) < abs(u) and u < 0) then -1 else 1 end as s2 from raw"),
+        ("axes", "select *, s1 * u as u1, s1 * v as v1, s2 * -v as u2, s2 * u as v2 from turned"),
+    ]
+
+
+def pair_query(source: str, body: str, fit: str = "true",
+               before: list[tuple[str, str]] = ()) -> str:
+    parts = ", ".join(f"{n} as ({sql})" for n, sql in [*before, *pair_parts(source, fit)])
+    return with_views("flows", body, parts)
+
+
+def spectrum_query(values: list[str], source: str) -> str:
+    """Trace and squared entries of the covariance of min-max scaled columns."""
+    n = range(len(values))
+    extent = ", ".join(f"min({v}) as lo{i}, coalesce(nullif(max({v}) - min({v}), 0), 1) as d{i}"
+                       for i, v in zip(n, values))
+    scaled = ", ".join(f"({v} - lo{i}) / d{i} as x{i}" for i, v in zip(n, values))
+    trace = f"list_sum([{', '.join(f'var_samp(x{i})' for i in n)}])"
+    entries = ", ".join(f"{1 if i == j else 2} * power(covar_samp(x{i}, x{j}), 2)"
+                        for i in n for j in n if j >= i)
+    squares = f"list_sum([{entries}])"
+    return (f"select round({trace}, 6) as variance, round({squares}, 6) as squares, "
+            f"{len(values)} as components from (select {scaled} from {source}, "
+            f"(select {extent} from {source}))")
+
+
+_complete = 'from flows where "FwdIATStd" is not null'
+_pair = f'select {IDS}, "Label", "FlowDuration"::double as a, "FlowBytes/s"::double as b {_complete}'
+_both = 'round(x * u1 + y * v1, 6) as pca_component_1, round(x * u2 + y * v2, 6) as pca_component_2'
+_leaf_levels = ", ".join(
+    "case " + " ".join(f"when \"Label\" = '{leaf}' then {code}"
+                       for leaf, path in leaf_paths().items() for m, code in path if m == n)
+    + f" else -1 end as {n.label_column}" for n in NODES)
+
+ORACLE |= {
+    "flow_pca_loadings": pair_query(_pair, "select component, feature, round(loading, 6) as loading, "
+        "round(ratio, 6) as ratio, round(cumulative, 6) as cumulative from (" + union([
+            f"select {k} as component, '{f}' as feature, {w}{k} as loading, "
+            f"e{k} / (e1 + e2) as ratio, {'1.0' if k == 2 else 'e1 / (e1 + e2)'} as cumulative from axes"
+            for k in (1, 2) for f, w in (("FlowDuration", "u"), ("FlowBytes/s", "v"))]) + ")"),
+    "flow_pca_first": pair_query(
+        _pair, f"select {IDS}, round(x * u1 + y * v1, 6) as pca_component_1 from scaled, axes"),
+    "flow_pca_spectrum": with_views("flows", spectrum_query(
+        [q(c) for c in STATISTICS] + [f'("Protocol" = {p})::int' for p in (0, 6, 17)],
+        f"(select * {_complete})")),
+    "embedding_pca_spectrum": spectrum_query(
+        [f"embedding[{i + 1}]::double" for i in range(64)], "embeddings"),
+    "feature_state_round_trip": pair_query(
+        _pair, f'select {IDS}, "Label", {_both} from scaled, axes where l_orderkey % 4 = 0',
+        "l_orderkey % 4 <> 0"),
+    "flow_prepare_pair": pair_query(
+        'select "Label", least(greatest(o, o1 - 3 * (o3 - o1)), o3 + 3 * (o3 - o1)) as a, '
+        "least(greatest(t, t1 - 3 * (t3 - t1)), t3 + 3 * (t3 - t1)) as b from kept, limits",
+        f"""
+select {_both}, "Label" as leaf, label_code, {_leaf_levels}
+from scaled join codes using ("Label"), axes""",
+        before=[
+            ("kept", 'select distinct "FlowDuration"::double as o, "FlowBytes/s"::double as t, '
+                     '"Label" from flows'),
+            ("limits", "select " + ", ".join(
+                f"quantile_cont({c}, {p}) as {c}{i}" for c in "ot" for i, p in ((1, 0.25), (3, 0.75)))
+             + " from kept"),
+            ("codes", 'select "Label", (row_number() over (order by "Label") - 1)::int as label_code '
+                      'from (select distinct "Label" from kept)')]),
+}
+
+_wide_limits = ", ".join(f"quantile_cont({c}, {p}) as {c}_{i}"
+                         for c in WIDE for i, p in ((1, 0.25), (3, 0.75)))
+ORACLE["wide_iqr_fences"] = f"with w as ({WIDE_SQL}), z as (select {_wide_limits} from w)\n" + union([
+    f"select '{c}' as feature, round({c}_1, 6) as q1, round({c}_3, 6) as q3, "
+    f"round({c}_1 - 3 * ({c}_3 - {c}_1), 6) as lower, "
+    f"round({c}_3 + 3 * ({c}_3 - {c}_1), 6) as upper from z" for c in WIDE])
+
+
+# --- all nodes, samples ----------------------------------------------------
+_every_score = union([
+    f"select {n.level} as level, '{n.name}' as node, {code} as class_code, '{cls}' as class, "
+    f"{n.label_column} = {code} as hit, "
+    f"round(e_{n.name}[{code + 1}] / list_sum(e_{n.name}), 6) as score "
+    f"from own where {n.label_column} >= 0" for n in NODES for code, cls in enumerate(n.classes)])
+_totals = """totals as (
+    select level, node, class_code, class, count(*) filter (hit) as positives,
+           count(*) filter (not hit) as negatives from every group by all)"""
+_exact = """exact as (
+    select level, class_code,
+           sum(case when hit then mid end) as ranks, count(*) filter (hit) as p,
+           count(*) filter (not hit) as n
+    from (select *, rank() over (partition by level, class_code order by score)
+                 + (count(*) over (partition by level, class_code, score) - 1) / 2.0::double as mid
+          from every)
+    group by all)"""
+_area = "(ranks - p * (p + 1) / 2.0::double) / nullif(p::double * n::double, 0)"
+_bins = """binned as (
+    select level, class_code, least(floor(score * 64), 63) as bin,
+           count(*) filter (hit) as pos, count(*) filter (not hit) as neg
+    from every group by all),
+stacked as (
+    select *, coalesce(sum(neg) over (partition by level, class_code order by bin
+                       rows between unbounded preceding and 1 preceding), 0) as under
+    from binned),
+bounds as (
+    select level, class_code, sum(pos::double * under) as sure, sum(pos::double * neg) as unsure,
+           sum(pos)::double * sum(neg)::double as pairs
+    from stacked group by all)"""
+ORACLE |= {
+    "roc_auc_nodes": with_views("own", f"""
+select t.*, round({_area}, 6) as auc from totals t join exact using (level, class_code)""",
+        f"every as ({_every_score}), {_totals}, {_exact}"),
+    "roc_auc_bounds": with_views("own", """
+select t.*, round(sure / nullif(pairs, 0), 6) as auc_low,
+       round((sure + unsure) / nullif(pairs, 0), 6) as auc_high,
+       case when pairs > 0 then true end as inside
+from totals t join bounds using (level, class_code)""",
+        f"every as ({_every_score}), {_totals}, {_bins}"),
+    "fit_sample": learnable([
+        ("ranked", f"""
+  select {IDS}, level1, count(*) over (partition by level1) as n,
+         row_number() over (partition by level1 order by
+           ('0x' || substr(md5(concat_ws('|', {IDS})), 1, 15))::bigint) as nth
+  from labelled where not held_out""")], f"""
+select {IDS}, level1, round(n / least(n, 500), 6) as weight from ranked where nth <= 500"""),
+}
+
+ORACLE |= {
+    "prepare_accounting": ORACLE["flow_clean_report"],
+    "wide_label_codes": f"""
+with l as (select {IDS}, nullif(l_orderkey::varchar, '1') as label from lineitem),
+codes as (select label, row_number() over (order by label) - 1 as code
+          from (select distinct label from l where l_linenumber < 7 and label is not null))
+select {IDS}, coalesce(code, -1) as label_code, c.label as decoded
+from l left join codes c using (label)""",
+    "wide_one_hot": """
+with known as (select l_orderkey, row_number() over (order by l_orderkey) - 1 as code
+               from (select distinct l_orderkey from lineitem where l_linenumber < 7))
+select code::int as code, count(*)::double as rows
+from lineitem join known using (l_orderkey) group by code""",
+}
+
+
+# --- rows for what had unit tests only -------------------------------------
+def _records() -> str:
+    parts = []
+    for n in NODES:
+        off = f"pred_{n.name} = -1"
+        parts += [
+            f"case when {off} then {-1000.0 * n.width} else round(list_sum(scores_{n.name}), 5) end "
+            f"as logits_{n.name}",
+            f"case when {off} then 0.0 else round({softmax_item(n, n.width - 1)}, 6) end as last_{n.name}",
+            f"case when {off} then 0.0 else 1.0 end as probs_{n.name}", f"pred_{n.name}"]
+    return f"select {IDS}, {', '.join(parts)} from routed"
+
+
+ORACLE |= {
+    "csv_line_breaks": """
+select doc_id::double as "FlowDuration", md5(nullif(text, '')) as note, source as "Label"
+from documents""",
+    "csv_malformed": """
+with lines as (
+  select list_filter([event_id::varchar, case when event_id % 3 = 0 then 'NA' else user_id::varchar end,
+                      case when event_id % 5 <> 0 then event_type end,
+                      case when event_id % 7 = 0 then 'extra' end], lambda x: x is not null) as f
+  from events)
+select f[1]::double as "FlowDuration", try_cast(nullif(f[2], 'NA') as double) as "FwdIATMean",
+       f[3] as "Label"
+from lines""",
+    "report_round_trip": ORACLE["class_report"],
+    "flow_coerce_missing": """
+select event_id, case when event_type <> 'click' then user_id::double end as number,
+       event_type = 'click' as missing from events""",
+    "feature_arrays": pair_query(_pair, f"""
+select {IDS}, 'array<float>' as kind, round((2 * (x * u1 + y * v1))::float::double, 4) as f0,
+       round((2 * (x * u2 + y * v2))::float::double, 4) as f1 from scaled, axes"""),
+    "cascade_records_all": with_views("routed", _records()),
+    "class_reports": union([
+        f"select {n.level} as level, '{n.name}' as node, * from (" + with_views(
+            "own", report("pairs", n.classes),
+            f"pairs as (select {n.label_column} as y_true, own_{n.name} as y_pred from own "
+            f"where {n.label_column} <> -1)") + ")" for n in NODES]),
+    "roc_auc_one_hot": ORACLE["roc_auc"],
+}

@@ -9,6 +9,8 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,23 @@ from flowcascade.operators import evaluate as E
 from flowcascade.operators import features as P
 from flowcascade.operators import labels as L
 from flowcascade.operators import roc as R
+from flowcascade.operators import wide as W
 from flowcascade.operators.bayes import GaussianBayes
+from flowcascade.operators.sample import priority_sample
 from flowcascade.plans import fit as T
 from flowcascade.plans import scoring as S
 from flowcascade.plans.prepare import level_datasets, prepare
 from flowcascade.schema import LEAVES, NODES, node_of
 from flowcascade.session import stage, stage_path, tune
-from flowcascade.sources import infer_numeric, load_models, read_flows, save_models
+from flowcascade.sources import (
+    infer_numeric,
+    load_models,
+    load_state,
+    read_flows,
+    save_models,
+    save_state,
+    write_report,
+)
 from flowcascade.workload.views import (
     IDS,
     SCORES,
@@ -35,6 +47,7 @@ from flowcascade.workload.views import (
     scored_flows,
     split_learnable,
     table,
+    wide,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +93,44 @@ def flow_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.map_columns(read, {c: quoted(c).cast(t) for c, t in types.items()})
 
 
+@query
+def csv_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as CSV: quotes, commas and line breaks inside fields come back unchanged."""
+    path = stage_path(spark, "breaks")
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias(" Flow Duration"), F.col("text").alias("Note"),
+        F.col("source").alias("Label"))
+    docs.write.csv(path, header=True, escape='"', quoteAll=True,
+                   ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    read = read_flows(spark, path, keep=["Note"], multi_line=True)
+    return read.select("FlowDuration", F.md5("Note").alias("note"), "Label")
+
+
+@query
+def csv_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are too long are cut, short ones padded, missing texts are missing."""
+    path = stage_path(spark, "malformed")
+    key = F.col("event_id")
+    lines = table(spark, sf_dir, "events").select(F.concat_ws(
+        ",", key, F.when(key % 3 == 0, "NA").otherwise(F.col("user_id").cast("string")),
+        F.when(key % 5 != 0, F.col("event_type")),
+        F.when(key % 7 == 0, F.lit("extra"))).alias("line"))
+    lines.write.text(f"{path}/body")
+    body = spark.read.text(f"{path}/body").select("value")
+    header = spark.range(1).select(F.lit(" Flow Duration,Fwd IAT Mean, Label").alias("value"))
+    header.unionByName(body).coalesce(1).write.text(f"{path}/csv")
+    return read_flows(spark, f"{path}/csv")
+
+
+@query
+def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root's report, written as one CSV file and read again."""
+    path = stage_path(spark, "report")
+    write_report(E.level_report(scored_flows(spark, sf_dir), SCORES, NODES[0]), path)
+    read = spark.read.csv(path, header=True, inferSchema=True)
+    return rounded(read.withColumnRenamed("f1-score", "f1"), REPORT_DOUBLES)
+
+
 @query
 def flow_numeric_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which line-item and part columns are numeric, judged by their text alone."""
@@ -108,6 +159,15 @@ def flow_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both
 
 
+@query
+def flow_coerce_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What coercing made missing, before anything is filled."""
+    text = table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_type") == "click", F.col("event_type"))
+        .otherwise(F.col("user_id").cast("string")).alias("number"))
+    return K.coerce_numeric(text, ["number"]).withColumn("missing", F.col("number").isNull())
+
+
 # --- cleaning --------------------------------------------------------------
 @query
 def flow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +184,14 @@ def flow_clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.clean_report(flows(spark, sf_dir).select(*DEDUP_COLUMNS))
 
 
+@query
+def prepare_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row counts that a preparation run brings with it."""
+    _, state = prepare(spark, flows(spark, sf_dir).select(*DEDUP_COLUMNS), components=2,
+                       accounting=True)
+    return K.accounting_table(spark, state.accounting)
+
+
 @query
 def flow_impute_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks are taken to be unknown and get the most frequent other type."""
@@ -138,6 +206,13 @@ def flow_iqr_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(K.fence_table(spark, fences), ["q1", "q3", "lower", "upper"])
 
 
+@query
+def wide_iqr_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fences of fifty columns at a time."""
+    return rounded(K.fence_table(spark, K.iqr_fences(wide(spark, sf_dir))),
+                   ["q1", "q3", "lower", "upper"])
+
+
 @query
 def flow_winsorise(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = flows(spark, sf_dir)
@@ -210,7 +285,110 @@ def embedding_pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
         digits(F.lit(sum(state.explained)), 6).alias("ratio_sum"))
 
 
+PAIR = ["FlowDuration", "FlowBytes/s"]
+
+
+def _pair_state(spark: SparkSession, sf_dir: str, components: int) -> tuple[DataFrame, P.FeatureState]:
+    data = _complete_flows(spark, sf_dir).select(*IDS, *[quoted(c) for c in PAIR], "Label")
+    return data, P.fit_features(data, components, ignore=IDS)
+
+
+@query
+def flow_pca_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loadings and variance shares of both components of two features."""
+    _, state = _pair_state(spark, sf_dir, 2)
+    shares = P.explained_variance(state, table(spark, sf_dir, "region"))
+    return rounded(P.loadings(state, spark).join(shares, "component"),
+                   ["loading", "ratio", "cumulative"])
+
+
+@query
+def flow_pca_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of two components of every row; fewer are kept than there are features."""
+    data, state = _pair_state(spark, sf_dir, 1)
+    return rounded(P.apply_features(data, state, keep=IDS), state.output_columns)
+
+
+@query
+def flow_pca_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the components' variances and of their squares, for all seven features.
+
+    Only in the eigenvectors' basis do the squares add up to those of the covariance matrix.
+    """
+    data = _complete_flows(spark, sf_dir)
+    state = P.fit_features(data, components=len(STATISTICS) + 3, ignore=IDS)
+    return _spectrum(P.apply_features(data, state, keep=IDS), state)
+
+
+def _spectrum(out: DataFrame, state: P.FeatureState) -> DataFrame:
+    variances = out.agg(F.array(*[F.var_samp(c) for c in state.output_columns]).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda t, x: t + x)
+    squares = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
+    return variances.select(digits(total, 6).alias("variance"), digits(squares, 6).alias("squares"),
+                            F.size("v").alias("components"))
+
+
+@query
+def embedding_pca_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of 64 min-max scaled embedding dimensions."""
+    data = table(spark, sf_dir, "embeddings").select(
+        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    state = P.fit_features(data, components=64)
+    return _spectrum(P.apply_features(data, state, keep=[]), state)
+
+
+@query
+def feature_state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features fitted on three quarters of the orders, saved, loaded, applied to the rest."""
+    data = _complete_flows(spark, sf_dir).select(*IDS, *[quoted(c) for c in PAIR], "Label")
+    held_out = F.col("l_orderkey") % 4 == 0
+    path = stage_path(spark, "state")
+    save_state(spark, P.fit_features(data.filter(~held_out), 2, ignore=IDS), path)
+    state = load_state(spark, path)
+    return rounded(P.apply_features(data.filter(held_out), state, keep=[*IDS, "Label"]),
+                   state.output_columns)
+
+
+@query
+def feature_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components as one float array per row, doubled by the caller's transform."""
+    data, state = _pair_state(spark, sf_dir, 2)
+    out = P.apply_features(data, state, keep=IDS, as_array=True,
+                           transform=lambda c: F.transform(c, lambda x: x * 2))
+    exact = F.col("features").cast("array<double>")
+    return out.select(*IDS, F.typeof("features").alias("kind"),
+                      *[digits(exact[i], 4).alias(f"f{i}") for i in range(2)])
+
+
+@query
+def flow_prepare_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of preparation on two features: distinct rows, limits, scaling, components, labels."""
+    data = flows(spark, sf_dir).select(*[quoted(c) for c in PAIR], "Label")
+    features, state = prepare(spark, data, components=2)
+    return rounded(features, state.output_columns)
+
+
 # --- labels ----------------------------------------------------------------
+@query
+def wide_label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order numbers as text labels: coded by a joined table and decoded again."""
+    data = table(spark, sf_dir, "lineitem").select(
+        *IDS, F.nullif(F.col("l_orderkey").cast("string"), F.lit("1")).alias("Label"))
+    known = W.number_values(data.filter(F.col("l_linenumber") < 7), "Label")
+    coded = W.encode_by_table(data, "Label", known)
+    return W.decode_by_table(coded, "label_code", known, "decoded").drop("Label")
+
+
+@query
+def wide_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per order number, added up over sparse one-hot vectors."""
+    data = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    known = W.number_values(data.filter(F.col("l_linenumber") < 7), "l_orderkey")
+    vectors = W.one_hot_sparse(data, "l_orderkey", known, "v")
+    total = vectors.select(vector_to_array(Summarizer.sum(F.col("v"))).alias("n"))
+    return total.select(F.posexplode("n").alias("code", "rows"))
+
+
 @query
 def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = flows(spark, sf_dir).select(*IDS, "Label")
@@ -282,6 +460,19 @@ def cascade_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         record["pred"].alias("pred"))
 
 
+@query
+def cascade_records_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over logits and probabilities, and the decision, of every node's record."""
+    def total(c: Column) -> Column:
+        return F.aggregate(c, F.lit(0.0), lambda t, x: t + x)
+    return _cascaded(spark, sf_dir).select(*IDS, *[
+        part for n in NODES for part in (
+            digits(total(F.col(n.record)["logits"]), 5).alias(f"logits_{n.name}"),
+            digits(F.element_at(F.col(n.record)["probs"], -1), 6).alias(f"last_{n.name}"),
+            digits(total(F.col(n.record)["probs"]), 6).alias(f"probs_{n.name}"),
+            F.col(n.record)["pred"].alias(f"pred_{n.name}"))])
+
+
 @query
 def cascade_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of every leaf."""
@@ -368,6 +559,12 @@ def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report, REPORT_DOUBLES)
 
 
+@query
+def class_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all nodes on their own predictions."""
+    return rounded(E.level_reports(scored_flows(spark, sf_dir), SCORES), REPORT_DOUBLES)
+
+
 @query
 def end_to_end_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.end_to_end_report(_cascaded(spark, sf_dir), "Label"), REPORT_DOUBLES)
@@ -403,7 +600,51 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(areas, ["auc"])
 
 
+@query
+def roc_auc_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of the root with the true class as an array that has a 1 there."""
+    rows = _root_probabilities(spark, sf_dir)
+    encoded = F.array(*[(F.col("y_true") == i).cast("int") for i in range(NODES[0].width)])
+    areas = R.auc(rows.withColumn("y_true", encoded), "y_true", "probs", list(NODES[0].classes))
+    return rounded(areas, ["auc"])
+
+
+def _all_probabilities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
+    """Probabilities of all nodes, rounded like those of the root alone."""
+    rows = with_softmax(scored_flows(spark, sf_dir), {
+        f"probs_{n.name}": (SCORES[n.name], n.width) for n in NODES})
+    probs = {n.name: f"probs_{n.name}" for n in NODES}
+    return rows.select(*[n.label_column for n in NODES], *[
+        F.array(*[digits(F.col(c)[i], 6) for i in range(n.width)]).alias(c)
+        for n, c in zip(NODES, probs.values())]), probs
+
+
+@query
+def roc_auc_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact areas of all classes of all nodes."""
+    return rounded(R.auc_all(*_all_probabilities(spark, sf_dir)), ["auc"])
+
+
+@query
+def roc_auc_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds from histograms, and whether the exact area lies between them."""
+    rows, probs = _all_probabilities(spark, sf_dir)
+    rows = stage(rows, "probabilities")
+    exact = R.auc_all(rows, probs).select("level", "class_code", "auc")
+    bounds = R.auc_bounds(rows, probs, bins=64).join(exact, ["level", "class_code"])
+    inside = F.col("auc").between(F.col("auc_low") - 1e-12, F.col("auc_high") + 1e-12)
+    return rounded(bounds.withColumn("inside", inside).drop("auc"), ["auc_low", "auc_high"])
+
+
 # --- fitting ---------------------------------------------------------------
+@query
+def fit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 500 rows per root class of the training rows, by hashed ids."""
+    train, _ = split_learnable(spark, sf_dir)
+    taken = priority_sample(train.select(*IDS, "level1"), "level1", 500, key=IDS)
+    return rounded(taken, ["weight"])
+
+
 @query
 def level_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every node's training and validation table, read from the leaf folders."""

@@ -115,6 +115,43 @@ LEARNABLE_PARTS = [("rows", LEARNABLE_SQL), (
     "labelled", "select *, " + ", ".join(_level_sql(n) for n in NODES) + " from rows")]
 
 
+# --- fifty statistics ------------------------------------------------------
+WIDE = [f"s{i}" for i in range(50)]
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third one whole numbers, every seventh with missing values, every fifth rare."""
+    price, quantity, tax = F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_tax")
+    cols = []
+    for i, name in enumerate(WIDE):
+        c = price * (i + 1) - quantity * (49 * i)
+        if i % 3 == 0:
+            c = F.floor(c / 1000).cast("double")
+        if i % 5 == 4:
+            c = F.when(F.col("l_partkey") % 50 == i, c).otherwise(0.0)
+        if i % 7 == 6:
+            c = F.when(tax > 0, c)
+        cols.append(c.alias(name))
+    return table(spark, sf_dir, "lineitem").select(*cols)
+
+
+def _wide_sql() -> str:
+    cols = []
+    for i, name in enumerate(WIDE):
+        c = f"(l_extendedprice * {i + 1} - l_quantity * {49 * i})"
+        if i % 3 == 0:
+            c = f"floor({c} / 1000)"
+        if i % 5 == 4:
+            c = f"case when l_partkey % 50 = {i} then {c} else 0.0 end"
+        if i % 7 == 6:
+            c = f"case when l_tax > 0 then {c} end"
+        cols.append(f"({c})::double as {name}")
+    return f"select {', '.join(cols)} from lineitem"
+
+
+WIDE_SQL = _wide_sql()
+
+
 # --- fixed linear scores ---------------------------------------------------
 # Inputs of the scores, scaled to about one.
 SCORE_INPUTS = [("FlowDuration", 50.0), ("FlowBytes/s", 100000.0), ("FwdIATMean", 0.1)]
