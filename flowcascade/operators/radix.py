@@ -33,13 +33,15 @@ PASSES = 64 // DIGIT_BITS
 COLUMNS_AT_ONCE = 64        # bounds a task's counts; wider tables take several rounds
 
 _SIGN = np.uint64(1 << 63)
+_LAST_DIGIT = np.uint64((1 << DIGIT_BITS) - 1)
 COUNTS = "search int, digit int, n long"
 
 
 def codes_of(values: np.ndarray) -> np.ndarray:
     """Unsigned codes that sort as the numbers do; both zeros have one code."""
-    bits = (values + 0.0).view(np.uint64)
-    return np.where(bits & _SIGN, ~bits, bits | _SIGN)
+    bits = (values + 0.0).view(np.int64)
+    flipped = (bits >> 63).view(np.uint64) | _SIGN      # all bits of negative numbers, else one
+    return bits.view(np.uint64) ^ flipped
 
 
 def values_of(codes: Sequence[int]) -> np.ndarray:
@@ -59,14 +61,16 @@ def digit_counts(batches: Iterator[pa.RecordBatch], step: int,
     for batch in batches:
         for column, wanted in by_column.items():
             values = batch.column(column).to_numpy(zero_copy_only=False)
-            codes = codes_of(values[~np.isnan(values)])
+            nan = np.isnan(values)
+            codes = codes_of(values[~nan] if nan.any() else values)
+            before = None if above is None else codes >> above
             for number, prefix in wanted:
-                own = codes if above is None else codes[codes >> above == np.uint64(prefix)]
+                own = codes if before is None else codes[before == np.uint64(prefix)]
                 if len(own):
-                    digits = (own >> shift) & np.uint64((1 << DIGIT_BITS) - 1)
+                    digits = ((own >> shift) & _LAST_DIGIT).view(np.int64)
                     if number not in counts:
                         counts[number] = np.zeros(1 << DIGIT_BITS, np.int64)
-                    np.add.at(counts[number], digits.astype(np.int64), 1)
+                    np.add.at(counts[number], digits, 1)
     for number, found in counts.items():
         digits = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays(
