@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,6 +25,9 @@ CALL = [*KEY, "occurrence"]
 
 
 # --- arguments --------------------------------------------------------------
+_HALF = re.compile("[\ud800-\udfff]")
+
+
 class RepeatedKey(ValueError):
     """An object names a key twice."""
 
@@ -39,16 +43,33 @@ def _constant(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
+def _finite(digits: str) -> float:
+    value = float(digits)
+    if not math.isfinite(value):
+        raise ValueError(f"{digits} is too large a number")
+    return value
+
+
 def parse(text: str | None):
-    """The value of a JSON text; ``ValueError`` if it is none, names a key twice or is deep."""
+    """The value of a JSON text.
+
+    ``ValueError`` if it is none, names a key twice, is nested too deep or has a number that
+    is too large: beyond a double, or a whole number of thousands of digits.
+    """
     if text is None:
         raise ValueError("no JSON")
     try:
-        return json.loads(text, object_pairs_hook=_object, parse_constant=_constant)
+        return json.loads(text, object_pairs_hook=_object, parse_constant=_constant,
+                          parse_float=_finite)
     except RecursionError:
         raise ValueError("nested too deep") from None
 
 
+def storable(text: str) -> str:
+    """Halves of surrogate pairs, which JSON may name and UTF-8 cannot hold, as escapes."""
+    return _HALF.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
+
+
 def canonical(value) -> str:
     """JSON with sorted keys, no spaces, and whole floats as integers."""
     def plain(v):
@@ -57,8 +78,8 @@ def canonical(value) -> str:
         if isinstance(v, dict):
             return {k: plain(x) for k, x in v.items()}
         return [plain(x) for x in v] if isinstance(v, list) else v
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False,
-                      allow_nan=False)
+    return storable(json.dumps(plain(value), sort_keys=True, separators=(",", ":"),
+                               ensure_ascii=False, allow_nan=False))
 
 
 _TYPES = {
@@ -79,12 +100,13 @@ def violations(value, schema: dict, at: str = "") -> list[str]:
     """What of a schema a value breaks, as ``path:keyword``.
 
     Keywords: type, enum, required, properties, additionalProperties (true or false),
-    items, minimum, maximum, minLength, maxLength, minItems, maxItems.
+    items, minimum, maximum, minLength, maxLength, minItems, maxItems.  No value is of a
+    type that is none of JSON's.
     """
     found = []
     kinds = schema.get("type", [])
     kinds = [kinds] if isinstance(kinds, str) else kinds
-    if kinds and not any(_TYPES[k](value) for k in kinds):
+    if kinds and not any(k in _TYPES and _TYPES[k](value) for k in kinds):
         return [f"{at}:type"]
     if "enum" in schema and not any(_same(value, e) for e in schema["enum"]):
         found.append(f"{at}:enum")
@@ -273,7 +295,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
                     "no_call" if not row["is_call"] else "cycle" if row["level"] is None
                     else "invalid" if errors else "no_result" if not row["has_result"]
                     else "linked")
-                problems.append(", ".join(errors))
+                problems.append(storable(", ".join(errors)))
                 records.append(canonical({
                     "arguments": value, "id": row["call_id"], "name": row["name"],
                     "result": row["content"]}))

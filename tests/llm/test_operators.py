@@ -1,6 +1,7 @@
 """Brute-force and edge-case tests of the training-data operators."""
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowcascade.llm import (
@@ -363,6 +365,51 @@ def test_repeated_identifiers_are_all_linked(spark):
     assert '"two"' in records[1, "a", 1] and '"r1"' in records[1, "a", 1]
 
 
+ODD_JSON = [
+    ('{"limit":1e400}', "invalid", "not JSON"), ('{"limit":-1e999,"query":"q"}', "invalid", "not JSON"),
+    ('{"limit":' + "9" * 6000 + "}", "invalid", "not JSON"), ('{"limit":NaN}', "invalid", "not JSON"),
+    ('{"query":"\\ud800","limit":1}', "no_result", ""),
+    ('{"query":"\\udc00\\ud800x","limit":1}', "no_result", ""),
+    ('{"query":"\\ud83d\\ude00","limit":1}', "no_result", ""),
+    ('{"query":"q","limit":1,"\\udfff":2}', "invalid", "/\\udfff:additionalProperties"),
+    ("[" * 100_000, "invalid", "not JSON"), ('{"a":1,"a":1}', "invalid", "not JSON"),
+    ('{"query":"q","limit":' + "1" + "0" * 300 + "}", "invalid", "/limit:maximum"),
+    ("", "invalid", "not JSON"), ("null", "invalid", ":type"), ("\u2028", "invalid", "not JSON")]
+
+
+def test_any_json_text_is_judged(spark):
+    calls = spark.createDataFrame(
+        [(1, str(i), i, "search", text, None) for i, (text, _, _) in enumerate(ODD_JSON)],
+        "conv_id long, call_id string, turn long, name string, arguments string, "
+        "depends_on array<string>").withColumn("record", F.lit("clash"))
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = {int(r["call_id"]): r for r in
+           chat.link_tool_calls(calls, results, chat.SCHEMAS).collect()}
+    assert len(got) == len(ODD_JSON)
+    for i, (text, status, errors) in enumerate(ODD_JSON):
+        assert (got[i]["status"], got[i]["errors"]) == (status, errors), text[:50]
+        json.loads(got[i]["record"])
+    kept = json.loads(got[4]["record"])["arguments"]["query"]
+    assert kept == "\ud800" and "\\ud800" in got[4]["record"]
+    assert json.loads(got[6]["record"])["arguments"]["query"] == "\U0001f600"
+
+
+def test_unknown_types_in_a_schema_match_nothing():
+    assert chat.violations(1, {"type": "decimal"}) == [":type"]
+    assert chat.violations(1, {"type": ["decimal", "integer"]}) == []
+
+
+def test_long_arguments_and_results(spark):
+    text = json.dumps({"text": LONG})
+    calls = spark.createDataFrame([(1, "a", 0, "answer", text, ["a" * 70_000])],
+                                  "conv_id long, call_id string, turn long, name string, "
+                                  "arguments string, depends_on array<string>")
+    results = spark.createDataFrame([(1, "a", 1, LONG)],
+                                    "conv_id long, call_id string, turn long, content string")
+    row = chat.link_tool_calls(calls, results, chat.SCHEMAS).first()
+    assert row["status"] == "linked" and json.loads(row["record"])["result"] == LONG
+
+
 def test_turns_with_one_number_are_all_kept(spark):
     turns = spark.createDataFrame(
         [(1, 0, "user", "one"), (1, 0, "user", "two"), (1, 1, "assistant", "yes"),
