@@ -9,7 +9,6 @@ items, so that at most one window per partition needs padding.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,46 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from flowcascade.llm.common import id_and_text
+from flowcascade.llm.encoding import PieceEncoder, public_vocabulary, shared_encoder
 
 WINDOW = 1024
 END_OF_TEXT = 0
 
-# Over these characters both tokenizer libraries split and merge alike (tested); a text
-# with any other character goes to the reference library.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*")
-_MARK = "<|endoftext|>"
 
-
-class Encoder:
-    """Ids of a byte-level BPE vocabulary file of the ``tokenizers`` library.
-
-    ``ranks`` names the same vocabulary as a rank file, which the faster library reads;
-    without it every text is encoded by ``tokenizers``.
-    """
-
-    def __init__(self, vocabulary: str, ranks: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-        self.slow = Tokenizer.from_file(vocabulary)
-        self.fast = None
-        if ranks and pattern:
-            import base64
-
-            import tiktoken
-            with open(ranks, "rb") as lines:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table,
-                                          special_tokens={})
-
-    def ids(self, text: str) -> np.ndarray:
-        if self.fast is not None and _PLAIN.fullmatch(text) and _MARK not in text:
-            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
-
-
-def public_encoder() -> Encoder:
-    import public_tokenizers as files
-    return Encoder(files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"),
-                   files.PATTERN)
+def public_encoder() -> PieceEncoder:
+    return shared_encoder(public_vocabulary())
 
 
 class SumOfSquares:
@@ -106,14 +73,18 @@ SCHEMA = pa.schema([
 COLUMNS = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
            "sequence_id long, offset long")
 FLUSH_ROWS = 50_000
-MAX_OPEN_IDS = 4_000_000        # ids held for open windows; beyond it they are closed
+MAX_OPEN_IDS = 4_000_000        # ids that a partition may hold in open windows
 
 
 class Packer:
-    """Packs the documents of one partition, in order; sequence ids are its own."""
+    """Packs the documents of one partition, in order; sequence ids are its own.
+
+    Open windows hold at most ``max_open_ids`` ids and one rest.  When there are more, all of
+    them are emptied into each other as at the end, so each such time pads one window more.
+    """
 
-    def __init__(self, encoder: Encoder, size: int, first: int):
-        self.encoder, self.size, self.next = encoder, size, first
+    def __init__(self, size: int, first: int, max_open_ids: int = MAX_OPEN_IDS):
+        self.size, self.next, self.max_open_ids = size, first, max_open_ids
         self.rows: list[tuple] = []
         self._reopen()
 
@@ -133,8 +104,8 @@ class Packer:
                               window, at))
             at += len(ids)
 
-    def add(self, doc: int | None, text: str) -> None:
-        ids = np.append(self.encoder.ids(text), np.uint32(END_OF_TEXT)).astype("<u4")
+    def add(self, doc: int | None, found: np.ndarray) -> None:
+        ids = np.append(found, END_OF_TEXT).astype("<u4")
         total, full = len(ids), len(ids) // self.size * self.size
         for start in range(0, full, self.size):
             self._emit(self._window(), [(doc, start, ids[start:start + self.size], total)])
@@ -153,7 +124,7 @@ class Packer:
             self.held -= self.size
         else:
             self.bins.keep(window, fill + size)
-        if self.held > MAX_OPEN_IDS:
+        if self.held > self.max_open_ids:
             self.close()
 
     def close(self) -> None:
@@ -189,10 +160,13 @@ class Packer:
 
 
 def pack_documents(docs: DataFrame, window: int = WINDOW, encoder=public_encoder,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text",
+                   max_open_ids: int = MAX_OPEN_IDS) -> DataFrame:
     """One row per piece of a document.
 
-    ``encoder`` is a function without arguments that makes an object with ``ids(text)``.
+    ``encoder`` is a function without arguments that makes an object whose ``encode`` gives
+    the ids of every text of a list.  ``max_open_ids`` bounds the ids that a partition holds
+    for windows that are not full; it decides about padding, never about what is packed.
     Null and empty texts are one id (the end mark).  Null ids stay null, repeated rows are
     packed each, an empty table gives an empty result, other columns are not read.  Texts
     are never shortened; a text of any length is cut into whole windows and one rest.
@@ -201,11 +175,12 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, encoder=public_encoder
     runs again packs its rows in the same way.  Sequence ids start at partition << 32.
     """
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(encoder(), window, TaskContext.get().partitionId() << 32)
+        packer = Packer(window, TaskContext.get().partitionId() << 32, max_open_ids)
+        make = encoder()
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(),
-                                 batch.column("text").to_pylist()):
-                packer.add(doc, text)
+            for doc, ids in zip(batch.column("doc_id").to_pylist(),
+                                make.encode(batch.column("text").to_pylist())):
+                packer.add(doc, ids)
                 if len(packer.rows) >= FLUSH_ROWS:
                     yield packer.drain()
         packer.close()

@@ -216,9 +216,34 @@ def test_shards_move_only_into_the_new_one(docs, sample):
     assert Counter(r[:3] for r in rows) == want
 
 
-def test_packing_is_a_round_trip(docs, empty):
+def test_every_placement_has_the_least_sum_of_squares():
+    draw = np.random.default_rng(8)
+    size = 40
+    bins, fills = packing.SumOfSquares(size), {}
+    for item in draw.integers(1, size, 2000):
+        item = int(item)
+        levels = Counter(f for f in fills.values() if f < size)
+
+        def cost(at):
+            after = levels.copy()
+            after[at] -= at > 0
+            after[at + item] += at + item < size
+            return sum(v * v for v in after.values())
+
+        usable = [0, *{f for f in levels if levels[f] and f + item <= size}]
+        at, window = bins.place(item)
+        assert cost(at) == min(map(cost, usable))
+        assert at == max(f for f in usable if cost(f) == cost(at))      # ties: the fullest
+        window = len(fills) if window < 0 else window
+        assert fills.get(window, 0) == at
+        fills[window] = at + item
+        bins.keep(window, at + item)
+
+
+@pytest.mark.parametrize("most", [1, 700, 5000, 10 ** 9])
+def test_packing_is_a_round_trip(docs, empty, most):
     assert packing.pack_documents(empty).collect() == []
-    rows = packing.pack_documents(docs).collect()
+    rows = packing.pack_documents(docs.repartition(2), max_open_ids=most).collect()
     windows = defaultdict(list)
     for r in rows:
         windows[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -232,7 +257,7 @@ def test_packing_is_a_round_trip(docs, empty):
     for doc, text in TEXTS:
         if [i for i, _ in TEXTS].count(doc) > 1:
             continue
-        ids = np.append(encoder.slow.encode(text or "", add_special_tokens=False).ids,
+        ids = np.append(encoder.tokenizer.encode(text or "", add_special_tokens=False).ids,
                         0).astype("<u4")
         pieces = sorted((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"])
                         for r in rows if r["doc_id"] == doc)
