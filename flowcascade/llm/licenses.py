@@ -4,6 +4,12 @@ The normalised words of a text, across its lines, are compared with licence temp
 window runs from one word bigram of the template to another, and holds up to as many bigrams
 as the Dice coefficient allows.  It can only reach the threshold when it shares enough of the
 template's bigrams, so texts that hold too few of them anywhere have no windows.
+
+From each start the end runs once over the window while the numbers of distinct and of shared
+bigrams are kept up.  Starts of long templates are first bounded in blocks: a window that
+begins later in the block shares no more than the one from its first start and holds at most
+the block's length fewer bigrams.  Blocks whose bound is below the threshold are left out, so
+the result is that of all windows.
 Only DataFrame functions are used, and no row leaves its partition.
 """
 
@@ -19,8 +25,7 @@ from pyspark.sql import functions as F
 from flowcascade.llm.common import id_and_text
 
 THRESHOLD = 0.8
-EXACT = 256              # bigrams of a template up to which every window is compared
-STEPS = 16               # of larger ones, windows that differ by this part of the template
+BLOCKS = 16              # a block of starts is this part of the template
 
 # Texts of public licence notices (fixed values).
 TEMPLATES = {
@@ -105,39 +110,96 @@ def template_rows(sets: dict[str, list[str]], threshold: float) -> Column:
             F.lit(name).alias("license"), F.lit(place).alias("place"), F.lit(size).alias("size"),
             F.lit(math.ceil(size * threshold / (2 - threshold) - 1e-9)).alias("need"),
             F.lit(math.floor(len(pairs) * (2 - threshold) / threshold + 1e-9)).alias("reach"),
-            F.lit(1 if len(pairs) <= EXACT else len(pairs) // STEPS).alias("step"),
+            F.lit(max(len(pairs) // BLOCKS, 1)).alias("step"),
             F.expr(f"array({sql_list(sorted(set(pairs)))})").alias("pairs")))
     return F.array(*rows)
 
 
-def windows(template: Column, hits: Column, pairs: Column, threshold: float) -> Column:
-    """Per bigram of a template in a text, the best window that starts there."""
-    def from_start(own: Column) -> Column:
-        at, found = own["at"], own["pair"]
+def earlier_places(pairs: Column) -> Column:
+    """Per bigram of a text the place where it came last before, or -1."""
+    placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p.alias("pair"), i.alias("at"))))
+    one_on = F.concat(F.array(F.lit(None).cast("struct<pair:string,at:int>")), placed)
+    linked = F.zip_with(placed, F.slice(one_on, F.lit(1), F.size(placed)), lambda x, y: F.struct(
+        x["at"].alias("at"), F.when(x["pair"] == y["pair"], y["at"]).otherwise(-1).alias("last")))
+    return F.transform(F.array_sort(linked), lambda x: x["last"])
 
-        def best(start: Column, a: Column) -> Column:
-            def until(end: Column, j: Column) -> Column:
-                shared = F.size(F.array_distinct(F.slice(found, a + 1, j + 1)))
-                width = F.size(F.array_distinct(F.slice(pairs, start + 1, end - start + 1)))
-                last = (j == template["reach"] - 1) | (a + j == F.size(at) - 1)
-                tried = ((j + 1) % template["step"] == 0) | last
-                return F.when(
-                    (j + 1 >= template["need"]) & (end - start < template["reach"]) & tried,
-                    F.struct((2 * shared / (width + template["size"])).alias("dice"),
-                             (start - end).alias("minus_length")))
 
-            ends = F.slice(at, a + 1, template["reach"])
-            top = F.when(a % template["step"] == 0, F.array_max(F.transform(ends, until)))
-            return F.struct((-top["dice"]).alias("minus_dice"), start.alias("start"),
-                            template["place"].alias("place"),
-                            (start - top["minus_length"]).alias("end"),
-                            template["license"].alias("license"))
+def windows(template: Column, hits: Column, last: Column, threshold: float) -> Column:
+    """Per bigram of a template in a text, the best window that starts there.
 
-        return F.filter(F.transform(at, best), lambda w: -w["minus_dice"] >= threshold)
+    ``last`` is :func:`earlier_places` of the text.
+    """
+    def run(own: Column, a: Column, start: Column, slack: Column, more: Column) -> Column:
+        """Best coefficient, and its end, of the windows from the ``a``-th hit.
+
+        ``slack`` is added to the longest window and taken off the number of its bigrams.
+        Expressions in a lambda are evaluated wherever they stand, so a window is measured
+        from the finished counts, one step later.
+        """
+        def measured(best: Column) -> Column:
+            bigrams = F.greatest(best["shared"] + best["others"] - slack, F.lit(1))
+            here = F.struct((2 * best["shared"] / (bigrams + template["size"])).alias("dice"),
+                            (-best["at"]).alias("minus_end"))
+            return F.greatest(best["top"], F.when(
+                best["at"] - start < template["reach"] + slack, here))
+
+        def longer(best: Column, x: Column) -> Column:
+            return F.struct(
+                F.when(x["last"] < start, best["shared"] + 1).otherwise(best["shared"])
+                .alias("shared"),
+                F.when(x["gap"].isNull(), best["others"]).otherwise(
+                    best["others"] + F.size(F.filter(x["gap"], lambda p: p < start)))
+                .alias("others"),
+                x["at"].alias("at"), measured(best).alias("top"))
+
+        first = F.struct(F.lit(1).alias("shared"), F.lit(0).alias("others"), start.alias("at"),
+                         F.lit(None).cast("struct<dice:double,minus_end:int>").alias("top"))
+        return F.aggregate(F.slice(own, a + 2, template["reach"] + more), first, longer, measured)
+
+    def from_hits(own: Column) -> Column:
+        step = template["step"]
+
+        def hopeful(block: Column) -> Column:
+            a = block * step
+            start = own[a]["at"]
+            slack = own[F.least(a + step, F.size(own)) - 1]["at"] - start
+            return F.when(step == 1, True).otherwise(
+                run(own, a, start, slack, step)["dice"] >= threshold)
+
+        def best(blocks: Column) -> Column:
+            tops = F.transform(own, lambda x, a: F.when(
+                F.get(blocks, F.floor(a / step).cast("int")),
+                F.struct(run(own, a, x["at"], F.lit(0), F.lit(0)).alias("top"),
+                         x["at"].alias("start"))))
+            good = F.filter(tops, lambda w: w.isNotNull() & (w["top"]["dice"] >= threshold))
+            return F.transform(good, lambda w: F.struct(
+                (-w["top"]["dice"]).alias("minus_dice"), w["start"].alias("start"),
+                template["place"].alias("place"), (-w["top"]["minus_end"]).alias("end"),
+                template["license"].alias("license")))
+
+        count = F.floor((F.size(own) - 1) / step).cast("int")
+        return _with(F.transform(F.sequence(F.lit(0), count), hopeful), best)
+
+    def spaced(own: Column) -> Column:
+        """Hits, and where the bigrams between the hit before and this one came last."""
+        def one(x: Column, i: Column) -> Column:
+            before = F.when(i == 0, x["at"] - 1).otherwise(F.get(own, i - 1)["at"])
+            return F.struct(x["at"].alias("at"), last[x["at"]].alias("last"),
+                            F.when(x["at"] - before > 1, F.slice(
+                                last, before + 2, x["at"] - before - 1)).alias("gap"))
+        return _with(F.transform(own, one), from_hits)
 
     own = F.filter(hits, lambda h: F.array_contains(template["pairs"], h["pair"]))
-    # the array of one value names it, so that it is computed once
-    return F.flatten(F.transform(F.array(own), from_start))
+    return _with(own, lambda found: F.when(F.size(found) > 0, spaced(found)).otherwise(
+        F.array().cast(FOUND)))
+
+
+def _with(value: Column, use) -> Column:
+    """``use(value)``, with an array value that is computed once."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
+FOUND = "array<struct<minus_dice:double,start:int,place:int,end:int,license:string>>"
 
 
 def apart(found: Column) -> Column:
@@ -186,7 +248,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES,
         f"filter(transform(pairs, (p, i) -> if(p in ({known}), struct(i as at, p as pair), null)),"
         " h -> h is not null)"))
     least = min(math.ceil(len(set(p)) * threshold / (2 - threshold) - 1e-9) for p in sets.values())
-    pairs, hits = F.col("pairs"), F.col("hits")
+    hits = F.col("hits")
     near = hit.withColumn("distinct", F.when(F.size("hits") >= least,
                                              F.array_distinct(F.col("hits.pair"))))
     likely = near.withColumn("likely", F.when(
@@ -194,8 +256,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES,
             template_rows(sets, threshold), lambda t: F.when(
                 F.size("distinct") >= t["need"],
                 F.size(F.array_intersect("distinct", t["pairs"])) >= t["need"]).otherwise(False))))
-    found = likely.select("doc_id", "text", F.when(F.size("likely") > 0, F.array_sort(F.flatten(
-        F.transform("likely", lambda t: windows(t, hits, pairs, threshold))))).alias("found"))
+    placed = likely.withColumn("last", F.when(F.size("likely") > 0,
+                                              earlier_places(F.col("pairs"))))
+    last = F.col("last")
+    found = placed.select("doc_id", "text", F.when(F.size("likely") > 0, F.array_sort(F.flatten(
+        F.transform("likely", lambda t: windows(t, hits, last, threshold))))).alias("found"))
     kept = found.select("doc_id", "text", F.when(
         F.size("found") > 0, apart(F.col("found"))).alias("found"))
     # the line of every word

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowcascade.llm.common import named
@@ -78,25 +78,53 @@ def tokens(url: Column) -> Column:
             F.array().cast("array<string>"))))
 
 
+def leaders(exploded: DataFrame, min_rows: int) -> DataFrame:
+    """``token``, ``leader`` of the tokens that ``min_rows`` rows have.
+
+    Tokens that exactly the same rows have say the same, and every combination of them would
+    be mined; the first of them, the leader, stands for all.  They are found by count and
+    two digests of their rows, and parted again unless each row that has one has all.
+    """
+    posted = exploded.groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"),
+        F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y")).filter(F.col("n") >= min_rows)
+    alike = Window.partitionBy("n", "x", "y")
+    led = stage(posted.select("token", F.min("token").over(alike).alias("leader"),
+                              F.count("*").over(alike).alias("members")), "leaders")
+    met = exploded.join(led, "token").groupBy("row", "leader", "members").agg(
+        F.count("*").alias("here"))
+    mixed = met.filter(F.col("here") < F.col("members")).select(
+        F.col("leader").alias("mixed")).distinct()
+    return led.join(mixed, F.col("leader") == F.col("mixed"), "left").select(
+        "token", F.when(F.col("mixed").isNull(), F.col("leader")).otherwise(
+            F.col("token")).alias("leader"))
+
+
 def mine_rules(labelled: DataFrame, min_rows: int = MIN_ROWS,
                min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules ``tokens -> block`` from rows of ``url`` and ``block`` (boolean).
 
-    Columns ``tokens``, ``confidence``, ``support`` and ``anchor``, the token of the rule
-    that the fewest labelled URLs have (of equals the first).  Rows without a label or
-    without tokens are not used.  A rule is superfluous when one on part of its tokens is
-    at least as confident.
+    Columns ``tokens``, ``confidence``, ``support`` (of the rows mined) and ``anchor``, the
+    token of the rule that the fewest labelled URLs have (of equals the first).  Rows without
+    a label or without tokens are not used.  Of tokens that the same rows have, only the first
+    is in a rule.  A rule is superfluous when one on part of its tokens is at least as
+    confident.
     """
     spark = labelled.sparkSession
     baskets = stage(labelled.filter(F.col("block").isNotNull()).select(
-        tokens(F.col("url")).alias("tokens"), "block").filter(F.size("tokens") > 0), "baskets")
-    n = baskets.count()
+        tokens(F.col("url")).alias("tokens"), "block",
+        F.monotonically_increasing_id().alias("row")).filter(F.size("tokens") > 0), "baskets")
     empty = spark.createDataFrame(
         [], "tokens array<string>, confidence double, support double, anchor string")
+    exploded = baskets.select("row", "block", F.explode("tokens").alias("token"))
+    led = exploded.join(leaders(exploded, min_rows), "token")
+    merged = led.groupBy("row", "block").agg(F.collect_set("leader").alias("tokens"))
+    items = stage(merged.select(
+        F.when(F.col("block"), F.array_append("tokens", F.lit(BLOCK_ITEM)))
+        .otherwise(F.col("tokens")).alias("items")), "items")
+    n = items.count()
     if n < min_rows:
         return empty
-    items = baskets.select(F.when(F.col("block"), F.array_append("tokens", F.lit(BLOCK_ITEM)))
-                           .otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=(min_rows - 0.5) / n,
                      minConfidence=min_confidence).fit(items)
     rules = stage(model.associationRules
@@ -144,7 +172,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, host_rules: tuple[HostRule, .
         "page_id", host.alias("host"), path.alias("path"),
         F.coalesce("hit", F.lit(False)).alias("matched"))
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("matched"), "block").otherwise("allow")
-    for r in sorted(host_rules, key=lambda r: len(r.text)):
+    for r in sorted(reversed(host_rules), key=lambda r: len(r.text)):     # the last one decides
         fits = (((F.col("host") == r.host) | F.col("host").endswith("." + r.host))
                 & F.col("path").startswith(r.path))
         rule = F.when(fits, r.text).otherwise(rule)
