@@ -383,7 +383,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = MAX_EDITS,
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, ratio: float = MAX_EDITS,
                recall: float = RECALL, text_col: str = "text", item_col: str = "item_id",
                item_text_col: str = "text") -> DataFrame:
-    """The documents, all columns as they are, in which no item is found."""
+    """The documents, all columns as they are, in which no item is found.
+
+    Null and empty texts, and null and empty items, match nothing; repeated rows are judged
+    each; an empty table gives an empty result.
+    """
     at = docs.columns.index(text_col)
     for block in item_blocks(benchmark, item_col, item_text_col):
         def keep(batches: Iterator[pa.RecordBatch], block=block,

@@ -26,14 +26,20 @@ def _without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
+CARRIED = "carried"
+
+
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            host_col: str = "source") -> DataFrame:
-    """``doc_id``, ``host`` and the counts of each text."""
+            host_col: str = "source", carry: bool = False) -> DataFrame:
+    """``doc_id``, ``host`` and the counts of each text; with ``carry`` also the whole row."""
+    whole = [F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+             .alias(CARRIED)] if carry else []
+    kept = [CARRIED] if carry else []
     base = docs.select(named(id_col).cast("long").alias("doc_id"),
                        named(host_col).cast("string").alias("host"),
-                       F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
+                       F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"), *whole)
     split = base.select(
-        "doc_id", "host",
+        "doc_id", "host", *kept,
         F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: _without(x, BLANKS) != "").alias("lines"),
         F.length(_without(F.col("text"), BLANKS)).alias("word_chars"),
@@ -65,7 +71,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                                   F.lit(3))),
         F.lit(0), lambda total, x: total + x)
     return spots.select(
-        "doc_id", "host", n.cast("long").alias("n_words"),
+        "doc_id", "host", *kept, n.cast("long").alias("n_words"),
         F.col("word_chars").cast("long").alias("word_chars"),
         F.col("n_symbols").cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -114,6 +120,21 @@ def host_verdicts(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataF
                             F.greatest(*[F.col(c) for c in rates]) > max_rate)
 
 
+def _judged(measured: DataFrame, max_rate: float) -> DataFrame:
+    """The measured rows with the verdict of their host, ``base_failed`` and ``kept``.
+
+    The table of hosts is joined by Spark's own choice of join, which splits a host with too
+    many rows.
+    """
+    verdicts = stage(host_verdicts(measured, max_rate).select(
+        F.col("host").alias("verdict_host"), "host_rejected"), "hosts")
+    flags = rule_failures()
+    failed = flags["short"] | flags["repeats"]
+    judged = measured.join(verdicts, F.col("host").eqNullSafe(F.col("verdict_host")), "left")
+    return judged.withColumns({"base_failed": failed,
+                               "kept": ~failed & ~F.col("host_rejected")})
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row per document with its counts, ``base_failed`` and ``kept``.
@@ -121,17 +142,20 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts have no words, so they fail.  Null hosts form one host, null ids
     stay null, repeated rows are judged each.  An empty table gives an empty result.
     Extra columns are not read.
-
-    The counts are staged once; the table of hosts is joined back by Spark's own choice of
-    join, which splits a host with too many rows.
     """
     measured = stage(measure(docs, id_col, text_col, host_col), "quality")
-    verdicts = stage(host_verdicts(measured, max_rate).select("host", "host_rejected"), "hosts")
-    flags = rule_failures()
-    verdicts = verdicts.withColumnRenamed("host", "verdict_host")
-    judged = measured.join(verdicts, F.col("host").eqNullSafe(F.col("verdict_host")), "left")
-    failed = flags["short"] | flags["repeats"]
-    return judged.select(
+    return _judged(measured, max_rate).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), "host_rejected",
-        (~failed & ~F.col("host_rejected")).alias("kept"))
+        "base_failed", "host_rejected", "kept")
+
+
+def keep_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The rows that :func:`judge` keeps, with all their columns, whatever these are called.
+
+    Every row is judged by its own text and carried along with its counts, so that no text
+    is joined back.
+    """
+    measured = stage(measure(docs, id_col, text_col, host_col, carry=True), "quality")
+    kept = _judged(measured, max_rate).filter("kept").select(CARRIED)
+    return kept.select(*[F.col(CARRIED)[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])

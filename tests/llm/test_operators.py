@@ -492,3 +492,42 @@ def test_pipeline_stages(spark, docs, empty):
     for _, step in corpus_pipeline.STAGES:
         assert step(spark, empty, DATA).collect() == []
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_pipeline_stages_take_any_further_columns(spark, docs):
+    clashing = ["row", "__row", "row_", "carried", "c0", "host", "kept", "n_words", "fp", "pairs"]
+    odd = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in clashing})
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, odd, DATA)
+        assert out.columns == odd.columns
+        for r in out.collect():
+            assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}")
+                       for c in clashing)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, odd, DATA)
+    assert pieces.agg(F.sum("length")).first() == corpus_pipeline.STAGES[-1][1](
+        spark, docs, DATA).agg(F.sum("length")).first()
+
+
+def test_pipeline_decisions_take_effect_on_the_next_stage(spark):
+    """A short, a copied, a leaking and a secret-bearing document through the whole chain."""
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
+
+    def prose(seed):
+        draw = np.random.default_rng(seed)
+        return " ".join(f"w{x}" for x in draw.integers(0, 5000, 200))
+
+    rows = [(1, prose(1)), (2, prose(1)), (3, "too short"), (4, prose(4) + " " + bench + " end"),
+            (5, prose(5) + " password = hunter2secret " + prose(6)), (6, prose(7))]
+    docs = spark.createDataFrame(
+        [(i, t, "en", f"s{i}", len(t)) for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long")
+    seen = []
+    for name, step in corpus_pipeline.STAGES:
+        docs = step(spark, docs, DATA)
+        docs = docs.sparkSession.createDataFrame(docs.collect(), docs.schema)
+        seen.append({r["doc_id"] for r in docs.collect()})
+    assert seen == [{1, 2, 4, 5, 6}, {1, 4, 5, 6}, {1, 5, 6}, {1, 5, 6}, {1, 5, 6}]
+    tokens = {r["doc_id"]: r["doc_tokens"] for r in docs.collect()}
+    encoder = packing.public_encoder().tokenizer
+    masked = prose(5) + " password = [SECRET] " + prose(6)
+    assert tokens[5] == len(encoder.encode(masked, add_special_tokens=False).ids) + 1
