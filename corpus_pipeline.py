@@ -9,49 +9,50 @@ from flowcascade.llm import decontaminate, packing, quality_rules, secrets, simh
 from flowcascade.llm.common import load, named
 from flowcascade.session import stage
 
-ROW = "__row"
-
-
-def _rows(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` written with a number per row, so that rows with one id or none differ."""
-    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; every row is judged by its own text."""
-    rows = _rows(docs, "quality-rows")
-    kept = quality_rules.judge(rows, id_col=ROW).filter("kept")
-    return rows.join(kept.select(F.col("doc_id").alias(ROW)), ROW, "left_semi").select(
-        *map(named, docs.columns))
+    """Documents that the quality rules keep; every row is judged by its own text.
+
+    Null and empty texts go, of repeated rows all stay or go, an empty table stays empty.
+    """
+    return quality_rules.keep_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates the document with the smallest id.
 
-    Repeated rows are one group.  Null ids come last; of equal ids the first row stays.
+    Repeated rows are one group, and so are all empty texts, null ones with them.  Null ids
+    come last; of equal ids the first row stays.  An empty table stays empty.
     """
-    rows = _rows(docs, "simhash-rows")
-    groups = simhash.near_duplicates(rows, id_col=ROW).select(
-        F.col("doc_id").alias(ROW), "component_id")
-    ids = rows.select(ROW, "doc_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
-    kept = groups.join(ids, ROW).groupBy("component_id").agg(F.min_by(ROW, order).alias(ROW))
-    return rows.join(kept.select(ROW), ROW, "left_semi").select(
+    row = "row"
+    while row in docs.columns:      # a number per row, so that rows with one id or none differ
+        row += "_"
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    groups = simhash.near_duplicates(rows, id_col=row).select(
+        F.col("doc_id").alias(row), "component_id")
+    ids = rows.select(row, "doc_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    kept = groups.join(ids, row).groupBy("component_id").agg(F.min_by(row, order).alias(row))
+    return rows.join(kept.select(row), row, "left_semi").select(
         *map(named, docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of ``benchmark``."""
+    """Documents that hold no passage of ``benchmark``.
+
+    Null and empty texts hold none; repeated rows are judged each; an empty table, and an
+    empty benchmark, change nothing.
+    """
     return decontaminate.drop_leaks(docs, load(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced."""
+    """All documents, their secrets replaced; null texts stay null, other columns as they are."""
     return secrets.redact_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in training sequences."""
+    """Pieces of the documents in training sequences, null texts as empty ones."""
     return packing.pack_documents(docs)
 
 
