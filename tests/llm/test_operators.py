@@ -529,5 +529,5 @@ def test_pipeline_decisions_take_effect_on_the_next_stage(spark):
     assert seen == [{1, 2, 4, 5, 6}, {1, 4, 5, 6}, {1, 5, 6}, {1, 5, 6}, {1, 5, 6}]
     tokens = {r["doc_id"]: r["doc_tokens"] for r in docs.collect()}
     encoder = packing.public_encoder().tokenizer
-    masked = prose(5) + " password = [SECRET] " + prose(6)
+    masked = prose(5) + " [SECRET] " + prose(6)
     assert tokens[5] == len(encoder.encode(masked, add_special_tokens=False).ids) + 1
