@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from flowcascade.llm import quality_rules as Q
+from flowcascade.llm import urls as U
 
 _FAILS = {
     "short": "n_words < 50",
@@ -146,4 +147,106 @@ from f{len(steps)}, t{top_levels} r
 """
 
 
-ORACLE = {"op1_quality_rules": _quality(), "op13_merkle_manifest": _merkle()}
+_CRC_TABLE = f"""
+  select list(list_reduce(list_prepend(b::bigint, range(8)),
+              lambda v, i: xor(v >> 1, (v & 1) * {_POLYNOMIAL})) order by b) as t
+  from range(256) r(b)"""
+# the UTF-8 bytes of the code point p
+_UTF8 = """case when p < 128 then [p]
+              when p < 2048 then [192 + (p >> 6), 128 + (p & 63)]
+              when p < 65536 then [224 + (p >> 12), 128 + ((p >> 6) & 63), 128 + (p & 63)]
+              else [240 + (p >> 18), 128 + ((p >> 12) & 63), 128 + ((p >> 6) & 63),
+                    128 + (p & 63)] end"""
+_MOST_JUMPS = 200       # of a key; the expected number is the logarithm of the shards
+
+
+def _jump(shards: int) -> str:
+    """Jump consistent hash of ``key``: where the jump ends that would leave the shards."""
+    state = "{'at': 0::bigint, 'ahead': 0::bigint, 'k': key::hugeint}"
+    two64 = "18446744073709551616::hugeint"
+    k = f"((s.k * 2862933555777941757::hugeint + 1) % {two64})"
+    jump = (f"floor((s.ahead + 1) * (2147483648::double / (({k} // 8589934592::hugeint) + 1)"
+            "::double))::bigint")
+    return (f"list_reduce(list_transform(range({_MOST_JUMPS}), lambda i: {state}), lambda s, i: "
+            f"case when s.ahead >= {shards} then s "
+            f"else {{'at': s.ahead, 'ahead': {jump}, 'k': {k}}} end).at::int")
+
+
+def _sharding(shards: int = 40) -> str:
+    return f"""
+with crc_table as ({_CRC_TABLE}),
+bytes as (
+  select doc_id, case when coalesce(text, '') = '' then [] else flatten(list_transform(
+           list_transform(string_split(text, ''), lambda c: unicode(c)::bigint),
+           lambda p: {_UTF8})) end as b
+  from documents),
+summed as (
+  select doc_id, len(b) + 16 as size, xor(list_reduce(list_prepend(4294967295::bigint, b),
+           lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) as text_crc32,
+         case when coalesce(doc_id, -1) < 0 then coalesce(doc_id, -1) + 18446744073709551616::hugeint
+              else doc_id end as key
+  from bytes, crc_table),
+placed as (select *, {_jump(shards)} as shard, {_jump(shards + 1)} as grown_shard from summed)
+select doc_id, size, text_crc32, 'key' as law, shard, grown_shard,
+       row_number() over (partition by shard
+                          order by doc_id nulls first, text_crc32, size) - 1 as slot
+from placed
+"""
+
+
+def _urls() -> str:
+    """Host rules, and mined sets of one or two tokens.
+
+    A set of three that no part of it is as confident as would need as many rows again; the
+    given tables have none (a test mines all sizes by brute force).
+    """
+    def parts(prefix: str, values: str) -> str:
+        return (f"list_transform(list_filter({values}, lambda x: x <> ''), "
+                f"lambda x: '{prefix}' || x)")
+
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    host = lower.format("regexp_extract(rest, '^[^/?#]*')")
+    path = "regexp_extract(rest, '^[^/?#]*([^?#]*)', 1)"
+    asked = "regexp_extract(rest, '^[^/?#]*[^?#]*[?]([^#]*)', 1)"
+    segments = (f"list_transform(string_split(lower({path}), '/'), "
+                "lambda x: regexp_replace(x, '[0-9]+', '0', 'g'))")
+    keys = f"list_transform(string_split({asked}, '&'), lambda x: string_split(x, '=')[1])"
+    rules = " ".join(
+        f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) "
+        f"and starts_with(path, '{r.path}') then {{}}"
+        for r in sorted(U.HOST_RULES, key=lambda r: -len(r.text)))
+    longest = sorted(U.HOST_RULES, key=lambda r: -len(r.text))
+    rule = rules.format(*[f"'{r.text}'" for r in longest])
+    verdict = rules.format(*[f"'{r.verdict}'" for r in longest])
+    enough = (f"having count(*) filter (block) >= {U.MIN_ROWS} "
+              f"and count(*) filter (block) >= {U.MIN_CONFIDENCE} * count(*)")
+    return f"""
+with base as (
+  select row_number() over () as id, page_id,
+         case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest
+  from pages),
+split as (
+  select *, {host} as host, {path} as path,
+         list_distinct({parts('host:', f"string_split({host}, '.')")}
+           || {parts('path:', segments)} || {parts('key:', keys)}
+           || case when contains(rest, '#') then ['fragment'] else [] end) as have
+  from base),
+labelled as (
+  select id, have, toxic = 1 or quality = 0 as block
+  from split join labels on page_id = doc_id where (toxic = 1 or quality = 0) is not null),
+tokens as (select id, block, unnest(have) as t from labelled),
+mined as (
+  select [t] as need from tokens group by t {enough}
+  union all
+  select [a.t, b.t] from tokens a join tokens b on a.id = b.id and a.t < b.t
+  group by a.t, b.t {enough.replace("block", "a.block")}),
+hits as (select distinct id from split, mined where list_has_all(have, need))
+select page_id, host, path, case {rule} end as rule,
+       case {verdict} when h.id is not null then 'block' else 'allow' end as verdict,
+       h.id is not null as matched
+from split s left join hits h using (id)
+"""
+
+
+ORACLE = {"op1_quality_rules": _quality(), "op3_url_filters": _urls(), "op9_sharding": _sharding(),
+          "op13_merkle_manifest": _merkle()}
