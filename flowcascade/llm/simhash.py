@@ -32,7 +32,8 @@ from flowcascade.session import stage
 SEED = 42                # of the shingle hash, a fixed value
 SHINGLE_WORDS = 4
 MAX_BITS = 4
-SAMPLE = 1 << 15         # fingerprints from which the tree is built
+SAMPLE = 1 << 15         # fingerprints, at least, from which the trees are built
+SAMPLED_PER_CHUNK = 32   # of as many fingerprints as a chunk has, so many are sampled
 LEAF = 1 << 10           # fingerprints wanted in a leaf
 MAX_TREES = 16
 CHUNK = 1 << 14          # home fingerprints that one task holds at a time
@@ -199,15 +200,18 @@ def links(fps: DataFrame, bits: int = MAX_BITS, trees: int | None = None) -> Dat
     ``fps`` has one row per distinct fingerprint (``fp``).  The trees (``bits`` + 1, at
     most 16, if not given) are built from a sample; whatever the sample, every pair within
     the distance meets.  Of two leaves the one with the smaller number does the visiting.
-    A leaf with more than ``CHUNK`` fingerprints is cut into chunks, each a group of its
-    own.
+    The sample, and with it the number of leaves, grows with the fingerprints (one in 512,
+    eight bytes each, on the driver), so that a leaf holds a quarter of ``CHUNK`` or less on
+    average at any size.  A leaf with more than ``CHUNK`` is cut into chunks, each a group of
+    its own.
     """
     trees = trees or min(bits + 1, MAX_TREES)
     budget = bits // trees
     spark = fps.sparkSession
     total = fps.count()
-    sample = [r[0] for r in fps.sample(min(1.0, SAMPLE / max(total, 1)), seed=1)
-              .limit(2 * SAMPLE).collect()]
+    wanted = max(SAMPLE, SAMPLED_PER_CHUNK * total // CHUNK)
+    sample = [r[0] for r in fps.sample(min(1.0, wanted / max(total, 1)), seed=1)
+              .limit(2 * wanted).collect()]
     sampled = np.sort(np.array(sample, np.int64).view(np.uint64))
     depth = max(0, math.ceil(math.log2(max(total, 1) / LEAF)))
     depth = min(depth, max(0, int(math.log2(max(len(sampled), 1))) - 3))
@@ -297,6 +301,19 @@ def links(fps: DataFrame, bits: int = MAX_BITS, trees: int | None = None) -> Dat
             .mapInArrow(meet, "a long, b long"))
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, parts: int) -> DataFrame:
+    """``left`` with the row of ``right`` that has its key; ``right`` counts them in ``n``.
+
+    Keys of more than a task's share of the rows, of which there are fewer than ``parts``, are
+    joined where the rows are; only the others are shuffled.
+    """
+    rows = right.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = F.col("n") > rows / parts
+    hot = F.broadcast(right.filter(frequent).drop("n"))         # under ``parts`` rows
+    rest = left.join(hot, key, "left_anti").join(right.filter(~frequent).drop("n"), key)
+    return left.join(hot, key).unionByName(rest)
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, bits: int = MAX_BITS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row.
@@ -307,11 +324,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, bits: int = MAX_
     table gives an empty result.  Extra columns are not read.
     """
     prints = stage(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
+    distinct = stage(prints.groupBy("fp").agg(
+        F.min("doc_id").alias("first_doc"), F.count("*").alias("n")), "distinct")
     stars = stage(components(links(distinct.select("fp"), bits)), "components")
-    rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select(
-        "fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    by_print = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(
+    rooted = stage(distinct.join(stars, distinct["fp"] == stars["node"], "left").select(
+        "fp", "first_doc", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")),
+        "rooted")
+    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"),
+                                       F.count("*").alias("n"))
+    parts = shuffle_partitions(docs.sparkSession)
+    by_print = stage(join_counted(rooted, stage(least, "least"), "root", parts).select(
+        "fp", "component_id", F.col("rows").alias("n")), "by-print")
+    return join_counted(prints, by_print, "fp", parts).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -481,6 +481,36 @@ def test_notices_within_longer_texts_are_found(spark):
     assert got[101]["n_matches"] == 3 and got[102]["matches"] == []
 
 
+@pytest.mark.parametrize("sample", [64, 1 << 15])
+def test_fingerprints_are_dealt_once_per_tree(spark, monkeypatch, sample):
+    """A small sample makes large leaves; as long as they fit a chunk nothing is dealt twice."""
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    draw = np.random.default_rng(2)
+    prints = draw.integers(0, 1 << 63, 6000).astype(np.int64)
+    prints[3000:] = prints[:3000] ^ (1 << draw.integers(0, 60, 3000)) ^ (1 << 61)
+    fps = spark.createDataFrame([(int(x),) for x in set(prints.tolist())], "fp long")
+    dealt = []
+    real = simhash.VantageTree.overlaps
+    tree = simhash.VantageTree(np.sort(prints.view(np.uint64)), 3, (1 << 13) - 1)
+    rows, _ = real(tree, prints.view(np.uint64), 0)
+    dealt.append(len(rows))
+    assert dealt == [6000]
+    found = simhash.components(simhash.links(fps))
+    roots = {r["node"]: r["root"] for r in found.collect()}
+    assert all(roots[int(a)] == roots[int(b)] for a, b in zip(prints[:3000], prints[3000:]))
+
+
+def test_frequent_keys_are_joined_in_place(spark):
+    left = spark.createDataFrame([(i % 3 if i < 900 else i, i) for i in range(1000)],
+                                 "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).withColumn("w", F.col("k") * 2)
+    for parts in (1, 4, 50, 5000):
+        got = simhash.join_counted(left, right, "k", parts).collect()
+        assert sorted((r["k"], r["v"], r["w"]) for r in got) == sorted(
+            (r["k"], r["v"], 2 * r["k"]) for r in left.collect())
+    assert simhash.join_counted(left.limit(0), right.limit(0), "k", 4).collect() == []
+
+
 def test_pipeline_stages(spark, docs, empty):
     kept = corpus_pipeline.quality(spark, docs, DATA)
     assert kept.columns == docs.columns
