@@ -322,13 +322,32 @@ SCHEMAS = {
 }
 
 
+SPAN = 16       # turns within which calls need each other
+
+
+def _needs() -> Column:
+    turn = F.col("turn")
+
+    def near(*steps: int) -> Column:
+        there = F.array(*[F.when(F.floor((turn + k) / SPAN) == F.floor(turn / SPAN), turn + k)
+                          for k in steps])
+        return F.transform(F.filter(there, lambda t: t.isNotNull()), lambda t: t.cast("string"))
+
+    kind = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5))
+    return (F.when(kind == 0, near(2)).when(kind == 1, near(-2, -4))
+            .when(kind == 2, F.array().cast("array<string>")).otherwise(near(-2)))
+
+
 def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results read off a table of turns.
 
     A user turn is a call: of ``answer`` if it has an odd number of lines, else of
-    ``search``; its arguments are taken from its text, it depends on the user turn two
-    turns before, and its identifier is its turn.  The assistant turn after it is its
-    result.  Other turns are neither.
+    ``search``; its arguments are taken from its text, and its identifier is its turn.  The
+    assistant turn after it is its result.  Other turns are neither.
+
+    A hash of conversation and turn says what a call needs among the calls of the same
+    ``SPAN`` turns: of five calls two need the one before, one the two before, one the one
+    after, and one none.  So calls wait for later ones, and some wait for each other.
     """
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
@@ -344,7 +363,7 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = turns.filter(F.col("role") == "user").select(
         "conv_id", F.col("turn").cast("string").alias("call_id"), "turn",
         F.when(answer, "answer").otherwise("search").alias("name"), arguments.alias("arguments"),
-        F.array((F.col("turn") - 2).cast("string")).alias("depends_on"))
+        _needs().alias("depends_on"))
     results = turns.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).cast("string").alias("call_id"), "turn",
         F.col("text").alias("content"))

@@ -435,6 +435,46 @@ def test_long_arguments_and_results(spark):
     assert row["status"] == "linked" and json.loads(row["record"])["result"] == LONG
 
 
+def brute_order(calls):
+    """Level per call (none on or behind a cycle) and the order of a conversation's calls."""
+    needs = {c: [d for d in deps if d in calls] for c, (_, deps) in calls.items()}
+    if all((calls[d][0], d) < (calls[c][0], c) for c, deps in needs.items() for d in deps):
+        level = dict.fromkeys(calls, 0)
+    else:
+        level, before = {}, None
+        while before != len(level):
+            before = len(level)
+            for c, deps in needs.items():
+                if c not in level and all(d in level for d in deps):
+                    level[c] = 1 + max((level[d] for d in deps), default=-1)
+    order = sorted(calls, key=lambda c: (level.get(c, 2**31), calls[c][0], c))
+    return level, {c: i for i, c in enumerate(order)}
+
+
+def test_query_orders_calls_topologically(spark):
+    turns = spark.read.parquet(f"{DATA}/conversations.parquet")
+    more = spark.createDataFrame(
+        [(10_000 + i // 60, i % 60, "user" if i % 2 == 0 else "assistant", f"text {i}")
+         for i in range(300)], turns.schema)
+    prepare_session(spark)
+    calls, results = chat.calls_of(turns.unionByName(more))
+    given = defaultdict(dict)
+    for r in calls.collect():
+        given[r["conv_id"]][r["call_id"]] = (r["turn"], r["depends_on"])
+    got = [r for r in chat.link_tool_calls(calls, results, chat.SCHEMAS).collect()
+           if r["status"] != "no_call"]
+    assert len(got) == sum(map(len, given.values()))
+    seen = Counter()
+    for r in got:
+        level, place = brute_order(given[r["conv_id"]])
+        assert r["level"] == level.get(r["call_id"])
+        assert (r["status"] == "cycle") == (r["call_id"] not in level)
+        if r["n_results"] <= r["n_calls"]:
+            assert r["position"] == place[r["call_id"]]
+        seen[r["level"]] += 1
+    assert seen[None] and seen[0] and seen[1] and seen[2]
+
+
 def test_turns_with_one_number_are_all_kept(spark):
     turns = spark.createDataFrame(
         [(1, 0, "user", "one"), (1, 0, "user", "two"), (1, 1, "assistant", "yes"),
