@@ -373,13 +373,11 @@ def bayes_parts(node: Node, smoothing: str = "1e-9") -> list[tuple[str, str]]:
         (f"class{k}", f"select {c} as code, count(*) as n, {moments} {fitted} group by 1"),
         (f"all{k}", f"select count(*) as total, {smoothing} * greatest({widest}) as s {fitted}"),
         (f"parts{k}", f"""
-  select r.l_orderkey, r.l_partkey, r.l_suppkey, r.l_linenumber, code,
-         ln(n / total) + {terms} as score
+  select r.row_id, code, ln(n / total) + {terms} as score
   from labelled r, class{k}, all{k}"""),
         (f"scores{k}", f"""
-  select l_orderkey, l_partkey, l_suppkey, l_linenumber,
-         list(score order by code) as score, list(code order by code) as codes
-  from parts{k} group by all"""),
+  select row_id, list(score order by code) as score, list(code order by code) as codes
+  from parts{k} group by row_id"""),
     ]
 
 
@@ -392,7 +390,7 @@ _shares = ", ".join(
     f"round(e[{i + 1}] / list_sum(e), 6) as p{i}" for i in range(_drdos.width))
 _classified = [part for n in NODES for part in bayes_parts(n)] + [("own", "select l.*, " + ", ".join(
     f"{own_class(n.level)} as own_{n.name}" for n in NODES) + " from labelled l " + " ".join(
-    f"join scores{n.level} s{n.level} using ({IDS})" for n in NODES) + " where held_out")]
+    f"join scores{n.level} s{n.level} using (row_id)" for n in NODES) + " where held_out")]
 
 
 def _routed() -> list[tuple[str, str]]:
@@ -407,7 +405,7 @@ def _measured(node: Node, smoothing: str = "1e-9") -> str:
     return f"""
 select held_out, {peak} + ln(list_sum(list_transform(s{k}.score, lambda x: exp(x - {peak}))))
        - s{k}.score[list_position(s{k}.codes, {c})] as loss, {own_class(k)} = {c} as hit
-from labelled join scores{k} s{k} using ({IDS}) where {c} >= 0"""
+from labelled join scores{k} s{k} using (row_id) where {c} >= 0"""
 
 
 def _selection(patience: int = 2) -> str:
@@ -442,12 +440,11 @@ ORACLE |= {
     "level_tables": learnable([], union([
         f"select {n.level} as level, case when held_out then 'valid' else 'train' end as part, "
         f"{n.label_column} as class_code, count(*) as rows, round(sum(x), 3) as total "
-        f"from (select *, l_quantity / 10 as x from labelled join lineitem using ({IDS})) "
-        f"where {n.label_column} >= 0 group by all" for n in NODES])),
+        f"from (select *, quantity / 10 as x from labelled) where {n.label_column} >= 0 group by all" for n in NODES])),
     "bayes_predict": learnable(bayes_parts(_drdos), f"""
 select {IDS}, level4 as y_true, {own_class(4)} as y_pred, {_shares}
 from (select l.*, score, codes, list_transform(score, lambda x: exp(x - list_max(score))) as e
-      from labelled l join scores4 using ({IDS}) where held_out and level4 >= 0) s4"""),
+      from labelled l join scores4 using (row_id) where held_out and level4 >= 0) s4"""),
     "bayes_cascade": learnable(_classified + _routed(), f"""
 select {IDS}, "Label" as leaf, {', '.join(f'pred_{n.name}' for n in NODES)}, flat_pred
 from predicted"""),
@@ -596,11 +593,14 @@ from totals t join bounds using (level, class_code)""",
         f"every as ({_every_score}), {_totals}, {_bins}"),
     "fit_sample": learnable([
         ("ranked", f"""
-  select {IDS}, level1, count(*) over (partition by level1) as n,
-         row_number() over (partition by level1 order by
-           ('0x' || substr(md5(concat_ws('|', {IDS})), 1, 15))::bigint) as nth
-  from labelled where not held_out""")], f"""
-select {IDS}, level1, round(n / least(n, 500), 6) as weight from ranked where nth <= 500"""),
+  select {IDS}, level1, copies, sum(copies) over (partition by level1) as n,
+         coalesce(sum(copies) over (partition by level1 order by
+           ('0x' || substr(md5(concat_ws('|', {IDS})), 1, 15))::bigint
+           rows between unbounded preceding and 1 preceding), 0) as before
+  from (select {IDS}, level1, count(*) as copies from labelled where not held_out group by all)
+  """)], f"""
+select {IDS}, level1, round(least(copies, 500 - before) * n / least(n, 500), 6) as weight
+from ranked where before < 500"""),
 }
 
 ORACLE |= {

@@ -102,7 +102,7 @@ def split_learnable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 
 LEARNABLE_SQL = f"""
-select l_orderkey, l_partkey, l_suppkey, l_linenumber,
+select row_number() over () as row_id, l_quantity as quantity, l_orderkey, l_partkey, l_suppkey, l_linenumber,
        (l_quantity / 10)::float::double as x1, (l_discount * 20)::float::double as x2,
        (l_extendedprice / 20000)::float::double as x3,
        [{_strings(LEAVES)}][((floor(l_quantity / 8) * 2
