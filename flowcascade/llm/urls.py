@@ -95,9 +95,11 @@ def leaders(exploded: DataFrame, min_rows: int) -> DataFrame:
         F.count("*").alias("here"))
     mixed = met.filter(F.col("here") < F.col("members")).select(
         F.col("leader").alias("mixed")).distinct()
-    return led.join(mixed, F.col("leader") == F.col("mixed"), "left").select(
+    parted = led.join(mixed, F.col("leader") == F.col("mixed"), "left").select(
         "token", F.when(F.col("mixed").isNull(), F.col("leader")).otherwise(
             F.col("token")).alias("leader"))
+    # written, so that Spark knows this side of later joins to be the small one
+    return stage(parted, "parted-leaders")
 
 
 def mine_rules(labelled: DataFrame, min_rows: int = MIN_ROWS,
