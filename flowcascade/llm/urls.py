@@ -102,6 +102,10 @@ def leaders(exploded: DataFrame, min_rows: int) -> DataFrame:
     return stage(parted, "parted-leaders")
 
 
+RULES = ("tokens array<string>, alike array<array<string>>, confidence double, support double, "
+         "anchor string")
+
+
 def mine_rules(labelled: DataFrame, min_rows: int = MIN_ROWS,
                min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules ``tokens -> block`` from rows of ``url`` and ``block`` (boolean).
@@ -109,17 +113,17 @@ def mine_rules(labelled: DataFrame, min_rows: int = MIN_ROWS,
     Columns ``tokens``, ``confidence``, ``support`` (of the rows mined) and ``anchor``, the
     token of the rule that the fewest labelled URLs have (of equals the first).  Rows without
     a label or without tokens are not used.  Of tokens that the same rows have, only the first
-    is in a rule.  A rule is superfluous when one on part of its tokens is at least as
+    is in a rule and stands for all of them, which ``alike`` lists.  A rule is superfluous when one on part of its tokens is at least as
     confident.
     """
     spark = labelled.sparkSession
     baskets = stage(labelled.filter(F.col("block").isNotNull()).select(
         tokens(F.col("url")).alias("tokens"), "block",
         F.monotonically_increasing_id().alias("row")).filter(F.size("tokens") > 0), "baskets")
-    empty = spark.createDataFrame(
-        [], "tokens array<string>, confidence double, support double, anchor string")
+    empty = spark.createDataFrame([], RULES)
     exploded = baskets.select("row", "block", F.explode("tokens").alias("token"))
-    led = exploded.join(leaders(exploded, min_rows), "token")
+    leading = leaders(exploded, min_rows)
+    led = exploded.join(leading, "token")
     merged = led.groupBy("row", "block").agg(F.collect_set("leader").alias("tokens"))
     items = stage(merged.select(
         F.when(F.col("block"), F.array_append("tokens", F.lit(BLOCK_ITEM)))
@@ -148,7 +152,13 @@ def mine_rules(labelled: DataFrame, min_rows: int = MIN_ROWS,
         F.count("*").alias("n"))
     rarest = (kept.withColumn("key", F.explode("tokens")).join(counts, "key")
               .groupBy("tokens").agg(F.min(F.struct("n", "key"))["key"].alias("anchor")))
-    return stage(kept.join(rarest, "tokens"), "index")
+    members = leading.groupBy(F.col("leader").alias("key")).agg(
+        F.sort_array(F.collect_list("token")).alias("members"))
+    alike = (kept.select("tokens", F.posexplode("tokens").alias("at", "key")).join(members, "key")
+             .groupBy("tokens").agg(F.sort_array(F.collect_list(F.struct("at", "members")))
+                                    ["members"].alias("alike")))
+    return stage(kept.join(rarest, "tokens").join(alike, "tokens").select(
+        "tokens", "alike", "confidence", "support", "anchor"), "index")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, host_rules: tuple[HostRule, ...] = HOST_RULES,
@@ -156,18 +166,21 @@ def judge_urls(pages: DataFrame, rules: DataFrame, host_rules: tuple[HostRule, .
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and ``matched`` of every page.
 
     The longest host rule that fits decides (of equally long ones the first given); where
-    none fits, a page is blocked if all tokens of a mined rule are in its URL, which
-    ``matched`` says.  Null URLs and URLs without ``://`` have an empty host and path and
+    none fits, a page is blocked if its URL has every token of a mined rule, or one alike,
+    which ``matched`` says.  Null URLs and URLs without ``://`` have an empty host and path and
     no tokens, so they are allowed.  Null ids stay null, repeated rows are judged each, an
     empty table gives an empty result, other columns are not read.
     """
     rows = pages.select(named(id_col).cast("long").alias("page_id"),
                         named(url_col).cast("string").alias("url"))
     host, path = host_and_path(F.col("url"))
+    place = F.array_position("tokens", F.col("anchor")).cast("int")
+    filed = rules.select(F.explode(F.element_at("alike", place)).alias("anchor"),
+                         F.col("alike").alias("need"))
     found = (rows.select("url", tokens(F.col("url")).alias("have")).distinct()
              .withColumn("anchor", F.explode("have"))
-             .join(rules.select("anchor", F.col("tokens").alias("need")), "anchor")
-             .filter(F.size(F.array_except("need", "have")) == 0)
+             .join(filed, "anchor")
+             .filter(F.forall("need", lambda same: F.arrays_overlap(same, F.col("have"))))
              .select(F.col("url").alias("hit_url")).distinct()
              .withColumn("hit", F.lit(True)))
     judged = rows.join(found, F.col("url") == F.col("hit_url"), "left").select(

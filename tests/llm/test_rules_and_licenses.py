@@ -163,9 +163,22 @@ def test_constant_tokens_do_not_multiply(spark):
     assert list(got) == [("path:bad",)]
 
 
+def test_tokens_that_are_alike_stand_for_each_other(spark):
+    rows = [(f"http://h{i}.org/buy/pill?x=1&y=2" + ("#f" if i % 3 else ""), bool(i % 3))
+            for i in range(90)] + [(f"http://h{i}.org/news", False) for i in range(60)]
+    prepare_session(spark)
+    rules = urls.mine_rules(spark.createDataFrame(rows, "url string, block boolean"))
+    pages = spark.createDataFrame([
+        (1, "http://z.com/pill#f"), (2, "http://z.com/pill"), (3, "http://z.com/?y#g"),
+        (4, "http://z.com/?z"), (5, "http://z.com/buy/pill?x=1&y=2#h"), (6, "http://z.com/#f")],
+        "page_id long, url string")
+    got = {r["page_id"]: r["matched"] for r in urls.judge_urls(pages, rules).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: True}
+
+
 def test_first_of_equally_long_host_rules_decides(spark):
     pages = spark.createDataFrame([(1, "http://com/a")], "page_id long, url string")
-    none = spark.createDataFrame([], "tokens array<string>, anchor string")
+    none = spark.createDataFrame([], urls.RULES)
     for first, second in (("block", "allow"), ("allow", "block")):
         rules = (urls.HostRule(first, "com", "/a"), urls.HostRule(second, "com", "/a"))
         assert urls.judge_urls(pages, none, rules).first()["verdict"] == first
