@@ -7,7 +7,12 @@ table to be small and else splits where a value is frequent.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import OneHotEncoder
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +20,9 @@ from flowcascade.functions import quoted
 from flowcascade.schema import UNRESOLVED
 from flowcascade.session import stage
 
+# functions of this module travel to the executors by value, which need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def number_values(df: DataFrame, column: str) -> DataFrame:
     """``(value, code)``: the distinct values of a column, numbered from 0 in their order.
@@ -53,13 +61,35 @@ def decode_by_table(df: DataFrame, code: str, table: DataFrame, out: str = "labe
 def one_hot_sparse(df: DataFrame, column: str, table: DataFrame, out: str) -> DataFrame:
     """A sparse vector per row with a 1 at its value's code; all zeros for unknown values.
 
-    Its length is the number of values in the table, its memory that of one entry.
+    Its length is the number of values in the table, its memory that of one entry.  The column
+    has no names of its places: Spark's encoder keeps one per value in the schema, on the driver.
     """
     size = table.count()
-    encoder = OneHotEncoder(inputCols=["__index"], outputCols=[out], handleInvalid="keep")
-    known = df.sparkSession.range(1).select(F.lit(float(max(size - 1, 0))).alias("__index"))
-    model = encoder.fit(known)          # takes the number of categories from the largest
+
+    def hot(codes: pa.Array) -> pa.Array:
+        codes = codes.to_numpy(zero_copy_only=False)
+        known = codes >= 0
+        ends = np.concatenate([[0], np.cumsum(known)]).astype("int32")
+        return pa.StructArray.from_arrays([
+            pa.array(np.zeros(len(codes), "int8")), pa.array(np.full(len(codes), size, "int32")),
+            pa.ListArray.from_arrays(ends, codes[known].astype("int32")),
+            pa.ListArray.from_arrays(ends, np.ones(ends[-1]))],
+            ["type", "size", "indices", "values"])
+
     coded = encode_by_table(df, column, table, "__code_of")
-    index = F.when(F.col("__code_of") < 0, F.lit(float(size))).otherwise(
-        F.col("__code_of").cast("double"))
-    return model.transform(coded.withColumn("__index", index)).drop("__index", "__code_of")
+    return coded.withColumn(out, F.arrow_udf(hot, VectorUDT())("__code_of")).drop("__code_of")
+
+
+def sum_vectors(df: DataFrame, vectors: str, size: int) -> DataFrame:
+    """``(code, total)``: the sum of a column of vectors of this size, one row per place.
+
+    The entries are added up by place, so no task holds a vector of sums.  Places without
+    entries have 0; null vectors are left out.
+    """
+    parts = F.col("__parts")
+    places = F.coalesce(parts["indices"], F.transform(parts["values"], lambda _, i: i))
+    entries = df.select(F.unwrap_udt(quoted(vectors)).alias("__parts")).select(
+        F.inline(F.arrays_zip(places.alias("code"), parts["values"].alias("value"))))
+    zeros = df.sparkSession.range(size).select(
+        F.col("id").cast("int").alias("code"), F.lit(0.0).alias("value"))
+    return entries.unionByName(zeros).groupBy("code").agg(F.sum("value").alias("total"))

@@ -9,8 +9,6 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -385,8 +383,7 @@ def wide_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     known = W.number_values(data.filter(F.col("l_linenumber") < 7), "l_orderkey")
     vectors = W.one_hot_sparse(data, "l_orderkey", known, "v")
-    total = vectors.select(vector_to_array(Summarizer.sum(F.col("v"))).alias("n"))
-    return total.select(F.posexplode("n").alias("code", "rows"))
+    return W.sum_vectors(vectors, "v", known.count()).withColumnRenamed("total", "rows")
 
 
 @query

@@ -1,3 +1,4 @@
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from flowcascade.operators import wide as W
@@ -44,3 +45,31 @@ def test_an_empty_column(spark):
     table = W.number_values(df, "v")
     assert table.count() == 0
     assert W.encode_by_table(df, "v", table).first()["label_code"] == -1
+
+
+def test_vectors_carry_no_names_of_their_places(spark):
+    df = spark.range(2000).select("id")
+    hot = W.one_hot_sparse(df, "id", W.number_values(df, "id"), "hot")
+    assert len(hot.schema.json()) < 1000        # the schema is on the driver
+
+
+def test_sum_of_vectors_by_place(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b"), (4, None), (5, "z")], "id int, v string")
+    table = W.number_values(spark.createDataFrame([("a",), ("b",), ("c",)], "v string"), "v")
+    hot = W.one_hot_sparse(df, "v", table, "the.hot")
+    total = W.sum_vectors(hot, "the.hot", 3)
+    assert total.dtypes == [("code", "int"), ("total", "double")]
+    assert sorted(map(tuple, total.collect())) == [(0, 1.0), (1, 2.0), (2, 0.0)]
+
+
+def test_sum_of_sparse_and_dense_vectors(spark):
+    df = spark.createDataFrame([(Vectors.dense([1.0, 0.0, 2.5]),), (None,),
+                                (Vectors.sparse(3, [1, 2], [4.0, 0.5]),)], ["v"])
+    assert sorted(map(tuple, W.sum_vectors(df, "v", 3).collect())) == [
+        (0, 1.0), (1, 4.0), (2, 3.0)]
+
+
+def test_sum_of_vectors_without_known_values(spark):
+    df = spark.createDataFrame([(1, None)], "id int, v string")
+    hot = W.one_hot_sparse(df, "v", W.number_values(df, "v"), "hot")
+    assert W.sum_vectors(hot, "hot", 0).collect() == []
