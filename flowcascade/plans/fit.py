@@ -185,17 +185,20 @@ def select_model(train: DataFrame, valid: DataFrame, level: int | str,
     Candidates count in order, one per round; trying stops after ``patience`` rounds in a
     row without improvement.  As many as will be tried in any case, whatever their losses,
     are fitted together and measured side by side, in one scan of each table.  Without
-    validation rows the training loss decides.  A candidate whose loss is no number is
+    validation rows the training loss decides.  If both are the same table, the models are
+    measured on it once.  A candidate whose loss is no number is
     never chosen.
     """
     node = node_of(level)
     chosen = Selection(None, 0, float("inf"), [])
     stale, number = 0, 0
+    same = train.sameSemantics(valid)
     while number < len(candidates) and (stale < patience or not number):
         certain = candidates[number:number + max(patience - stale, 1)]
         models = fit_candidates(train, node.level, certain, max_fit_rows)
-        measured = zip(models, node_qualities(train, models, node),
-                       node_qualities(valid, models, node))
+        on_train = node_qualities(train, models, node)
+        on_valid = on_train if same else node_qualities(valid, models, node)
+        measured = zip(models, on_train, on_valid)
         for model, (_, train_loss, train_acc), (val_rows, val_loss, val_acc) in measured:
             number += 1
             chosen.history.append(

@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowcascade.functions import argmax, pad_scores, quoted, softmax
+from flowcascade.functions import argmax, linear_scores, pad_scores, quoted, softmax
 from flowcascade.operators.bayes import GaussianBayesModel
 from flowcascade.operators.cascade import cascade, prediction_columns
 from flowcascade.operators.features import (
@@ -27,6 +27,7 @@ from flowcascade.schema import NODES, Node, node_of
 FEATURES, RAW = "__features", "__raw"
 SMALLEST_PROBABILITY = 1e-300
 
+MOST_WEIGHTS = 256      # of a model that is written out
 CERTAIN = 1000.0        # logit of the only class a node was fitted on
 
 
@@ -70,10 +71,29 @@ def _logits(model: Model) -> tuple[str, Column]:
         raw, lambda p: F.ln(F.greatest(p, F.lit(SMALLEST_PROBABILITY))))
 
 
+def _is_plain(model: Model) -> bool:
+    """A logistic regression with one finite row of weights per class.
+
+    Its margins are written out as an expression: per row and node that spares making a vector
+    and reading the margins back from another.
+    """
+    return (isinstance(model, LogisticRegressionModel)
+            and len(model.interceptVector) == model.numClasses
+            and model.numClasses * model.numFeatures <= MOST_WEIGHTS
+            and bool(np.isfinite(model.interceptVector.toArray()).all()))
+
+
 def _add_scores(df: DataFrame, model: Model, node: Node, out: str) -> DataFrame:
     """Scores of one node for every row, padded to the node's class count."""
     if isinstance(model, GaussianBayesModel):
         return df.withColumn(out, model.scores(component_values(df)))
+    if _is_plain(model):
+        weights = model.coefficientMatrix.toArray()
+        scores = linear_scores(component_values(df), weights.tolist(),
+                               model.interceptVector.toArray().tolist())
+        if model.numClasses < node.width:
+            scores = pad_scores(scores, node.width)
+        return df.withColumn(out, scores)
     output, logits = _logits(model)
     model = model.copy()
     model.setFeaturesCol(FEATURES).setPredictionCol("")

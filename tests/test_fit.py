@@ -162,3 +162,30 @@ def test_prepare_with_table_ids_and_unseen_label(spark, tmp_path):
     from_path, _ = prepare(spark, path, state, keep=["FlowID"])
     assert from_path.columns[0] == "FlowID" and from_path.count() == 200
     assert {r["FlowID"] for r in from_path.collect()} == {"x"}
+
+
+def test_logistic_margins_are_written_out(train, capsys):
+    for level, found in ((1, train), (2, train), (4, train.filter("leaf != 'UDP'"))):
+        node = node_of(level)
+        model = T.fit_node(found, level, (0.01, 10))
+        scored = S.score_node(train, {node.name: model}, level, "s")
+        scored.explain()
+        assert "UDF" not in capsys.readouterr().out         # no vector is made per row
+        model.setFeaturesCol(S.FEATURES)
+        raw = S.with_feature_vector(scored)
+        for r in model.transform(raw).select("s", "rawPrediction").collect():
+            np.testing.assert_allclose(
+                r["s"][:model.numClasses], r["rawPrediction"].toArray(), rtol=1e-12, atol=1e-12)
+            assert len(r["s"]) == node.width
+
+
+def test_one_table_is_measured_once(train, monkeypatch):
+    measured = []
+    plain = T.node_qualities
+    monkeypatch.setattr(T, "node_qualities", lambda *a: measured.append(1) or plain(*a))
+    first = T.select_model(train, train, 1, [(0.01, 5)])
+    assert len(measured) == 1
+    assert (first.history[0].train_loss, first.history[0].train_acc) == (
+        first.history[0].val_loss, first.history[0].val_acc)
+    T.select_model(train, train.filter("leaf != 'Syn'"), 1, [(0.01, 5)])
+    assert len(measured) == 3
